@@ -100,3 +100,8 @@ def first_of_each(items: Column, key) -> Column:
 
 def rounded(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits)
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
