@@ -78,7 +78,9 @@ def main(names: list[str], folder: str = "/root/testdata/sf0.01") -> int:
         try:
             df = queries[name](spark, folder)
             if name in checks:
-                problem, n = differences(df, con, checks[name]), ""
+                df.write.format("noop").mode("overwrite").save()
+                n = f"spark {time.time() - start:.1f}s"
+                problem = differences(df, con, checks[name])
             else:
                 problem, n = "", f"no check sql, {df.count()} rows"
         except Exception as error:  # report and go on with the next query

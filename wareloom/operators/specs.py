@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
-from ..functions.text import extract_all, lines, matches_any, squeeze, strip, strip_tags
+from ..functions.text import extract_all, let, lines, matches_any, squeeze, strip, strip_tags
 
 ALL_NAMES = "|".join(pattern for pattern, _ in lex.SPEC_PATTERNS)
 # Looks ahead only, so a label inside another label's value is found as well.
@@ -14,8 +14,8 @@ LABELLED = rf"(?i)(?=({ALL_NAMES}):\s*([^\n]+))"
 
 
 def _spec_value(raw: Column) -> Column:
-    value = strip(F.substring_index(squeeze(strip(raw)), "|", 1))
-    return F.when((value != "") & (F.length(value) < 200), value)
+    cut = strip(F.substring_index(squeeze(strip(raw)), "|", 1))
+    return let(cut, lambda value: F.when((value != "") & (F.length(value) < 200), value))
 
 
 def spec_pair_array(text: Column) -> Column:
@@ -24,26 +24,27 @@ def spec_pair_array(text: Column) -> Column:
     One pass over the text collects every "name: value"; the patterns then
     pick from these few labels.
     """
-    labels = extract_all(text, LABELLED, 1)
-    values = extract_all(text, LABELLED, 2)
-    found = F.arrays_zip(labels.alias("label"), values.alias("value"))
-
-    def first(pattern: str) -> Column:
-        hits = F.filter(found, lambda x: x["label"].rlike(rf"(?i)\A(?:{pattern})\z"))
-        return F.get(hits, 0)["value"]
-
-    pairs = F.array(
-        *[
-            F.struct(F.lit(name).alias("spec"), _spec_value(first(pattern)).alias("value"))
-            for pattern, name in lex.SPEC_PATTERNS
-        ]
+    found = F.arrays_zip(
+        extract_all(text, LABELLED, 1).alias("label"), extract_all(text, LABELLED, 2).alias("value")
     )
-    return F.filter(pairs, lambda p: p["value"].isNotNull())
+
+    def pick(labelled: Column) -> Column:
+        def first(pattern: str) -> Column:
+            hits = F.filter(labelled, lambda x: x["label"].rlike(rf"(?i)\A(?:{pattern})\z"))
+            return F.get(hits, 0)["value"]
+
+        return F.array(
+            *[
+                F.struct(F.lit(name).alias("spec"), let(first(pattern), _spec_value).alias("value"))
+                for pattern, name in lex.SPEC_PATTERNS
+            ]
+        )
+
+    return F.filter(let(found, pick), lambda p: p["value"].isNotNull())
 
 
 def spec_pairs(pages: DataFrame) -> DataFrame:
     """Specifications of each page: page_id, url, spec, value."""
-    # The zip is cut off from the 30 picks, so that the text is scanned once.
     return pages.select("page_id", "url", F.inline(spec_pair_array(F.col("markdown"))))
 
 
@@ -71,18 +72,21 @@ def spec_sections(pages: DataFrame) -> DataFrame:
     header ends is dropped, and so is an empty one at the end of the page.
     """
     parts = F.split(F.concat(F.lit("\n"), F.col("markdown")), r"\n(?=#)")
-    numbered = F.transform(
-        parts,
-        lambda block, i: F.struct(
-            i.alias("section"),
-            F.substring_index(block, "\n", 1).alias("header"),
-            F.substr(block, F.length(F.substring_index(block, "\n", 1)) + 2).alias("content"),
-            F.substring_index(F.coalesce(F.get(parts, i + 1), F.lit("")), "\n", 1).alias("next_header"),
-            ((i + 1) == F.size(parts)).alias("is_last"),
-        ),
-    )
+    def describe(blocks: Column) -> Column:
+        heads = F.transform(blocks, lambda block: F.substring_index(block, "\n", 1))
+        return F.transform(
+            blocks,
+            lambda block, i: F.struct(
+                i.alias("section"),
+                F.get(heads, i).alias("header"),
+                F.substr(block, F.length(F.get(heads, i)) + 2).alias("content"),
+                F.coalesce(F.get(heads, i + 1), F.lit("")).alias("next_header"),
+                ((i + 1) == F.size(blocks)).alias("is_last"),
+            ),
+        )
+
     kept = F.filter(
-        numbered,
+        let(parts, describe),
         lambda b: (b["section"] > 0)
         & b["header"].rlike(_header(lex.SPEC_HEADERS))
         & ~b["next_header"].rlike(_header(lex.FAQ_HEADERS))
@@ -103,9 +107,15 @@ def _clean_value(raw: Column) -> Column:
 
 def section_lines(sections: DataFrame) -> DataFrame:
     """Every key and value a section line gives, in overwrite order."""
-    rows = sections.select("page_id", "section", "title", F.posexplode(lines(F.col("content"))).alias("pos", "raw"))
-    raw, line = F.col("raw"), strip(F.col("raw"))
-    cells = F.filter(F.transform(F.split(raw, r"\|"), lambda x: strip(x)), lambda x: x != "")
+    cells = F.filter(F.transform(F.split(F.col("raw"), r"\|"), lambda x: strip(x)), lambda x: x != "")
+    rows = (
+        sections.select("page_id", "section", "title", F.posexplode(lines(F.col("content"))).alias("pos", "raw"))
+        .withColumn("line", strip(F.col("raw")))
+        .withColumn("cells", cells)
+        .withColumn("list_key", F.regexp_extract("raw", lex.SPEC_LIST_LINE, 1))
+        .withColumn("inline_key", F.regexp_extract("line", lex.SPEC_INLINE_LINE, 1))
+    )
+    raw, line, cells = F.col("raw"), F.col("line"), F.col("cells")
     is_table = F.contains(raw, F.lit("|")) & ~line.startswith("|---") & (F.size(cells) == 2)
     is_inline = (line != "") & ~line.startswith("#")
 
@@ -115,9 +125,8 @@ def section_lines(sections: DataFrame) -> DataFrame:
             F.struct(F.lit(source).alias("source"), _clean_key(key).alias("key"), value.alias("value")),
         )
 
-    list_key = F.regexp_extract(raw, lex.SPEC_LIST_LINE, 1)
+    list_key, inline_key = F.col("list_key"), F.col("inline_key")
     list_value = F.regexp_extract(raw, lex.SPEC_LIST_LINE, 2)
-    inline_key = F.regexp_extract(line, lex.SPEC_INLINE_LINE, 1)
     inline_value = F.regexp_extract(line, lex.SPEC_INLINE_LINE, 2)
     entries = F.array_compact(
         F.array(

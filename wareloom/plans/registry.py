@@ -15,6 +15,7 @@ CHECKS: dict[str, str] = {}
 CTES = {
     "product_pages": inputs.PRODUCT_PAGES_SQL,
     "detail_pages": inputs.DETAIL_PAGES_SQL,
+    "config_pages": inputs.CONFIG_PAGES_SQL,
     "form_pages": inputs.FORM_PAGES_SQL,
     "visits": inputs.VISITS_SQL,
     "page_visits": inputs.PAGE_VISITS_SQL,
