@@ -248,7 +248,7 @@ BLOG_URL_PARTS = [
     "/resources", "/insights", "/stories", "/posts",
     "?p=", "?page_id=", "?article=", "?post=",
 ]
-ROUTE_CONFIGURATOR_WORDS = ["build", "configure", "customize"]
+ROUTE_CONFIGURATOR_WORDS = ["build", "configure", "customize", "design"]
 ROUTE_SEMANTIC_WORDS = ["service", "project", "case-study"]
 STATIC_CONFIGURATOR_WORDS = ["configure", "customize", "build", "design", "personalize"]
 FALLBACK_EXCLUDED_WORDS = [

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
+from ..functions.urls import crawl_skip_reason
 from ..functions.text import (
 
     blocks,
@@ -51,8 +52,12 @@ def keyword_totals(hits: DataFrame) -> DataFrame:
     )
 
 
-def balanced_signals(pages: DataFrame) -> DataFrame:
-    """Every signal the balanced score needs, independent of strictness."""
+def balanced_signals(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Every signal the balanced score needs, independent of strictness.
+
+    `keep` names further columns to pass on, so that a page body can be
+    filtered by its own class without a join.
+    """
     md, low, low_url = F.col("markdown"), F.col("low"), F.col("low_url")
     prepared = pages.select(
         "page_id", "url", "markdown", F.lower("markdown").alias("low"), F.lower("url").alias("low_url")
@@ -60,6 +65,7 @@ def balanced_signals(pages: DataFrame) -> DataFrame:
     return prepared.select(
         "page_id",
         "url",
+        *(keep or []),
         (F.length(md) < SHORT_PAGE).alias("too_short"),
         first_hit(
             [(F.contains(low_url, F.lit(p)), F.lit(p)) for p in lex.NON_PRODUCT_URL_PARTS], F.lit("")
@@ -151,6 +157,12 @@ def classify_balanced(pages: DataFrame, strictness: str = "balanced") -> DataFra
     return score_balanced(balanced_signals(pages), [strictness])
 
 
+def product_pages(pages: DataFrame, strictness: str = "balanced") -> DataFrame:
+    """The pages (with text) that classify as products and no skip rule names."""
+    scored = score_balanced(balanced_signals(pages, ["markdown"]), [strictness])
+    return scored.filter("is_product").filter(crawl_skip_reason(F.col("url")) == "").select("page_id", "url", "markdown")
+
+
 def strictness_sweep(pages: DataFrame) -> DataFrame:
     """Products and mean score at each strictness level."""
     levels = [level[0] for level in lex.STRICTNESS_LEVELS]

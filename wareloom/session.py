@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -37,3 +38,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="wareloom-checkpoint-"))
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a table once and read it back: several readers, one computation.
+
+    Unlike a cache it survives lost executors, and readers prune columns.
+    """
+    folder = work_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
