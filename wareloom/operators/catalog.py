@@ -270,11 +270,17 @@ def catalog_summary(catalog: DataFrame) -> DataFrame:
 def classification_summary(classified: DataFrame) -> DataFrame:
     """Mean confidence and score of the product pages, and counts by type."""
     products = F.col("is_product")
+
+    def mean(c: str) -> Column:
+        # Summed as decimals: the result does not depend on the order of the rows.
+        exact = F.when(products, F.col(c).cast("decimal(18,6)"))
+        return F.coalesce(F.sum(exact).cast("double") / F.nullif(F.count_if(products), F.lit(0)), F.lit(0.0))
+
     return classified.agg(
         F.count_if(products).alias("n_products"),
         F.count_if(~products).alias("n_others"),
-        F.coalesce(F.round(F.avg(F.when(products, F.col("confidence"))), 6), F.lit(0.0)).alias("avg_confidence"),
-        F.coalesce(F.round(F.avg(F.when(products, F.col("score"))), 6), F.lit(0.0)).alias("avg_score"),
+        mean("confidence").alias("avg_confidence"),
+        mean("score").alias("avg_score"),
     )
 
 

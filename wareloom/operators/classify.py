@@ -59,9 +59,7 @@ def balanced_signals(pages: DataFrame, keep: list[str] | None = None) -> DataFra
     filtered by its own class without a join.
     """
     md, low, low_url = F.col("markdown"), F.col("low"), F.col("low_url")
-    prepared = pages.select(
-        "page_id", "url", "markdown", F.lower("markdown").alias("low"), F.lower("url").alias("low_url")
-    )
+    prepared = pages.withColumns({"low": F.lower("markdown"), "low_url": F.lower("url")})
     return prepared.select(
         "page_id",
         "url",

@@ -118,8 +118,8 @@ def _(t):
 @query(
     "classification_summary",
     """SELECT count(*) FILTER (is_product) AS n_products, count(*) FILTER (NOT is_product) AS n_others,
-  coalesce(round(avg(confidence) FILTER (is_product), 6), 0) AS avg_confidence,
-  coalesce(round(avg(score) FILTER (is_product), 6), 0) AS avg_score FROM balanced WHERE strictness = 'balanced'""",
+  CAST(sum(CAST(confidence AS DECIMAL(18,6))) FILTER (is_product) AS DOUBLE) / count(*) FILTER (is_product) AS avg_confidence,
+  CAST(sum(CAST(score AS DECIMAL(18,6))) FILTER (is_product) AS DOUBLE) / count(*) FILTER (is_product) AS avg_score FROM balanced WHERE strictness = 'balanced'""",
     "balanced",
 )
 def _(t):
@@ -140,20 +140,30 @@ cte(
 )
 
 
+cte(
+    "split_rest",
+    """SELECT m.page_id, count(DISTINCT category) AS n_categories, count(*) AS n FROM detail_merged m
+LEFT JOIN split_cats s ON s.page_id = m.page_id WHERE s.split_category IS NULL OR s.split_category <> m.category GROUP BY 1""",
+    "detail_merged split_cats",
+)
+cte(
+    "split_items",
+    """SELECT m.*, row_number() OVER (PARTITION BY m.page_id ORDER BY m.pos) AS k FROM detail_merged m
+JOIN split_cats s ON s.page_id = m.page_id AND s.split_category = m.category""",
+    "detail_merged split_cats",
+)
+
+
 @query(
     "split_products",
     """
-WITH rest AS (SELECT m.page_id, count(DISTINCT category) AS n_categories, count(*) AS n FROM detail_merged m
-    LEFT JOIN split_cats s ON s.page_id = m.page_id WHERE s.split_category IS NULL OR s.split_category <> m.category GROUP BY 1),
-  items AS (SELECT m.*, row_number() OVER (PARTITION BY m.page_id ORDER BY m.pos) AS k FROM detail_merged m
-    JOIN split_cats s ON s.page_id = m.page_id AND s.split_category = m.category)
 SELECT p.page_id, coalesce(i.label, p.product_name) AS product_name,
   CASE WHEN i.label IS NULL THEN p.url ELSE p.url || '#product-' || i.k END AS url,
   CASE WHEN i.label IS NOT NULL THEN p.url END AS source_url, coalesce(nullif(i.price, ''), p.base_price) AS base_price,
   i.image AS product_image, coalesce(r.n_categories, 0) AS n_categories, coalesce(r.n, 0) AS total_customization_options,
   i.label IS NOT NULL AS extracted_from_multi_product_page
-FROM base_prices p LEFT JOIN items i ON i.page_id = p.page_id LEFT JOIN rest r ON r.page_id = p.page_id""",
-    "base_prices detail_merged split_cats",
+FROM base_prices p LEFT JOIN split_items i ON i.page_id = p.page_id LEFT JOIN split_rest r ON r.page_id = p.page_id""",
+    "base_prices split_items split_rest",
 )
 def _(t):
     merged = options.merge_options(options.option_rows(t.detail_pages()))
@@ -217,8 +227,8 @@ def _(t):
 
 @query("near_duplicate_products")
 def _(t):
-    items = t.catalog().select(F.col("seq").alias("id"), F.concat_ws(" ", "product_name", "url").alias("text"))
-    return near_duplicates.near_duplicates(items, 0.8, unit="char")
+    items = t.catalog().select(F.col("seq").alias("id"), F.col("product_name").alias("text"))
+    return near_duplicates.near_duplicates(items, 0.6, size=2, unit="char")
 
 
 @query("near_duplicate_texts")

@@ -229,7 +229,8 @@ class Inputs:
 
     def derive(self, sql: str, source: str, **tables: DataFrame) -> DataFrame:
         frames = tables or {source: self.table(source)}
-        return self.spark.sql(sql.replace(f"FROM {source}", f"FROM {{{source}}}"), **frames)
+        plain = sql.replace("{", "{{").replace("}", "}}")
+        return self.spark.sql(plain.replace(f"FROM {source}", f"FROM {{{source}}}"), **frames)
 
     def pages(self) -> DataFrame:
         return self.spread(self.table("pages"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import memory
 from ..session import work_folder
 from ..streaming import jobs
+from . import sqltext as d
 from .registry import cte, query
 
 STATE = "site_domain, page_signature, url_path, step_index, is_terminal, created_at, event_id"
@@ -130,17 +131,24 @@ def _(t):
 
 
 # ------------------------------------------------------------------ streams
-def replay(t, rows, order, files=4):
-    """The rows as a file stream of several micro-batches in the given order."""
+def replay(t, rows, order, slices=4):
+    """The rows as a file stream: one micro-batch per range of the order value."""
     folder = work_folder(t.spark, "replay")
-    rows.repartitionByRange(files, order).write.parquet(folder)
+    keyed = rows.withColumn("_order", F.expr(order).cast("double"))
+    cuts = keyed.approxQuantile("_order", [i / slices for i in range(1, slices)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        piece = keyed
+        if low is not None:
+            piece = piece.filter(F.col("_order") > low)
+        if high is not None:
+            piece = piece.filter(F.col("_order") <= high)
+        piece.drop("_order").coalesce(1).write.mode("append").parquet(folder)
     return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-@query("stream_new_pages", "SELECT DISTINCT canonical FROM (SELECT {} AS canonical FROM pages) x".format(
-    __import__("wareloom.plans.sqltext", fromlist=["canonical"]).canonical("url")))
+@query("stream_new_pages", f"SELECT DISTINCT {d.canonical('url')} AS canonical FROM pages")
 def _(t):
-    pages = t.pages().select("page_id", "url", F.timestamp_seconds("page_id").alias("ts"))
+    pages = t.pages().select("page_id", "url", F.timestamp_seconds(F.col("page_id") + 1_700_000_000).alias("ts"))
     folder = work_folder(t.spark, "new-pages")
     jobs.run_to_folder(jobs.stream_new_pages(replay(t, pages, "page_id"), delay="10 days"), folder)
     return t.spark.read.parquet(folder).select("canonical")
@@ -189,5 +197,5 @@ def timed_pages(t):
 def _(t):
     visits = t.page_visits().withColumn("ts", F.col("ts").cast("timestamp"))
     folder = work_folder(t.spark, "runs")
-    jobs.run_to_folder(jobs.stream_no_change(replay(t, visits, "ts"), delay="3650 days"), folder)
+    jobs.run_to_folder(jobs.stream_no_change(replay(t, visits, "unix_micros(ts)"), delay="3650 days"), folder)
     return t.spark.read.parquet(folder).drop("batch")
