@@ -6,10 +6,11 @@ higher-order functions), so page text is never shuffled or re-sorted.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\r\f\x0b"
@@ -50,7 +51,8 @@ def any_of(tests: Iterable[Column]) -> Column:
 
 
 def contains_any(c: Column, words: Iterable[str]) -> Column:
-    return any_of(F.contains(c, F.lit(w)) for w in words)
+    """Whether any of the words occurs: one pass over the text."""
+    return c.rlike("|".join(re.escape(w) for w in words))
 
 
 def count_contained(c: Column, words: Iterable[str]) -> Column:
@@ -94,8 +96,12 @@ def blocks(c: Column, header: str) -> Column:
 
 def first_of_each(items: Column, key) -> Column:
     """Drop array items whose key was seen at an earlier position."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+
+    def pick(xs: Column) -> Column:
+        keys = F.transform(xs, key)
+        return let(keys, lambda ks: F.filter(xs, lambda x, i: F.array_position(ks, F.get(ks, i)) == i + 1))
+
+    return let(items, pick)
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
@@ -105,3 +111,13 @@ def rounded(c: Column, digits: int = 6) -> Column:
 def let(value: Column, use) -> Column:
     """use(value) with the value computed once, however often `use` names it."""
     return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
+
+
+def unnest(df: DataFrame, keep: list[str], array: Column, pos: str = "pos", item: str = "item") -> DataFrame:
+    """One row per array item, with its position.
+
+    The outer form is used and empty rows are dropped behind it: the inner
+    form makes the optimizer add a size test below the projection, which
+    would work out the whole array a second and third time.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).filter(F.col(pos).isNotNull())

@@ -20,6 +20,7 @@ from ..functions.text import (
     matches_any,
     strip,
     total,
+    unnest,
 )
 
 KEYWORD_GROUPS = [
@@ -287,7 +288,7 @@ def classification_reasons(classified: DataFrame) -> DataFrame:
         .when(F.col("blocked_by") != "", F.array(text("Non-product URL pattern: ", F.col("blocked_by"))))
         .otherwise(scored_reasons)
     )
-    return classified.select("page_id", "page_type", F.posexplode(reasons).alias("pos", "reason"))
+    return unnest(classified, ["page_id", "page_type"], reasons, item="reason")
 
 
 def reason_counts(reasons: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from ..functions.text import (
     let,
     strip,
     total,
+    unnest,
 )
 
 LINK_MIN_SCORE = 3
@@ -45,7 +46,7 @@ def scored_links(text: Column, url: Column) -> Column:
 def configurator_links(pages: DataFrame) -> DataFrame:
     """Likely configurator links; the first one of a page is its target."""
     links = scored_links(F.col("markdown"), F.col("url"))
-    rows = pages.select("page_id", "url", F.posexplode(links).alias("n", "hit"))
+    rows = unnest(pages, ["page_id", "url"], links, "n", "hit")
     return rows.select(
         "page_id",
         "hit.pos",

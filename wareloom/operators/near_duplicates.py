@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, squeeze, strip
+from ..functions.text import let, squeeze, strip, unnest
 from ..session import ensure_checkpoint_dir
 
 
@@ -61,7 +61,8 @@ def near_duplicates(
     copies = keyed.select("id", "set_key")
     firsts = copies.groupBy("set_key").agg(F.min("id").alias("first_id"))
     sets = keyed.join(firsts.select(F.col("first_id").alias("id")), "id", "left_semi").select("id", "hashes").checkpoint()
-    member = sets.select("id", F.explode(band_keys(F.col("hashes"), bands, rows)).alias("band")).distinct()
+    keys = F.array_distinct(band_keys(F.col("hashes"), bands, rows))
+    member = unnest(sets, ["id"], keys, item="band").select("id", "band")
     shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     alive = member.join(shared, "band", "left_semi").checkpoint()
 

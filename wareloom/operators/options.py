@@ -16,6 +16,7 @@ from ..functions.text import (
     null_if_empty,
     strip,
     strip_tags,
+    unnest,
 )
 
 CATEGORY_HEADER = r"[A-Z][^:\n]+?:[^\S\n]*\*?"
@@ -108,8 +109,9 @@ def option_lines(pages: DataFrame) -> DataFrame:
     A category without options vanishes; of a repeated one the last block
     that has options counts.
     """
-    cats = pages.select("page_id", F.inline(option_blocks(F.col("markdown"))))
-    return cats.select("page_id", "category", "category_pos", F.inline("options"))
+    cats = unnest(pages, ["page_id"], option_blocks(F.col("markdown"))).select("page_id", "item.*")
+    rows = unnest(cats, ["page_id", "category", "category_pos"], F.col("options"), "n")
+    return rows.select("page_id", "category", "category_pos", "item.*")
 
 
 def option_rows(pages: DataFrame) -> DataFrame:
@@ -205,8 +207,7 @@ def _line_infos(text: Column) -> Column:
 
     def describe(trimmed: Column) -> Column:
         def info(line: Column, i: Column) -> Column:
-            low = F.lower(line)
-            noise = contains_any(low, lex.PAGE_NOISE_WORDS)
+            noise = contains_any(F.lower(line), lex.PAGE_NOISE_WORDS)
             marked = line.startswith("##") | (line.startswith("**") & line.endswith("**"))
             heading = strip(
                 F.when(line.startswith("###"), F.replace(line, F.lit("###"), F.lit("")))
@@ -314,18 +315,30 @@ def configurator_options(pages: DataFrame) -> DataFrame:
     cats = pages.select("page_id", configurator_blocks(F.col("markdown")).alias("cats"))
     n = F.aggregate("cats", F.lit(0), lambda acc, c: acc + F.size(c["options"]))
     flagged = cats.withColumn("few_options", n < FEW_OPTIONS)
-    rows = flagged.select("page_id", "few_options", F.inline("cats")).drop("is_last")
-    return rows.select("page_id", "few_options", "category", "category_pos", F.inline("options")).select(
-        "page_id", "few_options", "category", "category_pos", "pos", "option.*"
-    )
+    rows = unnest(flagged, ["page_id", "few_options"], F.col("cats")).select("page_id", "few_options", "item.*")
+    keys = ["page_id", "few_options", "category", "category_pos"]
+    return unnest(rows, keys, F.col("options"), "n").select(*keys, "item.pos", "item.option.*")
 
 
 def image_option_lookahead(pages: DataFrame) -> DataFrame:
     """Label and price of every image line, helped by the next two lines."""
-    infos = F.filter(_line_infos(F.col("markdown")), lambda x: x["is_image"])
-    rows = F.transform(infos, lambda x: F.struct(x["pos"].alias("pos"), _configurator_image(x).alias("option")))
+
+    def with_next(trimmed: Column) -> Column:
+        placed = F.transform(
+            trimmed,
+            lambda line, i: F.struct(
+                i.alias("pos"),
+                line.alias("line"),
+                F.coalesce(F.get(trimmed, i + 1), F.lit("")).alias("next_line"),
+                F.coalesce(F.get(trimmed, i + 2), F.lit("")).alias("after_next"),
+            ),
+        )
+        return F.filter(placed, lambda x: x["line"].startswith("![Image"))
+
+    images = let(F.transform(lines(F.col("markdown")), lambda x: strip(x)), with_next)
+    rows = F.transform(images, lambda x: F.struct(x["pos"].alias("pos"), _configurator_image(x).alias("option")))
     found = F.filter(rows, lambda r: r["option"].isNotNull())
-    return pages.select("page_id", F.inline(found)).select("page_id", "pos", "option.*")
+    return unnest(pages, ["page_id"], found, "n").select("page_id", "item.pos", "item.option.*")
 
 
 # ------------------------------------------------------------------ collected options

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 
 from ..functions import money as M
 from ..functions import urls as U
-from ..functions.text import contains_any, extract_all, first_of_each, let, lines, null_if_empty, strip, strip_tags
+from ..functions.text import contains_any, extract_all, first_of_each, let, lines, null_if_empty, strip, strip_tags, unnest
 
 CONTEXT = 100
 
@@ -21,7 +21,7 @@ def price_facts(pages: DataFrame) -> DataFrame:
     currency. All of it happens inside the page row.
     """
     facts = F.array_sort(first_of_each(M.all_prices(F.col("markdown")), lambda f: f["value"]))
-    return pages.select("page_id", "url", F.posexplode(facts).alias("rank", "fact")).select(
+    return unnest(pages, ["page_id", "url"], facts, "rank", "fact").select(
         "page_id",
         "url",
         "rank",
@@ -80,7 +80,7 @@ def option_texts(pages: DataFrame) -> DataFrame:
     line = F.col("line")
     bullet = F.regexp_extract(line, r"^[-*•]\s*(?:\[[x ]?\]\s*)?(.+)", 1)
     alt = F.regexp_extract(line, r"!\[(?:Image \d+:?\s*)?([^\]]+)\]", 1)
-    found = pages.select("page_id", F.posexplode(lines(F.col("markdown"))).alias("pos", "raw")).withColumn(
+    found = unnest(pages, ["page_id"], lines(F.col("markdown")), item="raw").withColumn(
         "line", strip(F.col("raw"))
     )
     text = F.when(alt != "", alt).otherwise(bullet)
@@ -128,10 +128,9 @@ SPAN = r"""(?is)<span[^>]*class=["'][^"']*frm_text_label_for_image_inner[^"']*["
 
 def form_options(pages: DataFrame) -> DataFrame:
     """Priced options of radio buttons and checkboxes: value, image alt, label span."""
-    parts = pages.select("page_id", F.posexplode(extract_all(F.col("html"), INPUT_OR_LABEL)).alias("part_no", "part"))
-    inputs = parts.select(
-        "page_id", "part_no", "part", F.posexplode(extract_all(F.col("part"), r"(?i)<input[^>]*>")).alias("n", "tag")
-    ).filter(F.lower(_attribute(F.col("tag"), "type")).isin("radio", "checkbox"))
+    parts = unnest(pages, ["page_id"], extract_all(F.col("html"), INPUT_OR_LABEL), "part_no", "part")
+    tags = extract_all(F.col("part"), r"(?i)<input[^>]*>")
+    inputs = unnest(parts, ["page_id", "part_no", "part"], tags, "n", "tag").filter(F.lower(_attribute(F.col("tag"), "type")).isin("radio", "checkbox"))
     part = F.col("part")
     alt = _attribute(F.regexp_extract(part, r"(?i)<img[^>]*>", 0), "alt")
     spans = F.transform(extract_all(part, SPAN, 1), M.name_and_price)

@@ -17,6 +17,7 @@ from ..functions.text import (
     first_of_each,
     squeeze,
     strip,
+    unnest,
 )
 from .urls import HREF, path_patterns, plain_text
 
@@ -166,9 +167,7 @@ def nav_links(pages: DataFrame) -> DataFrame:
         & F.contains(url, U.raw_host(x["full_url"])),
     )
     unique = F.slice(first_of_each(site, lambda x: F.lower(x["text"])), 1, NAV_LIMIT)
-    return pages.select("page_id", "url", F.posexplode(unique).alias("pos", "link")).select(
-        "page_id", "url", "pos", "link.text", "link.href", "link.full_url"
-    )
+    return unnest(pages, ["page_id", "url"], unique).select("page_id", "url", "pos", "item.*")
 
 
 def recommend_flow(signals: DataFrame, nav: DataFrame) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
-from ..functions.text import extract_all, let, lines, matches_any, squeeze, strip, strip_tags
+from ..functions.text import extract_all, let, lines, matches_any, squeeze, strip, strip_tags, unnest
 
 ALL_NAMES = "|".join(pattern for pattern, _ in lex.SPEC_PATTERNS)
 # Looks ahead only, so a label inside another label's value is found as well.
-LABELLED = rf"(?i)(?=({ALL_NAMES}):\s*([^\n]+))"
+LETTERS = "".join(sorted(set(re.findall(r"(?:^|\(\?:|\|)([A-Za-z])", ALL_NAMES.lower()))))
+LABELLED = rf"(?i)(?=[{LETTERS}])(?=((?:{ALL_NAMES}):\s*[^\n]+))"
 
 
 def _spec_value(raw: Column) -> Column:
@@ -24,8 +27,12 @@ def spec_pair_array(text: Column) -> Column:
     One pass over the text collects every "name: value"; the patterns then
     pick from these few labels.
     """
-    found = F.arrays_zip(
-        extract_all(text, LABELLED, 1).alias("label"), extract_all(text, LABELLED, 2).alias("value")
+    found = F.transform(
+        extract_all(text, LABELLED, 1),
+        lambda x: F.struct(
+            F.substring_index(x, ":", 1).alias("label"),
+            F.regexp_extract(x, r"\A[^:]*:\s*([^\n]+)", 1).alias("value"),
+        ),
     )
 
     def pick(labelled: Column) -> Column:
@@ -45,7 +52,8 @@ def spec_pair_array(text: Column) -> Column:
 
 def spec_pairs(pages: DataFrame) -> DataFrame:
     """Specifications of each page: page_id, url, spec, value."""
-    return pages.select("page_id", "url", F.inline(spec_pair_array(F.col("markdown"))))
+    pairs = spec_pair_array(F.col("markdown"))
+    return unnest(pages, ["page_id", "url"], pairs).select("page_id", "url", "item.*")
 
 
 def spec_coverage(pairs: DataFrame) -> DataFrame:
@@ -92,8 +100,8 @@ def spec_sections(pages: DataFrame) -> DataFrame:
         & ~b["next_header"].rlike(_header(lex.FAQ_HEADERS))
         & ~(b["is_last"] & (b["content"] == "")),
     )
-    return pages.select("page_id", F.inline(kept)).select(
-        "page_id", "section", strip(F.ltrim("header", F.lit("#"))).alias("title"), "content"
+    return unnest(pages, ["page_id"], kept).select(
+        "page_id", "item.section", strip(F.ltrim("item.header", F.lit("#"))).alias("title"), "item.content"
     )
 
 
@@ -109,7 +117,7 @@ def section_lines(sections: DataFrame) -> DataFrame:
     """Every key and value a section line gives, in overwrite order."""
     cells = F.filter(F.transform(F.split(F.col("raw"), r"\|"), lambda x: strip(x)), lambda x: x != "")
     rows = (
-        sections.select("page_id", "section", "title", F.posexplode(lines(F.col("content"))).alias("pos", "raw"))
+        unnest(sections, ["page_id", "section", "title"], lines(F.col("content")), item="raw")
         .withColumn("line", strip(F.col("raw")))
         .withColumn("cells", cells)
         .withColumn("list_key", F.regexp_extract("raw", lex.SPEC_LIST_LINE, 1))
@@ -135,7 +143,9 @@ def section_lines(sections: DataFrame) -> DataFrame:
             entry(2, is_inline & (inline_key != ""), inline_key, _clean_value(inline_value)),
         )
     )
-    found = rows.select("page_id", "section", "title", "pos", F.inline(entries))
+    found = unnest(rows, ["page_id", "section", "title", "pos"], entries, "n").select(
+        "page_id", "section", "title", "pos", "item.*"
+    )
     low_key = F.lower("key")
     question = low_key.rlike("^(?:" + "|".join(lex.QUESTION_PREFIXES) + ")")
     words = F.when(strip(F.col("value")) == "", 0).otherwise(F.size(F.split(strip(F.col("value")), r"\s+")))

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import lexicons as lex
 from ..functions import urls as U
-from ..functions.text import BLANKS, extract, extract_all, lines, squeeze, strip
+from ..functions.text import BLANKS, extract, extract_all, lines, squeeze, strip, unnest
 
 HREF = r"""(?i)href=["']([^"']+)["']"""
 
@@ -75,7 +75,7 @@ def link_edges(pages: DataFrame, kind: str = "markdown", host_mode: str = "raw")
         lambda x: (U.host_by_mode(x, host_mode) == U.host_by_mode(base, host_mode)) & U.is_page_link(x),
     )
     cleaned = F.array_distinct(F.transform(kept, U.without_query))
-    return pages.select("page_id", "url", F.explode(cleaned).alias("link"))
+    return unnest(pages, ["page_id", "url"], cleaned, item="link").drop("pos")
 
 
 def one_hop(edges: DataFrame, max_urls: int = 50) -> DataFrame:
@@ -99,7 +99,7 @@ def page_links(pages: DataFrame, kind: str = "markdown") -> DataFrame:
         & ~x.startswith("mailto:")
         & ~F.lower(x).rlike(r"\.jpg|\.png|\.gif|\.svg|\.webp"),
     )
-    return pages.select("page_id", "url", F.posexplode(usable).alias("pos", "raw_link")).select(
+    return unnest(pages, ["page_id", "url"], usable, item="raw_link").select(
         "page_id", "url", "pos", U.absolute(F.col("raw_link"), F.col("url")).alias("link")
     )
 
@@ -110,7 +110,7 @@ def page_images(pages: DataFrame) -> DataFrame:
         extract_all(F.col("markdown"), lex.IMAGE_MARKDOWN, 2),
         lambda x: ~F.contains(F.lower(x), F.lit("pixel")) & ~F.contains(x, F.lit("g.gif")),
     )
-    return pages.select("page_id", F.explode(F.array_distinct(images)).alias("image"))
+    return unnest(pages, ["page_id"], F.array_distinct(images), item="image").drop("pos")
 
 
 def image_inventory(pages: DataFrame) -> DataFrame:
@@ -147,11 +147,9 @@ def path_patterns(pages: DataFrame, top: int = 20) -> DataFrame:
     The distinct runs per (host, segment) and the row limit is pushed below
     the shuffle, so a very large host is never gathered in one task.
     """
-    found = pages.select(
-        U.host(F.col("url")).alias("host"),
-        F.explode(F.array_distinct(F.transform(_raw_links("html", "html"), U.first_path_segment))).alias("pattern"),
-    )
-    distinct = found.filter(F.col("pattern").isNotNull()).distinct()
+    segments = F.array_distinct(F.transform(_raw_links("html", "html"), U.first_path_segment))
+    found = unnest(pages, ["url"], segments, item="pattern").filter(F.col("pattern").isNotNull())
+    distinct = found.select(U.host(F.col("url")).alias("host"), "pattern").distinct()
     rank = F.row_number().over(W.partitionBy("host").orderBy("pattern"))
     return distinct.withColumn("rank", rank).filter(F.col("rank") <= top)
 

@@ -221,7 +221,11 @@ class Inputs:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def spread(self, df: DataFrame, *keys: str) -> DataFrame:
-        """Spread a small one-file table over the cores; large scans stay as they are."""
+        """Spread a small one-file table over the cores; large scans stay as they are.
+
+        For derived pages the exchange also stands where a stored table
+        would: page text is put together once, not once per expression.
+        """
         cores = self.spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() >= cores:
             return df
@@ -236,16 +240,16 @@ class Inputs:
         return self.spread(self.table("pages"))
 
     def product_pages(self) -> DataFrame:
-        return self.derive(PRODUCT_PAGES_SQL, "part", part=self.spread(self.table("part"), "p_partkey"))
+        return self.spread(self.derive(PRODUCT_PAGES_SQL, "part"), "page_id")
 
     def detail_pages(self) -> DataFrame:
-        return self.derive(DETAIL_PAGES_SQL, "part", part=self.spread(self.table("part"), "p_partkey"))
+        return self.spread(self.derive(DETAIL_PAGES_SQL, "part"), "page_id")
 
     def config_pages(self) -> DataFrame:
-        return self.derive(CONFIG_PAGES_SQL, "part", part=self.spread(self.table("part"), "p_partkey"))
+        return self.spread(self.derive(CONFIG_PAGES_SQL, "part"), "page_id")
 
     def form_pages(self) -> DataFrame:
-        return self.derive(FORM_PAGES_SQL, "part", part=self.spread(self.table("part"), "p_partkey"))
+        return self.spread(self.derive(FORM_PAGES_SQL, "part"), "page_id")
 
     def visits(self) -> DataFrame:
         return self.derive(VISITS_SQL, "events")

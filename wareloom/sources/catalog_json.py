@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import unnest
+
 OPTION_TYPE = "struct<label:string,price:string,image:string,reference:string,hex_color:string,model:string>"
 CATALOG_FIELDS = {
     "product_id": "string",
@@ -54,7 +56,7 @@ def parse_catalogs(documents: DataFrame, document: str = "value") -> DataFrame:
     )
     has_products = F.get_json_object(text, "$.products").isNotNull()
     entries = F.when(is_list | has_products, without_key).otherwise(keyed)
-    rows = documents.select(F.posexplode(entries).alias("position", "entry"))
+    rows = unnest(documents, [], entries, "position", "entry")
     return rows.select(
         "position",
         F.coalesce("entry.key", "entry.value.product_id").alias("product_id"),
