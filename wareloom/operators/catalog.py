@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
+from ..functions.frames import union_rows
 from ..functions.text import any_of, contains_any, null_if_empty, strip
 from .ordering import numbered
 
@@ -222,7 +221,7 @@ def optimization_stats(raw: DataFrame, valid: DataFrame, deduped: DataFrame) ->
     stages = [
         frame.select(F.lit(stage).alias("stage")) for stage, frame in (("raw", raw), ("valid", valid), ("out", deduped))
     ]
-    counts = reduce(DataFrame.union, stages).agg(
+    counts = union_rows(*stages).agg(
         *[F.count_if(F.col("stage") == s).alias(s) for s in ("raw", "valid", "out")]
     )
     return counts.select(
@@ -241,7 +240,7 @@ def merge_catalogs(*catalogs: DataFrame) -> DataFrame:
     Entries are numbered per url in seq order, in ranges, so one url with
     very many entries is not handled by a single task.
     """
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), catalogs)
+    merged = union_rows(*catalogs, allow_missing=True)
     counts = merged.groupBy("url").agg(F.count(F.lit(1)).alias("n_items"))
     placed = numbered(merged, "seq", keys=["url"], name="item_no").join(counts, "url")
     key = F.when(

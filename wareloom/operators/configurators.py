@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions import urls as U
+from ..functions.frames import union_rows
 from ..functions.text import (
 
     blocks,
@@ -234,9 +235,11 @@ def customization_source(
 def customizations(sources: DataFrame, configurator_options: DataFrame, page_options: DataFrame) -> DataFrame:
     """Options of every product from its chosen source page."""
     columns = ["category", "category_pos", "pos", "label", "price", "image"]
-    kinds = configurator_options.select(
-        F.col("page_id").alias("options_page_id"), F.lit(True).alias("own_kind"), *columns
-    ).unionByName(page_options.select(F.col("page_id").alias("options_page_id"), F.lit(False).alias("own_kind"), *columns))
+    page = F.col("page_id").alias("options_page_id")
+    kinds = union_rows(
+        configurator_options.select(page, F.lit(True).alias("own_kind"), *columns),
+        page_options.select(page, F.lit(False).alias("own_kind"), *columns),
+    )
     return sources.join(kinds, ["options_page_id", "own_kind"]).select("page_id", "customization_source", *columns)
 
 

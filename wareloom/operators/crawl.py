@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.frames import union_rows
 from ..session import ensure_checkpoint_dir
 
 
@@ -60,9 +61,7 @@ def discover(
     for depth in range(1, max_depth + 1):
         if visited >= max_pages:
             break
-        known = levels[0].select("canonical")
-        for level in levels[1:]:
-            known = known.union(level.select("canonical"))
+        known = union_rows(*[level.select("canonical") for level in levels])
         frontier = (
             graph.join(levels[-1].select(F.col("canonical").alias("src")), "src", "left_semi")
             .groupBy(F.col("dst").alias("canonical"))
@@ -76,9 +75,7 @@ def discover(
             break
         levels.append(frontier)
         visited += found
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.union(level)
+    out = union_rows(*levels)
     if visited > max_pages:
         out = out.orderBy("depth", "canonical").limit(max_pages)
     return out
@@ -106,7 +103,7 @@ def crawl_log(pages: DataFrame, edges: DataFrame, classified: DataFrame) -> Data
         .join(stored, "canonical", "left_anti")
         .select("url", F.lit("failed").alias("status"), F.lit("").alias("reason"))
     )
-    log = discovered.union(skipped).union(crawled).union(products).union(failed)
+    log = union_rows(discovered, skipped, crawled, products, failed)
     return log.select("url", U.host(url).alias("host"), "status", "reason")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.frames import union_rows
 from .ordering import RANGE, previous
 
 SIGNATURE_ELEMENTS = 50
@@ -21,7 +22,7 @@ def upsert_states(old: DataFrame, new: DataFrame) -> DataFrame:
 
     A max_by aggregate folds a heavily rewritten state on the map side.
     """
-    rows = old.unionByName(new, allowMissingColumns=True)
+    rows = union_rows(old, new, allow_missing=True)
     values = [c for c in rows.columns if c not in STATE_KEY]
     newest = F.max_by(F.struct(*values), F.struct("created_at", "event_id"))
     return rows.groupBy(*STATE_KEY).agg(newest.alias("row")).select(*STATE_KEY, *[f"row.{c}" for c in values])
@@ -82,10 +83,8 @@ def best_continue_pattern(patterns: DataFrame, min_rate: float = 0.8, min_seen:
 
 def memory_stats(states: DataFrame, counts: DataFrame, patterns: DataFrame) -> DataFrame:
     """States, transitions and patterns per domain, with a total row (NULL domain)."""
-    parts = None
-    for kind, frame in (("states", states), ("transitions", counts), ("patterns", patterns)):
-        part = frame.select("site_domain", F.lit(kind).alias("kind"))
-        parts = part if parts is None else parts.union(part)
+    frames = {"states": states, "transitions": counts, "patterns": patterns}
+    parts = union_rows(*[f.select("site_domain", F.lit(kind).alias("kind")) for kind, f in frames.items()])
     return parts.rollup("site_domain").agg(
         *[F.count_if(F.col("kind") == k).alias(k) for k in ("states", "transitions", "patterns")]
     )

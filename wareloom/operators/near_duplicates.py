@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_rows
 from ..functions.text import let, squeeze, strip, unnest
 from ..session import ensure_checkpoint_dir
 
@@ -94,12 +95,10 @@ def near_duplicates(
             .checkpoint()
         )
         dropped.append(losers)
-        done = kept.union(losers.select("id"))
+        done = union_rows(kept, losers.select("id"))
         alive = alive.join(done, "id", "left_anti").checkpoint()
 
-    kept_for = spark.createDataFrame([], "id bigint, leader bigint, similarity double")
-    for losers in dropped:
-        kept_for = kept_for.union(losers)
+    kept_for = union_rows(spark.createDataFrame([], "id bigint, leader bigint, similarity double"), *dropped)
     return (
         copies.join(firsts, "set_key")
         .join(kept_for.withColumnRenamed("id", "first_id"), "first_id", "left")

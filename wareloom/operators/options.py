@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions import money as M
+from ..functions.frames import union_rows
 from ..functions.text import (
     blocks,
     contains_any,
@@ -408,7 +409,7 @@ def match_option_images(options: DataFrame, elements: DataFrame) -> DataFrame:
     in_element = contained_in(wanted, shown, "page_id", "option_text", "element_text")
     in_option = contained_in(shown, wanted, "page_id", "element_text", "option_text")
     columns = ["page_id", "option_text", "element_text", "element_pos", "image"]
-    pairs = in_element.select(*columns).union(in_option.select(*columns))
+    pairs = union_rows(in_element.select(*columns), in_option.select(*columns))
     score = F.length("option_text") / (F.length("element_text") + 1)
     best = pairs.groupBy("page_id", "option_text").agg(
         F.max_by("image", F.struct(score, -F.col("element_pos"))).alias("image")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
+from ..functions.frames import union_rows
 from ..functions.text import contains_any, first_hit
 from .ordering import numbered
 
@@ -96,7 +97,7 @@ def apply_decisions(urls: DataFrame, decisions: DataFrame, rule: str = "relevanc
         .filter(nothing.scalar())
         .select("page_id", "url", F.lit("UNKNOWN").alias("category"), F.lit(0.5).alias("confidence"))
     )
-    return kept.unionByName(fallback)
+    return union_rows(kept, fallback)
 
 
 def category_counts(kept: DataFrame) -> DataFrame:

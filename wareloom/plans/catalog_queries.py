@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
+from ..functions.frames import union_rows
 from ..operators import catalog as C
 from ..operators import classify, configurators, near_duplicates, options, prices, routing, specs
 from ..session import staged, work_folder
@@ -62,9 +63,9 @@ def built_catalog(t):
     config = t.config_pages()
     signals = configurators.configurator_signals(pages)
     own = options.configurator_options(config)
-    merged = options.merge_options(options.option_rows(pages.unionByName(config)))
+    merged = options.merge_options(options.option_rows(union_rows(pages, config)))
     sources = configurators.customization_source(
-        configurators.configurator_decision(signals), pages.select("page_id", "url").union(config.select("page_id", "url")),
+        configurators.configurator_decision(signals), union_rows(pages.select("page_id", "url"), config.select("page_id", "url")),
         own, merged,
     )
     return C.build_catalog(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
+from ..functions.frames import union_rows
 from ..operators import configurators, options, prices
 from . import sqltext as d
 from .price_queries import amount, name_price, option_price
@@ -443,8 +444,8 @@ def sources_of(t):
     pages, config = t.product_pages(), t.config_pages()
     decided = configurators.configurator_decision(configurators.configurator_signals(pages))
     own = options.configurator_options(config)
-    merged = options.merge_options(options.option_rows(pages.union(config)))
-    return configurators.customization_source(decided, pages.union(config), own, merged), own, merged
+    merged = options.merge_options(options.option_rows(union_rows(pages, config)))
+    return configurators.customization_source(decided, union_rows(pages, config), own, merged), own, merged
 
 
 @query("customization_source", "SELECT * FROM custom_sources", "custom_sources")
