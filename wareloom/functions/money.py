@@ -126,17 +126,23 @@ def modifier_text(sign: Column, value: Column) -> Column:
     return let(value, write)
 
 
+def _has_symbol(text: Column) -> Column:
+    """Cheap test before the option patterns, which all need a currency symbol."""
+    return text.rlike("[$€£¥₹]")
+
+
 def _clean_option_price(clean: Column) -> Column:
     def by(pattern: str, sign: Column | None, group: int) -> Column:
         found = amount(F.regexp_extract(clean, pattern, group))
         return modifier_text(F.lit("+") if sign is None else sign, found)
 
-    return F.when(clean.rlike(lex.OPTION_FREE), "+$0").otherwise(
+    return F.when(clean.rlike(lex.OPTION_FREE), "+$0").when(
+        _has_symbol(clean),
         F.coalesce(
             by(lex.OPTION_PRICE_PAREN, F.regexp_extract(clean, lex.OPTION_PRICE_PAREN, 1), 3),
             by(lex.OPTION_PRICE_SIGNED, F.regexp_extract(clean, lex.OPTION_PRICE_SIGNED, 1), 3),
             by(lex.OPTION_PRICE_EXTRA, None, 2),
-        )
+        ),
     )
 
 
@@ -164,7 +170,7 @@ def _split_name_and_price(clean: Column) -> Column:
         )
         return F.when(by_paren | p["dash"].isNotNull(), row)
 
-    return let(parts, choose)
+    return F.when(_has_symbol(clean), let(parts, choose))
 
 
 def name_and_price(text: Column) -> Column:

@@ -206,40 +206,52 @@ def _bullet(line: Column) -> Column:
 def _line_infos(text: Column) -> Column:
     """Each line with its two successors and the category it could open."""
 
-    def describe(trimmed: Column) -> Column:
-        def info(line: Column, i: Column) -> Column:
-            noise = contains_any(F.lower(line), lex.PAGE_NOISE_WORDS)
-            marked = line.startswith("##") | (line.startswith("**") & line.endswith("**"))
-            heading = strip(
-                F.when(line.startswith("###"), F.replace(line, F.lit("###"), F.lit("")))
-                .when(line.startswith("##"), F.replace(line, F.lit("##"), F.lit("")))
-                .otherwise(F.replace(line, F.lit("**"), F.lit("")))
-            )
-            before = F.substring_index(line, ":", 1)
-            named = (
-                F.contains(line, F.lit(":"))
-                & (F.length(before) < 50)
-                & (strip(before) != "")
-                & ~contains_any(before, lex.COLON_BAD_PARTS)
-                & ~contains_any(F.lower(before), lex.COLON_NOISE_WORDS)
-            )
-            kept = (line != "") & ~noise
-            return F.struct(
-                i.alias("pos"),
-                line.alias("line"),
-                F.coalesce(F.get(trimmed, i + 1), F.lit("")).alias("next_line"),
-                F.coalesce(F.get(trimmed, i + 2), F.lit("")).alias("after_next"),
-                kept.alias("kept"),
-                (kept & marked).alias("marked"),
-                F.when(kept & marked & (heading != "") & (F.length(heading) < 100), heading).alias("heading"),
-                F.when(kept & ~marked & named, strip(before)).alias("name"),
-                line.startswith("![Image").alias("is_image"),
-                line.rlike(r"^[-*•]").alias("is_bullet"),
-            )
+    def flag(line: Column) -> Column:
+        noise = contains_any(F.lower(line), lex.PAGE_NOISE_WORDS)
+        marked = line.startswith("##") | (line.startswith("**") & line.endswith("**"))
+        return F.struct(
+            line.alias("line"),
+            ((line != "") & ~noise).alias("kept"),
+            marked.alias("marked"),
+            F.substring_index(line, ":", 1).alias("before"),
+        )
 
-        return F.transform(trimmed, info)
+    def heading(line: Column) -> Column:
+        title = strip(
+            F.when(line.startswith("###"), F.replace(line, F.lit("###"), F.lit("")))
+            .when(line.startswith("##"), F.replace(line, F.lit("##"), F.lit("")))
+            .otherwise(F.replace(line, F.lit("**"), F.lit("")))
+        )
+        return let(title, lambda t: F.when((t != "") & (F.length(t) < 100), t))
+
+    def colon_name(x: Column) -> Column:
+        usable = (
+            F.contains(x["line"], F.lit(":"))
+            & (F.length(x["before"]) < 50)
+            & ~contains_any(x["before"], lex.COLON_BAD_PARTS)
+            & ~contains_any(F.lower(x["before"]), lex.COLON_NOISE_WORDS)
+        )
+        return F.when(usable, null_if_empty(strip(x["before"])))
+
+    def describe(flagged: Column) -> Column:
+        return F.transform(
+            flagged,
+            lambda x, i: F.struct(
+                i.alias("pos"),
+                x["line"].alias("line"),
+                F.coalesce(F.get(flagged, i + 1)["line"], F.lit("")).alias("next_line"),
+                F.coalesce(F.get(flagged, i + 2)["line"], F.lit("")).alias("after_next"),
+                x["kept"].alias("kept"),
+                (x["kept"] & x["marked"]).alias("marked"),
+                F.when(x["kept"] & x["marked"], heading(x["line"])).alias("heading"),
+                F.when(x["kept"] & ~x["marked"], colon_name(x)).alias("name"),
+                x["line"].startswith("![Image").alias("is_image"),
+                x["line"].rlike(r"^[-*•]").alias("is_bullet"),
+            ),
+        )
 
-    return let(F.transform(lines(text), lambda x: strip(x)), describe)
+    flagged = F.transform(lines(text), lambda raw: let(strip(raw), flag))
+    return let(flagged, describe)
 
 
 def _opened(infos: Column) -> Column:
