@@ -19,7 +19,7 @@ def product_id(name: Column) -> Column:
 
 def nest_specs(specs: DataFrame, name: str = "spec") -> DataFrame:
     """One specification map per page from (page_id, <name>, value) rows."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(name).alias("spec"), "value")))
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(name).alias("spec"), "value")))
     return specs.groupBy("page_id").agg(F.map_from_entries(pairs).alias("specifications"))
 
 
@@ -31,10 +31,10 @@ def nest_customizations(options: DataFrame) -> DataFrame:
     """
     known = [F.col(f) if f in options.columns else F.lit(None).cast("string").alias(f) for f in OPTION_FIELDS]
     by_category = options.groupBy("page_id", "category", "category_pos").agg(
-        F.array_sort(F.collect_list(F.struct("pos", *known))).alias("options")
+        F.sort_array(F.collect_list(F.struct("pos", *known))).alias("options")
     )
     nested = by_category.groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct("category_pos", "category", "options"))).alias("cats")
+        F.sort_array(F.collect_list(F.struct("category_pos", "category", "options"))).alias("cats")
     )
     plain = lambda o: F.struct(*[o[f].alias(f) for f in OPTION_FIELDS])
     return nested.select(
@@ -143,7 +143,7 @@ def split_products(catalog: DataFrame, options: DataFrame) -> DataFrame:
         F.countDistinct("category").alias("n_categories"), F.count(F.lit(1)).alias("n_options")
     )
     items = tagged.filter("is_item").groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "label", "price", "image"))).alias("items")
+        F.sort_array(F.collect_list(F.struct("pos", "label", "price", "image"))).alias("items")
     )
     joined = catalog.select("page_id", "product_name", "url", "base_price").join(items, "page_id", "left").join(
         rest, "page_id", "left"

@@ -104,7 +104,7 @@ def page_signatures(elements: DataFrame) -> DataFrame:
         F.floor(F.coalesce("y", F.lit(0)) / BAND_PIXELS).cast("string"),
     )
     firsts = elements.withColumn("rank", rank).filter(F.col("rank") <= SIGNATURE_ELEMENTS)
-    joined = F.array_join(F.array_sort(F.collect_list(part)), "|")
+    joined = F.array_join(F.sort_array(F.collect_list(part)), "|")
     return firsts.groupBy("page_id").agg(F.sha2(joined, 256).alias("signature"))
 
 

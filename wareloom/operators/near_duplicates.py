@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import union_rows
 from ..functions.text import let, squeeze, strip, unnest
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, staged
 
 
 def shingles(text: Column, size: int, unit: str) -> Column:
@@ -15,13 +15,9 @@ def shingles(text: Column, size: int, unit: str) -> Column:
     clean = strip(squeeze(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]+", " ")))
 
     def runs(units: Column) -> Column:
-        count = F.greatest(F.size(units) - size + 1, F.lit(1))
-        joint = " " if unit == "word" else ""
-        return F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.array_join(F.slice(units, i, size), joint))
-            )
-        )
+        last = F.greatest(F.size(units) - size, F.lit(0))
+        run = lambda i: F.xxhash64(*[F.get(units, i + k) for k in range(size)])
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), run))
 
     return let(F.split(clean, " " if unit == "word" else "(?!^)"), runs)
 
@@ -57,13 +53,15 @@ def near_duplicates(
     """
     spark = items.sparkSession
     ensure_checkpoint_dir(spark)
-    hashed = items.select("id", F.array_sort(shingles(F.col(text), size, unit)).alias("hashes"))
-    keyed = hashed.withColumn("set_key", F.sha2(F.array_join(F.col("hashes").cast("array<string>"), ","), 256))
+    hashed = items.select("id", F.sort_array(shingles(F.col(text), size, unit)).alias("hashes"))
+    # Two independent 64-bit hashes and the size stand for the whole set.
+    set_key = F.concat_ws(":", F.xxhash64("hashes"), F.hash("hashes"), F.xxhash64(F.lit(1), "hashes"), F.size("hashes"))
+    keyed = staged(hashed.withColumn("set_key", set_key), "shingles")
     copies = keyed.select("id", "set_key")
     firsts = copies.groupBy("set_key").agg(F.min("id").alias("first_id"))
-    sets = keyed.join(firsts.select(F.col("first_id").alias("id")), "id", "left_semi").select("id", "hashes").checkpoint()
+    sets = keyed.join(firsts.select(F.col("first_id").alias("id")), "id", "left_semi").select("id", "hashes")
     keys = F.array_distinct(band_keys(F.col("hashes"), bands, rows))
-    member = unnest(sets, ["id"], keys, item="band").select("id", "band")
+    member = staged(unnest(sets, ["id"], keys, item="band").select("id", "band"), "bands")
     shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     alive = member.join(shared, "band", "left_semi").checkpoint()
 

@@ -368,10 +368,10 @@ def nest_options(flat: DataFrame) -> DataFrame:
         F.col("reference").alias("image"),
     )
     by_category = flat.groupBy("page_id", F.coalesce("category", F.lit("Options")).alias("category")).agg(
-        F.array_sort(F.collect_list(option)).alias("options")
+        F.sort_array(F.collect_list(option)).alias("options")
     )
     return by_category.groupBy("page_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "options")))).alias("customizations"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "options")))).alias("customizations"),
         F.count(F.lit(1)).alias("n_categories"),
         F.sum(F.size("options")).alias("n_options"),
     )

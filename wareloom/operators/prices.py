@@ -20,7 +20,7 @@ def price_facts(pages: DataFrame) -> DataFrame:
     When several patterns find one value, the earliest pattern decides its
     currency. All of it happens inside the page row.
     """
-    facts = F.array_sort(first_of_each(M.all_prices(F.col("markdown")), lambda f: f["value"]))
+    facts = F.sort_array(first_of_each(M.all_prices(F.col("markdown")), lambda f: f["value"]))
     return unnest(pages, ["page_id", "url"], facts, "rank", "fact").select(
         "page_id",
         "url",

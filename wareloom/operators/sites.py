@@ -111,7 +111,7 @@ def site_signals(pages: DataFrame) -> DataFrame:
     patterns = (
         path_patterns(pages)
         .groupBy("host")
-        .agg(F.array_sort(F.collect_list("pattern")).alias("url_patterns"))
+        .agg(F.sort_array(F.collect_list("pattern")).alias("url_patterns"))
     )
     return sites.join(patterns, "host", "left").select(
         "host",

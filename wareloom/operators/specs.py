@@ -169,14 +169,14 @@ def specs_grouped(sections: DataFrame) -> DataFrame:
     """Specifications per section as a map, as found (without clean-up)."""
     latest = _last_value(["page_id", "section", "title", "key"], section_lines(sections))
     return latest.groupBy("page_id", "section", "title").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("specs"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("specs"),
         F.count(F.lit(1)).alias("n_specs"),
     )
 
 
 def format_specs(pages: DataFrame, specs: DataFrame) -> DataFrame:
     """Specification sheet text of every page: sorted "key: value" lines."""
-    pairs = F.array_sort(F.collect_list(F.struct("key", "value")))
+    pairs = F.sort_array(F.collect_list(F.struct("key", "value")))
     sheets = specs.groupBy("page_id").agg(
         F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit(": "), p["value"])), "\n").alias("sheet")
     )

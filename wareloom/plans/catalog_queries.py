@@ -75,7 +75,7 @@ def built_catalog(t):
 
 def pair_text(map_name):
     return F.array_join(
-        F.transform(F.array_sort(F.map_entries(map_name)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"
+        F.transform(F.sort_array(F.map_entries(map_name)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"
     )
 
 
@@ -481,7 +481,7 @@ SELECT CASE (seq // 50) % 3 WHEN 0 THEN 'p' || seq END AS product_id, product_na
 def _(t):
     product = F.struct("product_name", "url", "base_price", "configurator_type", "has_configurator")
     grouped = t.catalog().groupBy(F.floor(F.col("seq") / DOCUMENT).alias("doc")).agg(
-        F.array_sort(F.collect_list(F.struct("seq", product.alias("product")))).alias("rows")
+        F.sort_array(F.collect_list(F.struct("seq", product.alias("product")))).alias("rows")
     )
     listed = F.transform("rows", lambda r: r["product"])
     keyed = F.map_from_entries(

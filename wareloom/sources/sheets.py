@@ -35,7 +35,7 @@ def _spec_rows(fields: list[str], **extra: Column) -> Column:
     blank = F.array(_row(fields))
     title = F.array(_row(fields, category=F.lit("Specifications")))
     specs = F.transform(
-        F.array_sort(F.map_entries("specifications")),
+        F.sort_array(F.map_entries("specifications")),
         lambda e: _row(fields, component=F.concat(e["key"], F.lit(": "), e["value"]), **extra),
     )
     return _rows(F.size("specifications") > 0, F.concat(blank, title, specs, blank))
@@ -97,7 +97,7 @@ def priced_rows(catalog: DataFrame, include_prices: bool = True) -> DataFrame:
                 F.coalesce(x["option"]["model"], F.lit("General")).alias("model"), i.alias("place"), x.alias("item")
             ),
         )
-        return F.array_sort(tagged)
+        return F.sort_array(tagged)
 
     def write(items: Column) -> Column:
         several = F.size(F.array_distinct(F.transform(items, lambda x: x["model"]))) > 1
