@@ -41,7 +41,7 @@ def any_contained(x: str, words) -> str:
 
 
 def any_rx(x: str, patterns) -> str:
-    return "(" + " OR ".join(has_rx(x, p) for p in patterns) + ")"
+    return has_rx(x, "|".join(f"(?:{p})" for p in patterns))
 
 
 def n_contained(x: str, words) -> str:

@@ -44,40 +44,45 @@ RUN_OUTPUT = "event_id long, session_id long, no_change_count long, is_stuck boo
 RUN_STATE = "url string, content string, run long"
 
 
-def _count_runs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Length of the current unchanged run after each visit of one session."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    url, content, run = state.get if state.exists else (None, None, 0)
-    for visits in batches:
-        visits = visits.sort_values(["ts", "event_id"])
-        counts = []
-        for next_url, next_content in zip(visits["url"], visits["content"]):
-            run = run + 1 if (next_url, next_content) == (url, content) else 0
-            url, content = next_url, next_content
-            counts.append(run)
-        yield pd.DataFrame(
-            {
-                "event_id": visits["event_id"],
-                "session_id": key[0],
-                "no_change_count": counts,
-                "is_stuck": [c >= STUCK_AFTER for c in counts],
-            }
-        )
-    state.update((url, content, run))
-    state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + SESSION_GAP_MS)
-
-
 SESSION_GAP_MS = 365 * 24 * 3600 * 1000
 
 
-def stream_no_change(visits: DataFrame, delay: str = "1 day") -> DataFrame:
-    """No-change run of each session; idle sessions leave the state."""
+def _run_counter(stuck_after: int, gap_ms: int):
+    """State function of stream_no_change; a closure, so workers need not import this package."""
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        url, content, run = state.get if state.exists else (None, None, 0)
+        for visits in batches:
+            visits = visits.sort_values(["ts", "event_id"])
+            counts = []
+            for next_url, next_content in zip(visits["url"], visits["content"]):
+                run = run + 1 if (next_url, next_content) == (url, content) else 0
+                url, content = next_url, next_content
+                counts.append(run)
+            yield pd.DataFrame(
+                {
+                    "event_id": visits["event_id"],
+                    "session_id": key[0],
+                    "no_change_count": counts,
+                    "is_stuck": [c >= stuck_after for c in counts],
+                }
+            )
+        state.update((url, content, run))
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + gap_ms)
+
+    return count
+
+
+def stream_no_change(visits: DataFrame, delay: str = "1 day", gap_ms: int = SESSION_GAP_MS) -> DataFrame:
+    """No-change run of each session; idle sessions leave the state after the gap."""
+    counter = _run_counter(STUCK_AFTER, gap_ms)
     return (
         visits.withWatermark("ts", delay)
         .groupBy("session_id")
-        .applyInPandasWithState(_count_runs, RUN_OUTPUT, RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(counter, RUN_OUTPUT, RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
