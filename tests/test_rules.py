@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from wareloom.functions import money, urls
-from wareloom.operators import classify, configurators, options, prices, specs
+from wareloom.operators import catalog, classify, configurators, options, prices, specs
 from wareloom.operators import urls as url_ops
+from wareloom.sources import sheets
 
 
 def one(spark, value, make):
@@ -156,3 +157,23 @@ def test_title_rules(spark):
     assert [(r["title"], r["short_title"]) for r in rows] == [
         ("Name #1", "Name #1"), ("Untitled Page", "First line"),
     ]
+
+
+def test_sheet_text_without_specs(spark):
+    pages = pages_of(spark, "nothing", "## Specifications\n- Weight: 5 lbs\n- Brand: B")
+    found = specs.section_specs(specs.spec_sections(pages)).filter("key in ('Weight', 'Brand')")
+    rows = specs.format_specs(pages, found).orderBy("page_id").collect()
+    assert [r["sheet"] for r in rows] == ["No specifications available.", "Brand: B\nWeight: 5 lbs"]
+
+
+def test_product_without_specs_has_no_spec_block(spark):
+    base = spark.createDataFrame([(1, 1, "Desk", "u", None)], "page_id long, seq long, product_name string, url string, base_price string")
+    empty_specs = spark.createDataFrame([], "page_id long, key string, value string")
+    empty_options = spark.createDataFrame(
+        [], "page_id long, category string, category_pos int, pos int, label string, price string, image string"
+    )
+    nested = catalog.attach_nested(
+        base, catalog.nest_specs(empty_specs, "key"), catalog.nest_customizations(empty_options)
+    )
+    rows = sheets.priced_rows(nested).collect()
+    assert [(r["category"], r["price"], r["reference"]) for r in rows] == [("Base Model(Desk)", "N/A", "u")]

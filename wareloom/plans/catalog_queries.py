@@ -323,11 +323,10 @@ def sheet_catalog(t):
         "product_name", "url", "base_price",
     )
     spec_rows = specs.section_specs(specs.spec_sections(t.detail_pages()))
-    found = spec_rows.filter(F.col("page_id") % 4 != 0)
-    return C.attach_nested(base, C.nest_specs(found, "key"), C.nest_customizations(rows))
+    return C.attach_nested(base, C.nest_specs(spec_rows, "key"), C.nest_customizations(rows))
 
 
-cte("sheet_specs", "SELECT * FROM section_specs WHERE page_id % 4 <> 0", "section_specs")
+cte("sheet_specs", "SELECT * FROM section_specs", "section_specs")
 cte(
     "component_parts",
     """

@@ -82,17 +82,17 @@ SELECT page_id, url, concat(markdown, chr(10), concat_ws(chr(10),
 FROM ({PRODUCT_PAGES_SQL}) AS base_pages
 """
 
-# Stored configurator pages of some of the product pages.
+# Stored configurator pages; those of every third product are linked by no product page.
 CONFIG_PAGES_SQL = """
 SELECT p_partkey + 1000000000 AS page_id,
-  concat('https://', CASE WHEN p_partkey % 8 = 0 THEN 'app.zakeke.com/c/' ELSE concat('shop', CAST(p_partkey % 7 AS STRING), '.example.com/configure/') END, CAST(p_partkey AS STRING)) AS url,
+  concat('https://', CASE WHEN p_partkey % 3 = 1 THEN 'elsewhere.example.org/c/' WHEN p_partkey % 8 = 0 THEN 'app.zakeke.com/c/' ELSE concat('shop', CAST(p_partkey % 7 AS STRING), '.example.com/configure/') END, CAST(p_partkey AS STRING)) AS url,
   CASE WHEN p_partkey % 16 = 0 THEN 'Loading' ELSE concat_ws(chr(10),
     CASE WHEN p_partkey % 24 = 8 THEN 'Wood (solid):' ELSE '### Frame Color' END,
     CASE WHEN p_partkey % 24 = 8 THEN '- [x] Maple (included)' ELSE '- Black (+$25)' END,
     concat('- [x] Tone ', CAST(p_size AS STRING), ' (+$', CAST(p_size * 9000 AS STRING), ')'),
     CASE WHEN p_partkey % 24 = 8 THEN '' ELSE 'Wood Type:' END,
     '- [x] Maple trim', '- [x] maple trim (+$5)') END AS markdown
-FROM part WHERE p_partkey % 3 <> 1
+FROM part
 """
 
 FORM_PAGES_SQL = """

@@ -388,9 +388,9 @@ def _(t):
     "format_specs",
     f"""SELECT p.page_id, coalesce(s.sheet, {d.q(lex.NO_SPECS_TEXT)}) AS sheet FROM product_pages p LEFT JOIN (
   SELECT page_id, string_agg(key || ': ' || value, chr(10) ORDER BY key) AS sheet FROM section_specs GROUP BY page_id) s
-ON s.page_id = p.page_id AND p.page_id % 2 = 0""",
+ON s.page_id = p.page_id""",
     "product_pages section_specs",
 )
 def _(t):
     found = specs.section_specs(specs.spec_sections(t.detail_pages()))
-    return specs.format_specs(t.product_pages(), found.filter(F.col("page_id") % 2 == 0))
+    return specs.format_specs(t.product_pages(), found)
