@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareloom.llm import licenses, mixing, simhash
+from wareloom.llm import decontamination, licenses, mixing, simhash, token_output
 from wareloom.llm.common import table
 
 
@@ -24,5 +24,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("sid", "at")
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op5_licenses, op7_mixing)}
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the token ids of all documents, read back from the written blocks."""
+    return token_output.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain benchmark items, with these items."""
+    return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op4_simhash, op5_licenses, op7_mixing, op8_token_output, op9_decontamination)}
 CHECKS: dict[str, str] = {}
