@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareloom.llm import decontamination, licenses, mixing, simhash, token_output
+from wareloom.llm import decontamination, lang_id, licenses, mixing, quality, simhash, token_output, toxicity
 from wareloom.llm.common import table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return lang_id.predictions(docs, lang_id.learn(docs))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("bits")
@@ -19,6 +31,12 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of each document."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("sid", "at")
@@ -34,5 +52,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op5_licenses, op7_mixing, op8_token_output, op9_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_quality, op3_language, op4_simhash, op5_licenses, op6_toxicity, op7_mixing, op8_token_output, op9_decontamination)
+}
 CHECKS: dict[str, str] = {}
