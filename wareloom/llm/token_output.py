@@ -21,10 +21,13 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -40,9 +43,10 @@ SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 MAGIC = b"WLRA"
 HEADER = struct.Struct("<4sHHIIQIQ")
-#: Pieces kept per worker, and the longest that is kept.
-MEMO = 400_000
-MEMO_CHARS = 48
+#: Characters of texts whose words are looked up together.
+BATCH_CHARS = 8_000_000
+#: Words kept per worker.
+MEMO = 2_000_000
 
 # The tokenizer's split, spelled out for texts of Latin characters; other texts go to the library whole.
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0"
@@ -51,11 +55,13 @@ _DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECES = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_BLANK}{_LETTER}{_DIGIT}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 )
+_STOPS = frozenset(",.;:!?")
+_OPEN_SPACE = re.compile(rf" (?:[{_BLANK}]|\Z)")
 _LATIN = re.compile("[\t\n\r -~\xa0-ɏ]*")
 
 
-class _Memo(dict):
-    """Piece -> its ids as bytes, by the library's merge model on first sight."""
+class _Pieces(dict):
+    """Piece of the split -> its ids as bytes, by the library's merge model on first sight."""
 
     def __init__(self, model, kind) -> None:
         super().__init__()
@@ -66,12 +72,64 @@ class _Memo(dict):
 
     def __missing__(self, piece: str) -> bytes:
         letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        ids = np.array([t.id for t in self.model.tokenize(letters)], self.kind).tobytes()
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[piece] = ids
-        return ids
+        return array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, _PIECES.findall(text)))
+
+
+class _Words:
+    """Known words and the ids of a space and the word, as flat arrays.
+
+    No piece of the split goes over a space that a non-blank follows: such a
+    space only begins a piece. So what stands between two such spaces has ids
+    of its own.
+    """
+
+    def __init__(self, pieces: _Pieces, whole) -> None:
+        self.pieces, self.whole = pieces, whole
+        self.begins = np.zeros(whole.get_vocab_size(), bool)
+        self.begins[[i for token, i in whole.get_vocab().items() if token.startswith(pieces.letters[ord(" ")])]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.pool = np.empty(0, self.pieces.kind)
+        self.lengths, self.starts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each of the distinct words stands; new ones are encoded and added."""
+        if len(self.known) + len(words) > MEMO:
+            self.clear()
+        at = pc.index_in(words, value_set=self.known)
+        if at.null_count:
+            new = words.filter(at.is_null())
+            ids = self._encode(new.to_pylist())
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.pool.itemsize
+            at = pc.coalesce(at, pa.scalar(-1, pa.int32())).to_numpy(zero_copy_only=False).copy()
+            at[at < 0] = len(self.known) + np.arange(len(ids))
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), self.pool.dtype)])
+            self.known = pa.concat_arrays([self.known, new])
+            return at
+        return at.to_numpy()
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Words of letters, with or without a stop, go to the library many at a
+        time: one piece each, whose first id is the only one that begins with a space."""
+        stops = [w[-1] if w[-1:] in _STOPS else "" for w in words]
+        bare = [w[:-1] if stop else w for w, stop in zip(words, stops)]
+        alpha = [i for i, w in enumerate(bare) if w.isalpha()]
+        out = [b"" if w.isalpha() else self.pieces.ids(" " + words[i]) for i, w in enumerate(bare)]
+        for at in range(0, len(alpha), 2000):
+            some = alpha[at : at + 2000]
+            ids = np.array(self.whole.encode_batch_fast(["".join([" " + bare[i] for i in some])], add_special_tokens=False)[0].ids, self.pool.dtype)
+            cuts = [*(np.flatnonzero(self.begins[ids]) * ids.itemsize).tolist(), ids.nbytes]
+            raw = ids.tobytes()
+            for i, start, end in zip(some, cuts, cuts[1:]):
+                out[i] = raw[start:end] + self.pieces[stops[i]] if stops[i] else raw[start:end]
+        return out
 
 
 class Encoder:
@@ -82,20 +140,59 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(file)
-        self.kind = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
+        self.kind = "H" if self.whole.get_vocab_size() <= 1 << 16 else "I"
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.memo = _Memo(self.whole.model, self.kind)
+        self.pieces = _Pieces(self.whole.model, self.kind)
+        for common in _STOPS:
+            self.pieces[common] = self.pieces[common]
+        self.words = _Words(self.pieces, self.whole)
         probe = " a'll, 12  b\n\n c\t\xe9\xdf !?\xa0x it's \n"
-        self.plain = b"".join(map(self.memo.__getitem__, _PIECES.findall(probe))) == self._library(probe)
+        self.plain = self.pieces.ids(probe) == self._library(probe)
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.kind, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
-        text = text or ""
-        if self.plain and _LATIN.fullmatch(text) and not any(a in text for a in self.added):
-            return b"".join(map(self.memo.__getitem__, _PIECES.findall(text)))
-        return self._library(text)
+    def __call__(self, texts: list) -> list[bytes]:
+        """The ids of each text; a null counts as empty."""
+        out: list[bytes] = [b""] * len(texts)
+        plain: list[int] = []
+        size = 0
+        for i, text in enumerate(texts):
+            text = text or ""
+            if not self.plain or not _LATIN.fullmatch(text) or any(a in text for a in self.added):
+                out[i] = self._library(text)
+            elif _OPEN_SPACE.search(text):
+                out[i] = self.pieces.ids(text)
+            elif text:
+                plain.append(i)
+                size += len(text)
+                if size >= BATCH_CHARS:
+                    self._by_words(texts, plain, out)
+                    plain, size = [], 0
+        if plain:
+            self._by_words(texts, plain, out)
+        return out
+
+    def _by_words(self, texts: list, plain: list[int], out: list[bytes]) -> None:
+        """Each distinct word of the texts is looked up once; the ids are then laid
+        out by position. A text's first word has no space before it."""
+        cut = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        words = cut.flatten().dictionary_encode()
+        place = self.words.places(words.dictionary).astype(np.int64)
+        firsts = [self.pieces.ids(texts[i].split(" ", 1)[0]) for i in plain]
+        extra = np.fromiter(map(len, firsts), np.int64, len(firsts)) // self.words.pool.itemsize
+        lengths = np.concatenate([self.words.lengths[place], extra])
+        starts = np.concatenate([self.words.starts[place], len(self.words.pool) + np.cumsum(extra) - extra])
+        pool = np.concatenate([self.words.pool, np.frombuffer(b"".join(firsts), self.kind)])
+        at = words.indices.to_numpy().copy()
+        at[first] = len(place) + np.arange(len(plain))
+        n = lengths[at]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1])].tobytes()
+        cuts = np.append((ends - n)[first], ends[-1]) * pool.itemsize
+        for k, i in enumerate(plain):
+            out[i] = ids[cuts[k] : cuts[k + 1]]
 
 
 @functools.lru_cache(2)
@@ -118,9 +215,9 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer or vocabulary())
-        end = np.array([END_ID], encode.kind).tobytes()
+        end = array(encode.kind, [END_ID]).tobytes()
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [encode(t) + end for t in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [ids + end for ids in encode(list(frame["text"]))]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInPandas(work, f"doc_id {kind}, ids binary")
@@ -238,7 +335,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, block_toke
     text are ignored.
     """
     spark = docs.sparkSession
-    width = 2 if encoder(tokenizer or vocabulary()).kind == np.uint16 else 4
+    width = array(encoder(tokenizer or vocabulary()).kind).itemsize
     tokens = staged(tokenize(docs, tokenizer), "token-ids")
     symbols, freq = frequencies(symbol_counts(tokens, width))
     table = spark.createDataFrame(pd.DataFrame({"symbol": symbols, "freq": freq}), "symbol long, freq long")
