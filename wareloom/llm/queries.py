@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareloom.llm import decontamination, lang_id, licenses, mixing, quality, simhash, token_output, toxicity
+from wareloom.llm import decontamination, lang_id, licenses, line_dedup, mixing, quality, search, simhash, token_output, toxicity
 from wareloom.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of each document go, and which stay."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -52,8 +57,26 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id 20 divides."""
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search.search(docs, asked)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_quality, op3_language, op4_simhash, op5_licenses, op6_toxicity, op7_mixing, op8_token_output, op9_decontamination)
+    for f in (
+        op1_line_dedup,
+        op2_quality,
+        op3_language,
+        op4_simhash,
+        op5_licenses,
+        op6_toxicity,
+        op7_mixing,
+        op8_token_output,
+        op9_decontamination,
+        op10_search,
+    )
 }
 CHECKS: dict[str, str] = {}
