@@ -238,11 +238,11 @@ def merge_catalogs(*catalogs: DataFrame) -> DataFrame:
     """All routes in one catalog; entries of a page with several get url#item-n.
 
     Entries are numbered per url in seq order, in ranges, so one url with
-    very many entries is not handled by a single task.
+    very many entries is not handled by a single task. Entries without a url
+    stay, without a key.
     """
     merged = union_rows(*catalogs, allow_missing=True)
-    counts = merged.groupBy("url").agg(F.count(F.lit(1)).alias("n_items"))
-    placed = numbered(merged, "seq", keys=["url"], name="item_no").join(counts, "url")
+    placed = numbered(merged, "seq", keys=["url"], name="item_no", of_key="n_items")
     key = F.when(
         F.col("n_items") > 1, F.concat("url", F.lit("#item-"), (F.col("item_no") + 1).cast("string"))
     ).otherwise(F.col("url"))

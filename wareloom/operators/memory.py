@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.frames import union_rows
-from .ordering import RANGE, previous
+from .ordering import RANGE, join_null_safe, previous
 
 SIGNATURE_ELEMENTS = 50
 CLASS_CHARS = 30
@@ -112,14 +112,33 @@ def pages_per_signature(signatures: DataFrame) -> DataFrame:
     return signatures.groupBy("signature").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
-def no_change_runs(visits: DataFrame) -> DataFrame:
-    """Length of the current run of unchanged visits, flagged from three on.
+def _continued(marked: DataFrame, before: DataFrame) -> DataFrame:
+    """The first visit of each session follows the session's row in `before`."""
+    firsts = marked.groupBy("session_id").agg(F.min(F.struct("ts", "event_id")).alias("_first"))
+    known = join_null_safe(
+        firsts, before.select("session_id", F.col("url").alias("_url"), F.col("content").alias("_content")), ["session_id"]
+    )
+    here = F.struct("ts", "event_id").eqNullSafe(F.col("_first"))
+    return (
+        join_null_safe(marked, known, ["session_id"], "left")
+        .withColumn("previous_url", F.when(here, F.col("_url")).otherwise(F.col("previous_url")))
+        .withColumn("previous_content", F.when(here, F.col("_content")).otherwise(F.col("previous_content")))
+        .drop("_first", "_url", "_content")
+    )
+
+
+def counted_runs(visits: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Length of the current run of unchanged visits, with the time of each.
 
     Runs are counted inside day ranges; a run that crosses ranges adds what
-    the ranges before it ended with, carried by one row per range.
+    the ranges before it ended with, carried by one row per range. `before`
+    has one row per session (session_id, url, content, run): the last visit
+    and its run before all of these visits.
     """
     part: Column = F.to_date("ts")
     marked = previous(visits, ["url", "content"], "session_id", ["ts", "event_id"], part)
+    if before is not None:
+        marked = _continued(marked, before)
     same = (F.col("url") == F.col("previous_url")) & (F.col("content") == F.col("previous_content"))
     marked = marked.withColumn("changed", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn(RANGE, part)
     spec = W.partitionBy("session_id", RANGE).orderBy("ts", "event_id")
@@ -138,19 +157,32 @@ def no_change_runs(visits: DataFrame) -> DataFrame:
     grouped = tails.withColumn("epoch", F.coalesce(closed, F.lit(0)))
     # Within an epoch: the range that closed it ends with last_run - 1 unchanged visits,
     # and later ranges without a change add all their visits.
-    before = W.partitionBy("session_id").orderBy(RANGE)
     closing = F.last(F.when(F.col("islands") > 0, F.col("last_run") - 1), ignorenulls=True).over(
-        before.rowsBetween(W.unboundedPreceding, -1)
+        days.rowsBetween(W.unboundedPreceding, -1)
     )
     opened = F.sum(F.when(F.col("islands") == 0, F.col("n_open")).otherwise(0)).over(
         W.partitionBy("session_id", "epoch").orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
     )
+    if before is not None:
+        grouped = join_null_safe(grouped, before.select("session_id", F.col("run").alias("earlier")), ["session_id"], "left")
+    earlier = F.lit(0) if before is None else F.coalesce("earlier", F.lit(0))
     carried = grouped.select(
-        "session_id", RANGE, (F.coalesce(closing, F.lit(0)) + F.coalesce(opened, F.lit(0))).alias("carried")
+        "session_id", RANGE, (F.coalesce(closing, earlier) + F.coalesce(opened, F.lit(0))).alias("carried")
     )
-    joined = inside.join(carried, ["session_id", RANGE])
+    joined = join_null_safe(inside, carried, ["session_id", RANGE])
     length = F.when(F.col("island") == 0, F.col("run") + F.col("carried")).otherwise(F.col("run") - 1)
     return joined.withColumn("no_change_count", length).select(
-        "event_id", "session_id", "url", "content", "no_change_count",
+        "event_id", "session_id", "ts", "url", "content", "no_change_count",
         (F.col("no_change_count") >= STUCK_AFTER).alias("is_stuck"),
     )
+
+
+def no_change_runs(visits: DataFrame) -> DataFrame:
+    """Length of the current run of unchanged visits, flagged from three on."""
+    return counted_runs(visits).drop("ts")
+
+
+def last_visits(counted: DataFrame) -> DataFrame:
+    """The last visit of each session with its run: what counted_runs() continues from."""
+    last = F.max_by(F.struct("ts", "event_id", "url", "content", F.col("no_change_count").alias("run")), F.struct("ts", "event_id"))
+    return counted.groupBy("session_id").agg(last.alias("last")).select("session_id", "last.*")

@@ -2,40 +2,75 @@
 
 Rows are cut into ranges of the order column. Windows run inside a range;
 one small table with a row per range carries the offset from range to range.
+NULL keys and NULL order values form groups and ranges of their own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 RANGE = "_range"
+RANGES = 4096
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be NULL; the right side's keys are dropped."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def running_total(
-    df: DataFrame, value: Column, order: str, keys: list[str] | None = None, width: int = 100_000, name: str = "total"
+    df: DataFrame,
+    value: Column,
+    order: str,
+    keys: list[str] | None = None,
+    width: int | None = None,
+    name: str = "total",
+    of_key: str | None = None,
 ) -> DataFrame:
-    """Add the sum of `value` over all rows before this one, per key, by an integer order."""
+    """Add the sum of `value` over all rows before this one, per key, by an integer order.
+
+    A range spans `width` order values; without it the span of the values is
+    cut into RANGES, so sparse or hashed ids give no more ranges than dense
+    ones. `of_key` names one more column with the key's sum over all rows.
+    """
     keys = keys or []
+    if width is None:
+        low, high = df.agg(F.min(order), F.max(order)).first()
+        width = max(1, -(-((high or 0) - (low or 0) + 1) // RANGES))
     cut = df.withColumn(RANGE, F.floor(F.col(order) / width)).withColumn("_value", value.cast("long"))
     sums = cut.groupBy(*keys, RANGE).agg(F.sum("_value").alias("_sum"))
     ranges = W.partitionBy(*keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(*keys, RANGE, F.coalesce(F.sum("_sum").over(ranges), F.lit(0)).alias("_offset"))
+    offsets = sums.select(
+        *keys,
+        RANGE,
+        F.coalesce(F.sum("_sum").over(ranges), F.lit(0)).alias("_offset"),
+        *([F.sum("_sum").over(W.partitionBy(*keys)).alias(of_key)] if of_key else []),
+    )
     inside = W.partitionBy(*keys, RANGE).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     local = cut.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
     return (
-        local.join(offsets, [*keys, RANGE])
+        join_null_safe(local, offsets, [*keys, RANGE])
         .withColumn(name, F.col("_offset") + F.col("_local"))
         .drop(RANGE, "_value", "_local", "_offset")
     )
 
 
 def numbered(
-    df: DataFrame, order: str, keys: list[str] | None = None, width: int = 100_000, name: str = "row_no"
+    df: DataFrame,
+    order: str,
+    keys: list[str] | None = None,
+    width: int | None = None,
+    name: str = "row_no",
+    of_key: str | None = None,
 ) -> DataFrame:
     """Add the 0-based row number by an integer order, over all rows or per key."""
-    return running_total(df, F.lit(1), order, keys, width, name)
+    return running_total(df, F.lit(1), order, keys, width, name, of_key)
 
 
 def previous(df: DataFrame, columns: list[str], key: str, order: list[str], part: Column) -> DataFrame:
@@ -50,6 +85,6 @@ def previous(df: DataFrame, columns: list[str], key: str, order: list[str], part
     inside = cut.withColumn("_before", F.lag(values).over(spec))
     lasts = cut.groupBy(key, RANGE).agg(F.max_by(values, F.struct(*order)).alias("_last"))
     carried = lasts.select(key, RANGE, F.lag("_last").over(W.partitionBy(key).orderBy(RANGE)).alias("_carried"))
-    joined = inside.join(carried, [key, RANGE]).withColumn("_before", F.coalesce("_before", "_carried"))
+    joined = join_null_safe(inside, carried, [key, RANGE]).withColumn("_before", F.coalesce("_before", "_carried"))
     added = {f"previous_{c}": F.col("_before")[c] for c in columns}
     return joined.withColumns(added).drop(RANGE, "_before", "_carried")

@@ -131,8 +131,8 @@ def _(t):
 
 
 # ------------------------------------------------------------------ streams
-def replay(t, rows, order, slices=4):
-    """The rows as a file stream: one micro-batch per range of the order value."""
+def replay(t, rows, order, slices=4, files=4):
+    """The rows as a file stream: one micro-batch of several files per range of the order value."""
     folder = work_folder(t.spark, "replay")
     keyed = rows.withColumn("_order", F.expr(order).cast("double"))
     cuts = keyed.approxQuantile("_order", [i / slices for i in range(1, slices)], 0.01)
@@ -142,8 +142,8 @@ def replay(t, rows, order, slices=4):
             piece = piece.filter(F.col("_order") > low)
         if high is not None:
             piece = piece.filter(F.col("_order") <= high)
-        piece.drop("_order").coalesce(1).write.mode("append").parquet(folder)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        piece.drop("_order").repartition(files).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @query("stream_new_pages", f"SELECT DISTINCT {d.canonical('url')} AS canonical FROM pages")
@@ -197,5 +197,5 @@ def timed_pages(t):
 def _(t):
     visits = t.page_visits().withColumn("ts", F.col("ts").cast("timestamp"))
     folder = work_folder(t.spark, "runs")
-    jobs.run_to_folder(jobs.stream_no_change(replay(t, visits, "unix_micros(ts)"), delay="3650 days"), folder)
-    return t.spark.read.parquet(folder).drop("batch")
+    jobs.stream_no_change(replay(t, visits, "unix_micros(ts)"), folder, gap="3650 days")
+    return jobs.read_runs(t.spark, folder).drop("url", "content")

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import urls as U
+from ..functions.frames import union_rows
 from ..operators import classify, memory
 
-STUCK_AFTER = memory.STUCK_AFTER
-
 
 def stream_new_pages(pages: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
     """First page per canonical url; state older than the watermark is dropped."""
@@ -40,50 +35,56 @@ def stream_type_counts(
     )
 
 
-RUN_OUTPUT = "event_id long, session_id long, no_change_count long, is_stuck boolean"
-RUN_STATE = "url string, content string, run long"
+def stream_no_change(visits: DataFrame, folder: str, gap: str = "365 days") -> None:
+    """No-change run of each visit, into one folder per batch id.
 
+    Every micro-batch is folded as a table, in the order of its time stamps;
+    one row per session carries its last visit and run to the next batch.
+    Sessions leave these rows when the newest visit seen is more than `gap`
+    past their own last one. Sessions and time stamps may be NULL.
+    """
 
-SESSION_GAP_MS = 365 * 24 * 3600 * 1000
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        old = _last_rows(spark, folder, batch_id)
+        counted = memory.counted_runs(batch, old)
+        counted.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        counted = spark.read.parquet(f"{folder}/batch={batch_id}")
+        rows = memory.last_visits(counted)
+        if old is not None:
+            kept = old.alias("o").join(rows.alias("n"), F.col("o.session_id").eqNullSafe(F.col("n.session_id")), "left_anti")
+            rows = union_rows(rows, kept)
+        newest = rows.agg(F.max("ts")).first()[0]
+        if newest is not None:
+            rows = rows.where(F.coalesce(F.col("ts") >= F.lit(newest) - F.expr(f"INTERVAL {gap}"), F.lit(True)))
+        rows.write.mode("overwrite").parquet(_rows_folder(folder, batch_id))
 
+    _run(visits, write, folder)
 
-def _run_counter(stuck_after: int, gap_ms: int):
-    """State function of stream_no_change; a closure, so workers need not import this package."""
 
-    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        url, content, run = state.get if state.exists else (None, None, 0)
-        for visits in batches:
-            visits = visits.sort_values(["ts", "event_id"])
-            counts = []
-            for next_url, next_content in zip(visits["url"], visits["content"]):
-                run = run + 1 if (next_url, next_content) == (url, content) else 0
-                url, content = next_url, next_content
-                counts.append(run)
-            yield pd.DataFrame(
-                {
-                    "event_id": visits["event_id"],
-                    "session_id": key[0],
-                    "no_change_count": counts,
-                    "is_stuck": [c >= stuck_after for c in counts],
-                }
-            )
-        state.update((url, content, run))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + gap_ms)
+def read_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """All visits that stream_no_change has written."""
+    return spark.read.parquet(folder).drop("batch", "ts")
 
-    return count
 
+# ------------------------------------------------------------------ carried rows
+def _rows_folder(folder: str, batch_id: int) -> str:
+    """Two folders in turn: a batch reads the one before it and overwrites its own, also when it runs again."""
+    return f"{folder}-rows/{batch_id % 2}"
 
-def stream_no_change(visits: DataFrame, delay: str = "1 day", gap_ms: int = SESSION_GAP_MS) -> DataFrame:
-    """No-change run of each session; idle sessions leave the state after the gap."""
-    counter = _run_counter(STUCK_AFTER, gap_ms)
-    return (
-        visits.withWatermark("ts", delay)
-        .groupBy("session_id")
-        .applyInPandasWithState(counter, RUN_OUTPUT, RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+def _last_rows(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
+    return spark.read.parquet(_rows_folder(folder, batch_id - 1)) if batch_id else None
+
+
+def _run(stream: DataFrame, write, folder: str) -> None:
+    query = (
+        stream.writeStream.option("checkpointLocation", f"{folder}-progress")
+        .foreachBatch(write)
+        .trigger(availableNow=True)
+        .start()
     )
+    query.awaitTermination()
 
 
 # ------------------------------------------------------------------ running and sinks
@@ -117,22 +118,17 @@ def read_latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
 
 
 def stream_upsert(states: DataFrame, folder: str) -> None:
-    """Fold each batch to its newest states and store it under its batch id."""
+    """Fold each batch into the newest state per key; only the last two results are kept."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = memory.upsert_states(batch.limit(0), batch)
-        newest.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        old = _last_rows(batch.sparkSession, folder, batch_id)
+        newest = memory.upsert_states(batch.limit(0) if old is None else old, batch)
+        newest.write.mode("overwrite").parquet(_rows_folder(folder, batch_id))
 
-    query = (
-        states.writeStream.option("checkpointLocation", f"{folder}-progress")
-        .foreachBatch(write)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    _run(states, write, folder)
 
 
 def read_states(spark: SparkSession, folder: str) -> DataFrame:
     """Current states of a folder that stream_upsert feeds."""
-    rows = spark.read.parquet(folder).drop("batch")
+    rows = spark.read.parquet(f"{folder}-rows/*")
     return memory.upsert_states(rows.limit(0), rows)
