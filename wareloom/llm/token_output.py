@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from wareloom.session import staged, work_folder
 
 END_ID = 0
-LANES = 512
-BLOCK_TOKENS = 1 << 18
+LANES = 2048
+BLOCK_TOKENS = 1 << 20
 CHECKPOINT_STEPS = 256
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
@@ -46,7 +46,7 @@ HEADER = struct.Struct("<4sHHIIQIQ")
 #: Characters of texts whose words are looked up together.
 BATCH_CHARS = 8_000_000
 #: Words kept per worker.
-MEMO = 2_000_000
+MEMO = 1_000_000
 
 # The tokenizer's split, spelled out for texts of Latin characters; other texts go to the library whole.
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0"
