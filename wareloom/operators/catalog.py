@@ -168,19 +168,20 @@ def split_products(catalog: DataFrame, options: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ clean-up
 GENERIC_NAMES = ["untitled page", "unknown", "unknown product", "product", "home", "menu", "navigation", "contact us",
                  "about us", "read more", "learn more"]
-NAVIGATION_URL_PARTS = ["/contact", "/faq", "/about"]
+NAVIGATION_SEGMENTS = ["contact", "contact-us", "contacts", "faq", "faqs", "about", "about-us"]
+#: One whole segment of the path, with or without a file ending.
+NAVIGATION_URL = "^([a-z][a-z0-9+.-]*:)?(//)?[^?#]*/(" + "|".join(NAVIGATION_SEGMENTS) + ")([.](html?|php|aspx?))?(/|[?#]|$)"
 
 
 def invalid_reason(name: Column, url: Column) -> Column:
     """Why an entry is no product, '' when nothing speaks against it."""
     clean = F.lower(strip(F.coalesce(name, F.lit(""))))
-    question = clean.endswith("?") | any_of(clean.startswith(p) for p in lex.QUESTION_PREFIXES)
     return (
         F.when(clean == "", "empty_name")
-        .when(question, "question")
+        .when(clean.endswith("?"), "question")
         .when(F.contains(clean, F.lit("faq")), "faq")
         .when(clean.isin(GENERIC_NAMES), "generic_name")
-        .when(contains_any(F.lower(url), NAVIGATION_URL_PARTS), "navigation_page")
+        .when(F.lower(url).rlike(NAVIGATION_URL), "navigation_page")
         .otherwise("")
     )
 

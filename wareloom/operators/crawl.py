@@ -22,61 +22,54 @@ def discover(
     pages: DataFrame,
     edges: DataFrame,
     seeds: DataFrame,
-    max_depth: int = 3,
-    max_pages: int = 50,
+    max_depth: int | None = None,
+    max_pages: int | None = None,
     count_failed: bool = True,
 ) -> DataFrame:
     """Breadth-first pages from the seeds: canonical, depth, fetched.
 
-    A url is visited once, at its smallest depth. Ties for the page cap go
-    by (depth, canonical). Urls without a stored page count as failed; they
-    use up the cap when count_failed is set, and are left out otherwise.
+    A url is visited once, at its smallest depth; without max_depth until no
+    new url is found. Ties for the page cap go by (depth, canonical). Urls
+    without a stored page count as failed; they use up the cap when
+    count_failed is set, and are left out otherwise.
 
     One job per level; each level is written to the checkpoint folder, so a
-    lost executor re-reads a file instead of walking the graph again.
+    lost executor re-reads a file instead of walking the graph again. Whether
+    a url is stored is looked up after the level is folded to distinct urls,
+    so a page that every page links to is one row there.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    stored = pages.select(U.canonical(F.col("url")).alias("canonical")).distinct()
-    frontier = (
-        seeds.filter(U.crawl_skip_reason(F.col("url")) == "")
-        .select(U.canonical(F.col("url")).alias("canonical"))
-        .distinct()
-        .join(stored.withColumn("fetched", F.lit(True)), "canonical", "left")
-        .select("canonical", F.lit(0).alias("depth"), F.coalesce("fetched", F.lit(False)).alias("fetched"))
-    )
-    if not count_failed:
-        frontier = frontier.filter("fetched")
+    stored = pages.select(U.canonical(F.col("url")).alias("canonical")).distinct().withColumn("fetched", F.lit(True))
+
+    def looked_up(found: DataFrame, depth: int) -> DataFrame:
+        how = "left" if count_failed else "inner"
+        known = found.join(stored, "canonical", how)
+        return known.select("canonical", F.lit(depth).alias("depth"), F.coalesce("fetched", F.lit(False)).alias("fetched"))
+
+    start = seeds.filter(U.crawl_skip_reason(F.col("url")) == "").select(U.canonical(F.col("url")).alias("canonical"))
     graph = crawl_graph(edges)
-    if not count_failed:
-        graph = graph.join(stored.withColumnRenamed("canonical", "dst"), "dst", "left_semi")
-    graph = graph.join(
-        stored.select(F.col("canonical").alias("dst"), F.lit(True).alias("fetched")), "dst", "left"
-    ).select("src", "dst", F.coalesce("fetched", F.lit(False)).alias("fetched"))
-    if max_depth > 1:
+    if max_depth is None or max_depth > 1:
         graph = graph.checkpoint()
-
-    frontier = frontier.checkpoint()
-    levels = [frontier]
-    visited = frontier.count()
-    for depth in range(1, max_depth + 1):
-        if visited >= max_pages:
-            break
+    levels = [looked_up(start.distinct(), 0).checkpoint()]
+    visited = levels[0].count()
+    depth = 0
+    while (max_depth is None or depth < max_depth) and (max_pages is None or visited < max_pages):
+        depth += 1
         known = union_rows(*[level.select("canonical") for level in levels])
-        frontier = (
+        reached = (
             graph.join(levels[-1].select(F.col("canonical").alias("src")), "src", "left_semi")
-            .groupBy(F.col("dst").alias("canonical"))
-            .agg(F.bool_or("fetched").alias("fetched"))
+            .select(F.col("dst").alias("canonical"))
+            .distinct()
             .join(known, "canonical", "left_anti")
-            .select("canonical", F.lit(depth).alias("depth"), "fetched")
-            .checkpoint()
         )
-        found = frontier.count()
+        level = looked_up(reached, depth).checkpoint()
+        found = level.count()
         if found == 0:
             break
-        levels.append(frontier)
+        levels.append(level)
         visited += found
     out = union_rows(*levels)
-    if visited > max_pages:
+    if max_pages is not None and visited > max_pages:
         out = out.orderBy("depth", "canonical").limit(max_pages)
     return out
 

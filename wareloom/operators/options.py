@@ -377,30 +377,24 @@ def nest_options(flat: DataFrame) -> DataFrame:
     )
 
 
-GRAM = 5
-
-
 def contained_in(short: DataFrame, long: DataFrame, group: str, short_text: str, long_text: str) -> DataFrame:
     """Pairs of texts in one group where `short_text` occurs in `long_text`.
 
-    Not a product of the two sides: a short text is looked up by its first
-    few characters among the character runs of the long texts (an equi
-    join), and only those hits are compared in full.
+    Not a product of the two sides: the long texts are cut at every place
+    into pieces of the lengths that the group's short texts have, and the
+    pieces meet whole short texts in an equi join. Every joined row is a match.
     """
-    size = F.least(F.length(short_text), F.lit(GRAM))
-    keyed = short.withColumn("gram", F.substring(F.col(short_text), F.lit(1), size))
-    starts = F.sequence(F.lit(1), F.length(long_text))
-    grams = F.flatten(
+    lengths = short.groupBy(group).agg(F.collect_set(F.length(short_text)).alias("lengths"))
+    pieces = F.flatten(
         F.transform(
-            starts,
-            lambda s: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length(long_text) - s + 1)),
-                lambda n: F.substring(F.col(long_text), s, n),
+            F.filter("lengths", lambda n: (n > 0) & (n <= F.length(long_text))),
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.length(long_text) - n + 1), lambda s: F.substring(F.col(long_text), s, n)
             ),
         )
     )
-    gram_rows = long.filter(F.length(long_text) > 0).withColumn("gram", F.explode(F.array_distinct(grams)))
-    return keyed.join(gram_rows, [group, "gram"]).filter(F.contains(F.col(long_text), F.col(short_text))).drop("gram")
+    cut = long.join(lengths, group).withColumn("piece", F.explode(F.array_distinct(pieces))).drop("lengths")
+    return short.withColumn("piece", F.col(short_text)).join(cut, [group, "piece"]).drop("piece")
 
 
 def match_option_images(options: DataFrame, elements: DataFrame) -> DataFrame:

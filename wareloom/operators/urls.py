@@ -78,8 +78,8 @@ def link_edges(pages: DataFrame, kind: str = "markdown", host_mode: str = "raw")
     return unnest(pages, ["page_id", "url"], cleaned, item="link").drop("pos")
 
 
-def one_hop(edges: DataFrame, max_urls: int = 50) -> DataFrame:
-    """First links of each page after normalizing, at most max_urls per page.
+def one_hop(edges: DataFrame, max_urls: int | None = None) -> DataFrame:
+    """Links of each page after normalizing, in order; the first max_urls per page if given.
 
     `edges` carries pos, the place of the link on its page.
     """
@@ -87,7 +87,8 @@ def one_hop(edges: DataFrame, max_urls: int = 50) -> DataFrame:
     same = normal.filter(U.host(F.col("link")) == U.host(F.col("url")))
     firsts = same.groupBy("page_id", "url", "link").agg(F.min("pos").alias("pos"))
     rank = F.row_number().over(W.partitionBy("page_id").orderBy("pos"))
-    return firsts.withColumn("rank", rank).filter(F.col("rank") <= max_urls).drop("pos")
+    ranked = firsts.withColumn("rank", rank).drop("pos")
+    return ranked if max_urls is None else ranked.filter(F.col("rank") <= max_urls)
 
 
 def page_links(pages: DataFrame, kind: str = "markdown") -> DataFrame:

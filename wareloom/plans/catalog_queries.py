@@ -176,11 +176,12 @@ CLEAN_NAME = f"lower({d.strip('coalesce(product_name, ' + d.q('') + ')')})"
 cte(
     "judged",
     f"""SELECT *, CASE WHEN {CLEAN_NAME} = '' THEN 'empty_name'
-  WHEN ends_with({CLEAN_NAME}, '?') OR {' OR '.join(f'starts_with({CLEAN_NAME}, {d.q(p)})' for p in lex.QUESTION_PREFIXES)}
-    THEN 'question'
+  WHEN ends_with({CLEAN_NAME}, '?') THEN 'question'
   WHEN contains({CLEAN_NAME}, 'faq') THEN 'faq'
   WHEN {CLEAN_NAME} IN ({', '.join(map(d.q, C.GENERIC_NAMES))}) THEN 'generic_name'
-  WHEN {d.any_contained('lower(url)', C.NAVIGATION_URL_PARTS)} THEN 'navigation_page' ELSE '' END AS reason FROM raw_catalog""",
+  WHEN len(list_filter(string_split(regexp_replace(regexp_replace(lower(url), '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '/')[2:],
+    lambda s: regexp_replace(s, '[.](html?|php|aspx?)$', '') IN ('contact', 'contact-us', 'contacts', 'faq', 'faqs', 'about', 'about-us'))) > 0
+    THEN 'navigation_page' ELSE '' END AS reason FROM raw_catalog""",
     "raw_catalog",
 )
 SIGNATURE = f"{CLEAN_NAME} || '|' || lower({d.strip('url')})"

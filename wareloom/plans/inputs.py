@@ -157,8 +157,11 @@ FROM part
 RAW_CATALOG_SQL = f"""
 SELECT seq, CASE WHEN seq % 17 = 0 THEN concat('What is a ', product_name, '?')
   WHEN seq % 19 = 0 THEN 'Contact us' WHEN seq % 23 = 0 THEN ' ' WHEN seq % 29 = 0 THEN 'FAQ'
-  WHEN seq % 31 = 0 THEN upper(product_name) ELSE product_name END AS product_name,
-  CASE WHEN seq % 37 = 0 THEN concat(url, '/contact') ELSE url END AS url,
+  WHEN seq % 31 = 0 THEN upper(product_name) WHEN seq % 41 = 0 THEN concat('Can Crusher ', product_name)
+  WHEN seq % 43 = 0 THEN concat('Do It Yourself ', product_name) WHEN seq % 47 = 0 THEN concat('Is this it? ', product_name)
+  ELSE product_name END AS product_name,
+  CASE WHEN seq % 37 = 0 THEN concat(url, '/contact') WHEN seq % 53 = 0 THEN concat(url, '/about-saunas/oak')
+  WHEN seq % 59 = 0 THEN concat(url, '/FAQ.html#top') ELSE url END AS url,
   base_price, configurator_type, has_configurator, route
 FROM ({CATALOG_SQL}) AS plain_catalog
 """
@@ -194,7 +197,7 @@ SELECT user_id AS page_id, event_id AS pos,
   CASE WHEN event_id % 11 = 0 THEN NULL ELSE concat('option ', CAST(event_id % 40 AS STRING)) END AS component,
   CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('+$', CAST(event_id % 100 AS STRING)) END AS price,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('ref-', CAST(event_id AS STRING)) END AS reference
-FROM events WHERE event_type <> 'error'
+FROM events
 """
 
 EXPLORED_SQL = """

@@ -271,7 +271,7 @@ def _(t):
     return specs.spec_coverage(specs.spec_pairs(t.detail_pages()))
 
 
-WIDE = ["Weight", "Width", "Depth", "Material", "Brand", "Fuel Economy"]
+WIDE = list(dict.fromkeys(name for _, name in lex.SPEC_PATTERNS))
 
 
 @query(

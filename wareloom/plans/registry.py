@@ -53,7 +53,8 @@ def with_ctes(sql: str, needs: str, recursive: bool = False) -> str:
     if not order:
         return sql
     head = "WITH RECURSIVE " if recursive else "WITH "
-    return head + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + sql
+    kind = "AS" if recursive else "AS MATERIALIZED"  # a fragment that several read is worked out once
+    return head + ",\n".join(f"{n} {kind} ({CTES[n]})" for n in order) + "\n" + sql
 
 
 def query(name: str, check: str | None = None, needs: str = "", recursive: bool = False):

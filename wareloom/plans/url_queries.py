@@ -136,23 +136,23 @@ FROM (SELECT canonical, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY cano
 LEFT JOIN stored s ON s.canonical = w.canonical"""
 
 
-@query("discover", f"{DISCOVERED} ORDER BY w.depth, w.canonical LIMIT 60", "walk stored", recursive=True)
+@query("discover", DISCOVERED, "walk stored", recursive=True)
 def _(t):
     pages = t.product_pages()
     seeds = pages.filter(F.col("page_id") < SEED_LIMIT)
-    return crawl.discover(pages, urls.link_edges(pages), seeds, max_depth=3, max_pages=60)
+    return crawl.discover(pages, urls.link_edges(pages), seeds, max_depth=3)
 
 
 @query(
     "discover_stored_only",
-    f"{DISCOVERED} WHERE s.canonical IS NOT NULL ORDER BY w.depth, w.canonical LIMIT 5000",
+    f"{DISCOVERED} WHERE s.canonical IS NOT NULL",
     "walk stored",
     recursive=True,
 )
 def _(t):
     pages = t.product_pages()
     seeds = pages.filter(F.col("page_id") < SEED_LIMIT)
-    return crawl.discover(pages, urls.link_edges(pages), seeds, 3, 5000, count_failed=False)
+    return crawl.discover(pages, urls.link_edges(pages), seeds, 3, count_failed=False)
 
 
 @query(
@@ -167,11 +167,10 @@ SELECT page_id, url, link, rank FROM (
       FROM (SELECT page_id, url, pos, {d.absolute('raw', 'url')} AS full_url FROM (
         SELECT page_id, url, unnest(found) AS raw, generate_subscripts(found, 1) AS pos FROM (
           SELECT page_id, url, {d.rx_all('html', HREF, 1)} AS found FROM pages) x) y) z) n
-    WHERE {d.host('link')} = {d.host('url')} GROUP BY page_id, url, link) u) r
-WHERE rank <= 4""",
+    WHERE {d.host('link')} = {d.host('url')} GROUP BY page_id, url, link) u) r""",
 )
 def _(t):
-    return urls.one_hop(urls.page_links(t.pages(), "html"), 4)
+    return urls.one_hop(urls.page_links(t.pages(), "html"))
 
 
 @query(
@@ -212,7 +211,7 @@ LEFT JOIN ({DISCOVERED}) w ON w.canonical = {d.canonical('p.url')}""",
 def _(t):
     pages = t.product_pages()
     seeds = pages.filter(F.col("page_id") < SEED_LIMIT)
-    found = crawl.discover(pages, urls.link_edges(pages), seeds, 3, 1_000_000)
+    found = crawl.discover(pages, urls.link_edges(pages), seeds, 3)
     return urls.url_info(pages, found)
 
 
