@@ -125,7 +125,8 @@ def _(t):
 
 
 # ------------------------------------------------------------------ dominant colours
-ITERATIONS = 4
+#: Steps of the check, more than the given tables need until no centre moves.
+ITERATIONS = 20
 cte(
     "weights",
     "SELECT image_id, r, g, b, r + g + b AS light, count(*) AS n FROM pixels GROUP BY image_id, r, g, b",
@@ -183,7 +184,7 @@ FROM centres_{ITERATIONS}""",
 
 @query("dominant_colors", "SELECT * FROM dominant", "dominant")
 def _(t):
-    return colors.dominant_colors(t.pixels(), ITERATIONS)
+    return colors.dominant_colors(t.pixels())
 
 
 SNAP = "CAST(least(greatest(round_even({c} / 5.0::DOUBLE, 0) * 5, 0), 255) AS INT)"
@@ -224,7 +225,7 @@ WHERE percentage >= 2 AND NOT (r < 10 AND g < 10 AND b < 10) AND NOT (r > 245 AN
 
 @query("clean_palette", "SELECT * FROM palette", "palette", recursive=True)
 def _(t):
-    return colors.clean_palette(colors.dominant_colors(t.pixels(), ITERATIONS))
+    return colors.clean_palette(colors.dominant_colors(t.pixels()))
 
 
 BOXES = ", ".join(
@@ -296,7 +297,7 @@ IMAGE_NO = "length(image) % 10"
 
 def page_palettes(t):
     swatch = colors.best_swatch(t.detail_pages()).select("page_id", "image")
-    named = colors.name_colors(colors.clean_palette(colors.dominant_colors(t.pixels(), ITERATIONS)), "descriptive")
+    named = colors.name_colors(colors.clean_palette(colors.dominant_colors(t.pixels())), "descriptive")
     images = swatch.select("image", F.expr(IMAGE_NO).cast("int").alias("image_id")).distinct()
     return swatch, images.join(named, "image_id").drop("image_id")
 
