@@ -177,3 +177,54 @@ def test_product_without_specs_has_no_spec_block(spark):
     )
     rows = sheets.priced_rows(nested).collect()
     assert [(r["category"], r["price"], r["reference"]) for r in rows] == [("Base Model(Desk)", "N/A", "u")]
+
+
+def test_canonical_urls_follow_the_grammar(spark):
+    from urllib.parse import urlparse, urlunparse
+
+    from wareloom.functions import urls as U
+
+    odd = [
+        "/a", "/b/", "b", "shop.example.com/x", "//Shop.Example.com/x/", "HTTP://Shop.example.com/A/?q=1#f", "https://h", "https://h/", "",
+        "mailto:me@example.com", "https://h:8080/p;x=1?y", "?q", "#f", "https://h/a;b/c;d", "https://h//",
+    ]
+
+    def plain(url):
+        u = urlparse(url)
+        return urlunparse((u.scheme.lower(), u.netloc.lower(), u.path.rstrip("/"), "", "", ""))
+
+    got = spark.createDataFrame([(u,) for u in odd], "url string").select("url", U.canonical(F.col("url")).alias("c")).collect()
+    assert {r.url: r.c for r in got} == {u: plain(u) for u in odd}
+
+
+def test_products_that_only_sound_like_questions_stay(spark):
+    from wareloom.operators.catalog import invalid_reason
+
+    cases = {
+        ("Can Crusher", "https://h/can"): "",
+        ("Do It Yourself Kit", "https://h/kit"): "",
+        ("Is This Sauna for Two", "https://h/about-saunas/oak"): "",
+        ("What is a sauna?", "https://h/x"): "question",
+        ("Oak Desk", "https://h/about"): "navigation_page",
+        ("Oak Desk", "https://h/About-us.html?x=1"): "navigation_page",
+        ("Oak Desk", "https://h/contact/"): "navigation_page",
+        ("Oak Desk", "https://h/faqtory"): "",
+        ("Oak Desk", None): "",
+        (None, "https://h/x"): "empty_name",
+        ("Sauna FAQ", "https://h/x"): "faq",
+    }
+    rows = spark.createDataFrame(list(cases), "name string, url string")
+    got = rows.select("name", "url", invalid_reason(F.col("name"), F.col("url")).alias("r")).collect()
+    assert {(r.name, r.url): r.r for r in got} == cases
+
+
+def test_contained_texts_join_only_true_matches(spark):
+    from wareloom.operators.options import contained_in
+
+    short = [(p, f"option {i}") for p in (1, 2) for i in range(30)] + [(1, ""), (1, "x")]
+    long = [(p, k, f"see option {k} here, option 1") for p in (1, 2) for k in range(40)] + [(1, 99, "xx"), (1, 100, "")]
+    got = contained_in(
+        spark.createDataFrame(short, "page_id int, a string"), spark.createDataFrame(long, "page_id int, k int, b string"), "page_id", "a", "b"
+    )
+    want = sorted((p, a, k) for p, a in short for q, k, b in long if p == q and a and a in b)
+    assert sorted((r.page_id, r.a, r.k) for r in got.collect()) == want

@@ -36,10 +36,21 @@ def _rstrip_slash(c: Column) -> Column:
     return F.rtrim(c, F.lit("/"))
 
 
+#: Scheme, host and path of the url grammar, each of them optional.
+GRAMMAR = r"^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)"
+
+
 def canonical(url: Column) -> Column:
-    """Lower-case host, no trailing slash, no params, query or fragment."""
-    plain_path = F.regexp_replace(path(url), r";[^/]*$", "")
-    return F.concat(scheme(url), F.lit("://"), host(url), _rstrip_slash(plain_path))
+    """Lower-case scheme and host, no trailing slash, no params, query or fragment.
+
+    A url without scheme or host keeps what it has, so relative urls stay apart.
+    """
+    kind, place, rest = (F.regexp_extract(url, GRAMMAR, i) for i in (1, 2, 3))
+    return F.concat(
+        F.when(kind != "", F.concat(F.lower(kind), F.lit(":"))).otherwise(F.lit("")),
+        F.when(place != "", F.concat(F.lit("//"), F.lower(place))).otherwise(F.lit("")),
+        _rstrip_slash(F.regexp_replace(rest, r";[^/]*$", "")),
+    )
 
 
 def with_query(url: Column) -> Column:

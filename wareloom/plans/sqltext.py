@@ -81,7 +81,13 @@ def path(u: str) -> str:
 
 
 def canonical(u: str) -> str:
-    return f"({scheme(u)} || '://' || {host(u)} || rtrim(regexp_replace({path(u)}, ';[^/]*$', ''), '/'))"
+    start = "^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)"
+    kind, place, rest = (rx(u, start, i) for i in (1, 2, 3))
+    return (
+        f"(CASE WHEN {kind} <> '' THEN lower({kind}) || ':' ELSE '' END"
+        f" || CASE WHEN {place} <> '' THEN '//' || lower({place}) ELSE '' END"
+        f" || rtrim(regexp_replace({rest}, ';[^/]*$', ''), '/'))"
+    )
 
 
 def no_query(u: str) -> str:
