@@ -79,4 +79,16 @@ QUERIES = {
         op10_search,
     )
 }
-CHECKS: dict[str, str] = {}
+_SETS = """
+SELECT {id}, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+FROM (SELECT {id}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}) words"""
+
+CHECKS: dict[str, str] = {
+    "op9_decontamination": f"""
+WITH d AS MATERIALIZED (SELECT doc_id, unnest(s) AS shingle FROM ({_SETS.format(id="doc_id", table="documents")}) x),
+i AS MATERIALIZED (SELECT item_id, unnest(s) AS shingle, len(s) AS n FROM ({_SETS.format(id="item_id", table="benchmark")}) x)
+SELECT doc_id, item_id, count(*) / n AS containment FROM d JOIN i ON d.shingle = i.shingle
+GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n""",
+}

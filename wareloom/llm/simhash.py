@@ -200,4 +200,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     groups = near_duplicates(docs).select(F.col("doc_id").alias("kept_id"), "component_id")
     keep = groups.where(F.col("kept_id").eqNullSafe(F.col("component_id"))).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")

@@ -44,9 +44,9 @@ LOW = np.uint64(1 << 31)
 MAGIC = b"WLRA"
 HEADER = struct.Struct("<4sHHIIQIQ")
 #: Characters of texts whose words are looked up together.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 5_000_000
 #: Words kept per worker.
-MEMO = 1_000_000
+MEMO = 700_000
 
 # The tokenizer's split, spelled out for texts of Latin characters; other texts go to the library whole.
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0"
@@ -218,6 +218,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         end = array(encode.kind, [END_ID]).tobytes()
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [ids + end for ids in encode(list(frame["text"]))]})
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInPandas(work, f"doc_id {kind}, ids binary")
