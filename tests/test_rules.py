@@ -228,3 +228,13 @@ def test_contained_texts_join_only_true_matches(spark):
     )
     want = sorted((p, a, k) for p, a in short for q, k, b in long if p == q and a and a in b)
     assert sorted((r.page_id, r.a, r.k) for r in got.collect()) == want
+
+
+def test_no_break_blanks_are_trimmed(spark):
+    from wareloom.functions import text as T
+
+    rows = spark.createDataFrame([("\xa0 Oak\u2003\xa0Desk \u3000",), ("a b",), ("\x85",)], "t string")
+    got = [(r.a, r.b) for r in rows.select(T.strip(F.col("t")).alias("a"), T.strip(T.squeeze(F.col("t"))).alias("b")).collect()]
+    assert got == [("Oak\u2003\xa0Desk", "Oak Desk"), ("a b", "a b"), ("", "")]
+    page = spark.createDataFrame([(1, "https://h/oak-desk", "# Oak Desk\xa0\n\nPrice: $120.00\n")], "page_id long, url string, markdown string")
+    assert prices.base_price(page).first().product_name == "Oak Desk"

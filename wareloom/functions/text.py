@@ -13,7 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANKS = " \t\n\r\f\x0b"
+#: Every character that counts as white space, no-break and other Unicode blanks among them.
+_WIDE_BLANKS = "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+BLANKS = " \t\n\r\f\x0b" + _WIDE_BLANKS
 INLINE_BLANK = r"[^\S\n]"
 
 
@@ -22,7 +24,7 @@ def strip(c: Column, chars: str = BLANKS) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return F.regexp_replace(c, r"\s+", " ")
+    return F.regexp_replace(c, rf"[\s{_WIDE_BLANKS}]+", " ")
 
 
 def strip_tags(c: Column) -> Column:
@@ -104,10 +106,6 @@ def first_of_each(items: Column, key) -> Column:
     return let(items, pick)
 
 
-def rounded(c: Column, digits: int = 6) -> Column:
-    return F.round(c, digits)
-
-
 def let(value: Column, use) -> Column:
     """use(value) with the value computed once, however often `use` names it."""
     return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
