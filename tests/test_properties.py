@@ -62,35 +62,34 @@ def test_no_change_runs_across_days(spark):
     assert got == want
 
 
-def brute_force(spark, items, threshold, size, unit, bands, rows):
-    """Greedy by id over items that share a band, all pairs compared on the driver."""
+def brute_force(spark, items, threshold, size, unit):
+    """Each item's first similar earlier item, and where these lead; all pairs compared."""
     hashed = items.select("id", F.sort_array(near_duplicates.shingles(F.col("text"), size, unit)).alias("h"))
-    data = hashed.select("id", "h", near_duplicates.band_keys(F.col("h"), bands, rows).alias("b")).orderBy("id").collect()
-    kept, dropped = [], {}
-    for row in data:
-        mine, keys = set(row["h"]), set(row["b"])
-        for other_id, other, other_keys in kept:
-            same = mine == other
-            if same or (keys & other_keys and len(mine & other) / len(mine | other) >= threshold):
-                dropped[row["id"]] = other_id
-                break
-        else:
-            kept.append((row["id"], mine, keys))
-    return dropped
-
-
-@pytest.mark.parametrize("unit, size, threshold", [("word", 1, 0.6), ("char", 2, 0.5)])
+    data = [(r["id"], set(r["h"])) for r in hashed.orderBy("id").collect()]
+    root = {}
+    for i, mine in data:
+        first = next((j for j, other in data if j < i and len(mine & other) / len(mine | other) >= threshold), i)
+        root[i] = root.get(first, i)
+    return root
+
+
+@pytest.mark.parametrize("unit, size, threshold", [("word", 1, 0.6), ("char", 2, 0.5), ("word", 2, 0.8)])
 def test_near_duplicates_match_brute_force(spark, unit, size, threshold):
     rng = random.Random(11)
     words = ["red", "oak", "table", "long", "wide", "desk", "lamp", "steel"]
-    texts = [" ".join(rng.choices(words, k=rng.randint(2, 6))) for _ in range(120)] + ["red oak table"] * 60
+    texts = [" ".join(rng.choices(words, k=rng.randint(2, 6))) for _ in range(120)] + ["red oak table"] * 60 + ["", ""]
     items = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    found = near_duplicates.near_duplicates(items, threshold, size=size, unit=unit, bands=8, rows=2).collect()
-    want = brute_force(spark, items, threshold, size, unit, 8, 2)
-    assert {r["id"] for r in found if r["is_duplicate"]} == set(want)
-    kept = {r["id"] for r in found if not r["is_duplicate"]}
-    assert all(r["kept_id"] in kept or r["similarity"] == 1.0 for r in found)
+    found = near_duplicates.near_duplicates(items, threshold, size=size, unit=unit).collect()
     assert len(found) == len(texts)
+    assert {r["id"]: r["kept_id"] for r in found} == brute_force(spark, items, threshold, size, unit)
+    assert all(r["is_duplicate"] == (r["id"] != r["kept_id"]) and r["similarity"] >= threshold for r in found)
+
+
+def test_chain_of_similar_texts_takes_few_rounds(spark):
+    words = [f"w{i}" for i in range(1100)]
+    texts = [(i, " ".join(words[i : i + 40])) for i in range(1000)]
+    found = near_duplicates.near_duplicates(spark.createDataFrame(texts, "id long, text string"), 0.8, size=1).collect()
+    assert {r["kept_id"] for r in found} == {0} and len(found) == 1000
 
 
 def test_first_wins_does_not_depend_on_partitions(tables):

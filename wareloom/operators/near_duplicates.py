@@ -1,12 +1,11 @@
-"""Near-duplicate entries by MinHash bands, exact Jaccard, and greedy keep-one."""
+"""Near-duplicate entries by an exact set-similarity join; the first of each chain is kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import union_rows
-from ..functions.text import let, squeeze, strip, unnest
+from ..functions.text import let, squeeze, strip
 from ..session import ensure_checkpoint_dir, staged
 
 
@@ -19,97 +18,101 @@ def shingles(text: Column, size: int, unit: str) -> Column:
         run = lambda i: F.xxhash64(*[F.get(units, i + k) for k in range(size)])
         return F.array_distinct(F.transform(F.sequence(F.lit(0), last), run))
 
-    return let(F.split(clean, " " if unit == "word" else "(?!^)"), runs)
+    return let(F.split(clean, " " if unit == "word" else "(?!^)(?!$)"), runs)
 
 
-def band_keys(hashes: Column, bands: int, rows: int) -> Column:
-    """One key per band: the smallest hash under `rows` seeds each."""
+BUCKETS = 1 << 16
 
-    def smallest(seed: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(seed))))
 
-    keys = [F.xxhash64(F.lit(b), *[smallest(b * rows + r) for r in range(rows)]) for b in range(bands)]
-    return F.array(*keys)
+def bucket_ranks(sets: DataFrame) -> bytes:
+    """Per hash bucket a byte that grows with the logarithm of its tokens' count; BUCKETS bytes."""
+    counts = (
+        sets.select(F.explode("hashes").alias("token"))
+        .groupBy(F.pmod("token", F.lit(BUCKETS)).alias("bucket"))
+        .agg((F.floor(F.log2(F.count(F.lit(1))) * 3) + 1).alias("rank"))
+    )
+    ranks = bytearray(BUCKETS)
+    for row in counts.collect():
+        ranks[row["bucket"]] = min(row["rank"], 126)
+    return bytes(ranks)
+
+
+def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """id, other, similarity: all pairs of sets (id, hashes) with other < id and a
+    Jaccard similarity of at least `threshold`.
+
+    Two such sets share a token among the first size - ceil(threshold * size)
+    + 1 of each, in any common order; the rarest come first, so that few sets
+    meet. Pairs that fail the length or the positional filter are left out,
+    the others compared in full once.
+    """
+    ranks = F.lit(bucket_ranks(sets))
+
+    def ranked(token: Column) -> Column:
+        rank = F.ascii(F.substring(ranks, F.pmod(token, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.struct(rank.alias("rank"), token.alias("token"))
+
+    size = F.size("hashes")
+    first = F.slice(F.array_sort(F.transform("hashes", ranked)), F.lit(1), size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1)
+    entries = sets.select("id", size.alias("size"), F.posexplode(first).alias("at", "t")).select("id", "size", "at", "t.token")
+    others = entries.select(*[F.col(c).alias(f"o_{c}") for c in entries.columns])
+    small, large = F.least("size", "o_size"), F.greatest("size", "o_size")
+    need = F.ceil((F.col("size") + F.col("o_size")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+    shared = F.least("at", "o_at") + F.least(F.col("size") - F.col("at"), F.col("o_size") - F.col("o_at"))
+    met = (
+        entries.join(others, (F.col("token") == F.col("o_token")) & (F.col("o_id") < F.col("id")) & (small >= large * F.lit(threshold) - F.lit(1e-9)) & (shared >= need))
+        .select("id", F.col("o_id").alias("other"))
+        .distinct()
+    )
+    both = met.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("hashes").alias("other_hashes")), "other")
+    common = F.size(F.array_intersect("hashes", "other_hashes"))
+    whole = F.size("hashes") + F.size("other_hashes")
+    return both.select("id", "other", let(common, lambda c: c / (whole - c)).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
+def followed(parents: DataFrame) -> DataFrame:
+    """id, parent -> id, root: where the parents lead. Each round doubles the steps."""
+    marked = parents.select("id", F.col("parent").alias("root")).checkpoint()
+    mark = None
+    while True:
+        before, mark = mark, marked.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("id", "root"))).first()
+        if mark == before:
+            return marked
+        up = marked.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        marked = marked.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root")).checkpoint()
 
 
 def near_duplicates(
-    items: DataFrame,
-    threshold: float = 0.8,
-    text: str = "text",
-    size: int = 3,
-    unit: str = "word",
-    bands: int = 16,
-    rows: int = 4,
+    items: DataFrame, threshold: float = 0.8, text: str = "text", size: int = 3, unit: str = "word"
 ) -> DataFrame:
-    """Every item with the item that is kept for it: id, kept_id, similarity.
-
-    An item is dropped when an earlier kept item shares a band with it and
-    their shingle sets have a Jaccard similarity of at least `threshold`.
-    That is the greedy order by id, worked out in rounds: an item that is
-    the smallest undecided one in all its bands is kept, and all members of
-    its bands are compared with it. A round makes one pair per membership
-    at most, never all pairs of a band; rounds go on until all items are
-    decided. Items with equal sets are folded first.
+    """Every item with the item that is kept for it: id, kept_id, similarity, is_duplicate.
+
+    An item is a duplicate when an earlier item has a similarity of at least
+    `threshold` with it; `similarity` is that with its first such item, and
+    kept_id is the item without an earlier one that this leads to. All pairs
+    are found, each is compared once, and the number of rounds grows with the
+    logarithm of the longest chain. Items with equal sets are folded first.
     """
-    spark = items.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(items.sparkSession)
     hashed = items.select("id", F.sort_array(shingles(F.col(text), size, unit)).alias("hashes"))
     # Two independent 64-bit hashes and the size stand for the whole set.
     set_key = F.concat_ws(":", F.xxhash64("hashes"), F.hash("hashes"), F.xxhash64(F.lit(1), "hashes"), F.size("hashes"))
     keyed = staged(hashed.withColumn("set_key", set_key), "shingles")
     copies = keyed.select("id", "set_key")
     firsts = copies.groupBy("set_key").agg(F.min("id").alias("first_id"))
-    sets = keyed.join(firsts.select(F.col("first_id").alias("id")), "id", "left_semi").select("id", "hashes")
-    keys = F.array_distinct(band_keys(F.col("hashes"), bands, rows))
-    member = staged(unnest(sets, ["id"], keys, item="band").select("id", "band"), "bands")
-    shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-    alive = member.join(shared, "band", "left_semi").checkpoint()
-
-    dropped: list[DataFrame] = []
-    while not alive.isEmpty():
-        leaders = alive.groupBy("band").agg(F.min("id").alias("leader"))
-        led = alive.join(leaders, "band")
-        kept = (
-            led.groupBy("id").agg(F.bool_and(F.col("leader") == F.col("id")).alias("first")).filter("first").select("id")
-        ).checkpoint()
-        pairs = (
-            led.filter(F.col("id") != F.col("leader"))
-            .select("id", "leader")
-            .distinct()
-            .join(kept.withColumnRenamed("id", "leader"), "leader", "left_semi")
-        )
-        both = pairs.join(sets, "id").join(
-            sets.select(F.col("id").alias("leader"), F.col("hashes").alias("leader_hashes")), "leader"
-        )
-        common = F.size(F.array_intersect("hashes", "leader_hashes"))
-        whole = F.size("hashes") + F.size("leader_hashes")
-        similar = both.select(
-            "id", "leader", let(common, lambda c: c / (whole - c)).alias("similarity")
-        ).filter(F.col("similarity") >= threshold)
-        losers = (
-            similar.groupBy("id")
-            .agg(F.min_by(F.struct("leader", "similarity"), "leader").alias("best"))
-            .select("id", "best.leader", "best.similarity")
-            .checkpoint()
-        )
-        dropped.append(losers)
-        done = union_rows(kept, losers.select("id"))
-        alive = alive.join(done, "id", "left_anti").checkpoint()
-
-    kept_for = union_rows(spark.createDataFrame([], "id bigint, leader bigint, similarity double"), *dropped)
+    sets = staged(keyed.join(firsts.select(F.col("first_id").alias("id")), "id", "left_semi").select("id", "hashes"), "sets")
+    matched = (
+        similar_pairs(sets, threshold)
+        .groupBy("id")
+        .agg(F.min_by(F.struct("other", "similarity"), "other").alias("best"))
+        .select(F.col("id").alias("first_id"), F.col("best.other").alias("parent"), "best.similarity")
+        .checkpoint()
+    )
+    roots = followed(matched.select(F.col("first_id").alias("id"), "parent")).withColumnRenamed("id", "first_id")
     return (
         copies.join(firsts, "set_key")
-        .join(kept_for.withColumnRenamed("id", "first_id"), "first_id", "left")
-        .select(
-            "id",
-            F.coalesce("leader", "first_id").alias("kept_id"),
-            F.coalesce("similarity", F.lit(1.0)).alias("similarity"),
-        )
+        .join(matched.select("first_id", "similarity"), "first_id", "left")
+        .join(roots, "first_id", "left")
+        .select("id", F.coalesce("root", "first_id").alias("kept_id"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
         .withColumn("is_duplicate", F.col("id") != F.col("kept_id"))
     )
-
-
-def drop_near_duplicates(items: DataFrame, **options) -> DataFrame:
-    """The kept items only."""
-    found = near_duplicates(items, **options)
-    return items.join(found.filter(~F.col("is_duplicate")).select("id"), "id", "left_semi")

@@ -10,7 +10,7 @@ from ..session import staged, work_folder
 from ..sources import catalog_json, sheets
 from . import sqltext as d
 from .price_queries import _spec_value
-from .registry import cte, query
+from .registry import CTES, cte, query
 
 # ------------------------------------------------------------------ build
 PRODUCT_SPECS = " UNION ALL ".join(
@@ -227,13 +227,33 @@ def _(t):
     return C.optimization_stats(t.raw_catalog(), valid, C.dedupe_catalog(valid))
 
 
-@query("near_duplicate_products")
+def _near_check(source: str, unit: str, threshold: float) -> str:
+    """All pairs that share a run of three; parents; and where they lead."""
+    cut = "string_split(clean, ' ')" if unit == "word" else "regexp_extract_all(clean, '.')"
+    return rf"""
+WITH RECURSIVE runs AS MATERIALIZED (
+  SELECT id, unnest(s) AS run, len(s) AS n FROM (SELECT id, list_distinct(list_transform(range(1, greatest(len(u) - 2, 1) + 1),
+    lambda i: array_to_string(u[i:i + 2], chr(1)))) AS s FROM (SELECT id, {cut} AS u FROM (
+      SELECT id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS clean
+      FROM ({source}) t) c) x) y),
+pairs AS MATERIALIZED (SELECT a.id, b.id AS other, count(*) / (a.n + b.n - count(*)) AS similarity
+  FROM runs a JOIN runs b ON a.run = b.run AND b.id < a.id GROUP BY a.id, b.id, a.n, b.n
+  HAVING count(*) / (a.n + b.n - count(*)) >= {threshold}),
+parents AS MATERIALIZED (SELECT id, min(other) AS parent, arg_min(similarity, other) AS similarity FROM pairs GROUP BY id),
+walk AS (SELECT id, parent AS node FROM parents UNION ALL SELECT w.id, p.parent FROM walk w JOIN parents p ON p.id = w.node),
+roots AS (SELECT id, min(node) AS root FROM walk GROUP BY id)
+SELECT t.id, coalesce(root, t.id) AS kept_id, coalesce(similarity, 1.0) AS similarity, root IS NOT NULL AS is_duplicate
+FROM ({source}) t LEFT JOIN parents p ON p.id = t.id LEFT JOIN roots r ON r.id = t.id"""
+
+
+@query("near_duplicate_products", _near_check("SELECT seq AS id, product_name AS text FROM catalog", "char", 0.8).replace(
+    "WITH RECURSIVE ", "WITH RECURSIVE catalog AS MATERIALIZED (" + CTES["catalog"] + "), "))
 def _(t):
     items = t.catalog().select(F.col("seq").alias("id"), F.col("product_name").alias("text"))
-    return near_duplicates.near_duplicates(items, 0.6, size=2, unit="char")
+    return near_duplicates.near_duplicates(items, 0.8, unit="char")
 
 
-@query("near_duplicate_texts")
+@query("near_duplicate_texts", _near_check("SELECT doc_id AS id, text FROM documents", "word", 0.7))
 def _(t):
     items = t.spread(t.table("documents")).select(F.col("doc_id").alias("id"), "text")
     return near_duplicates.near_duplicates(items, 0.7)
