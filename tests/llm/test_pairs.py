@@ -182,6 +182,33 @@ def test_changed_passages_of_all_sizes_are_found(spark):
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(100 + k, k) for k, _ in items]
 
 
+def test_short_items_are_always_found():
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    for n in [*range(1, 19), 33]:
+        words = [word() for _ in range(n + 4)]
+        items = decontamination.Items([("x", " ".join(words))])
+        texts = []
+        for k in range(300):
+            around = [word() for _ in range(200)]
+            at = draw.randrange(200)
+            # every other copy of five shingles or more lacks its first one
+            texts.append(" ".join(around[:at] + words[k % 2 if n > 4 else 0 :] + around[at:]))
+        assert [row for row, _, _ in items.search(texts)] == list(range(300)), n
+
+
+def test_short_items_equal_plain_version(spark):
+    draw = random.Random(6)
+    words = lambda least, most: " ".join(draw.choice("abc") for _ in range(draw.randint(least, most)))
+    docs = spark.createDataFrame([(k, words(0, 60)) for k in range(400)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, words(1, 20)) for k in range(200)], "item_id long, text string")
+    want = plain_contained(docs.collect(), items.collect())
+    got = {(r.doc_id, r.item_id): r.containment for r in decontamination.contained_items(docs, items).collect()}
+    assert want and got == want
+    hit = {doc for doc, _ in want}
+    assert sorted(ids(decontamination.decontaminated(docs, items))) == [k for k in range(400) if k not in hit]
+
+
 def test_decontamination_odd_rows(spark, odd, empty, monkeypatch):
     items = spark.createDataFrame(
         [(1, "quick brown fox jumps over the lazy dog"), (1, "ONE!"), (None, "w1 w2 w3 w4 w5 w6"), (4, None), (5, ""), (6, "lazy dog")],

@@ -1,14 +1,19 @@
 """Find benchmark items inside documents: size-partitioned MinHash containment search.
 
 Jaccard similarity between a short item and a long document is tiny, so the
-search space is partitioned by size: items fall into classes of up to 8, 16,
-32, ... shingles, and for each class a document counts as all its windows of
+search space is partitioned by size: items fall into classes of up to 32, 64,
+128, ... shingles, and for each class a document counts as all its windows of
 that length plus eight, starting every eight shingles. A passage that holds an
 item then lies whole in some window and has a Jaccard similarity of at least
 n / (limit + 8), whatever the document's length. Windows and items meet where
 one of `HASHES` minimum hashes is equal; every meeting is verified by exact
 shingle containment, on the words themselves.
 
+Items of up to `EXACT` distinct shingles have too few minimum hashes to be sure
+of. They are looked up: a document that holds enough of an item's shingles must
+hold one of any n - needed + 1 of them, so that many of its hashes are keys
+that are searched among all hashes of the document. Nothing is lost there.
+
 Documents are never shuffled and never joined: the items of one slice of the
 benchmark, at most `SLICE_CHARS` characters, go to every task, and a larger
 benchmark takes several passes.
@@ -32,6 +37,8 @@ WORDS = 5
 CONTAINED = 0.8
 HASHES = 24
 GRID = 8
+#: Items of up to so many distinct shingles are looked up, not sampled.
+EXACT = 2 * GRID
 SLICE_CHARS = 4_000_000
 #: Shingles of documents that are searched at once.
 BATCH = 100_000
@@ -71,12 +78,14 @@ def _factors() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """The minimum hashes of one slice of the benchmark, by size class."""
+    """One slice of the benchmark: keys of its short items, minimum hashes of the others by size class."""
 
     def __init__(self, rows: list[tuple]) -> None:
         self.ids: list = []
         self.shingles: list[set[tuple[bytes, ...]]] = []
         by_class: dict[int, list[int]] = {}
+        keys: list[np.ndarray] = []
+        short: list[int] = []
         hashes = []
         for item_id, text in rows:
             words = words_of(text)
@@ -86,10 +95,22 @@ class Items:
             self.ids.append(item_id)
             self.shingles.append(own)
             hashes.append(_hashes(words))
-            limit = GRID
+            if n <= EXACT:
+                needed = next(k for k in range(1, n + 1) if k / n >= CONTAINED)
+                keys.append(np.unique(hashes[-1])[: n - needed + 1])
+                short.append(len(self.ids) - 1)
+                continue
+            limit = EXACT
             while limit < n:
                 limit *= 2
             by_class.setdefault(limit, []).append(len(self.ids) - 1)
+        self.keys = None
+        if keys:
+            values = np.concatenate(keys)
+            order = np.argsort(values, kind="stable")
+            seen = np.zeros(1 << 16, bool)
+            seen[(values & np.uint64(0xFFFF)).astype(np.int64)] = True
+            self.keys = values[order], np.repeat(short, [len(k) for k in keys])[order], seen
         a, b = _factors()
         self.classes = []
         for limit, members in sorted(by_class.items()):
@@ -120,7 +141,25 @@ class Items:
         return found
 
     def _met(self, rows: list[int], hashes: list[np.ndarray]) -> set[tuple[int, int]]:
-        """(row, item) of windows and items with an equal minimum hash."""
+        """(row, item) of documents and short items with a key in common, and of
+        windows and items with an equal minimum hash."""
+        looked_up = self._looked_up(rows, hashes) if self.keys else set()
+        return looked_up | (self._windows_met(rows, hashes) if self.classes else set())
+
+    def _looked_up(self, rows: list[int], hashes: list[np.ndarray]) -> set[tuple[int, int]]:
+        values, members, seen = self.keys
+        flat = np.concatenate(hashes)
+        some = np.flatnonzero(seen[(flat & np.uint64(0xFFFF)).astype(np.int64)])
+        left = np.searchsorted(values, flat[some], "left")
+        hit = np.searchsorted(values, flat[some], "right") > left
+        row = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[some]
+        # a shingle that a document repeats counts once
+        row, left = np.divmod(np.unique(row[hit] * len(values) + left[hit]), len(values))
+        n = np.searchsorted(values, values[left], "right") - left
+        item = members[np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        return {(rows[r], i) for r, i in zip(np.repeat(row, n).tolist(), item.tolist())}
+
+    def _windows_met(self, rows: list[int], hashes: list[np.ndarray]) -> set[tuple[int, int]]:
         blocks = np.array([-(-len(h) // GRID) for h in hashes])
         ends = np.cumsum(blocks)
         wide = max(k for k, _ in self.classes)
@@ -186,8 +225,9 @@ def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, containment: items with at least 0.8 of their distinct
     shingles in the document.
 
-    A match whose shingles stand in one passage, not longer than the item's
-    class limit plus eight shingles, is found with a probability above 0.9998
+    Items of up to `EXACT` distinct shingles are always found. A match with a
+    longer item whose shingles stand in one passage, not longer than the item's
+    class limit plus one shingle, is found with a probability above 0.9998
     (above 0.999998 for a whole copy); what is returned is always exact.
     Null and empty texts match nothing. Rows with the same doc_id or item_id
     are matched each for itself. Empty tables give no row. Columns other than
