@@ -213,6 +213,19 @@ def test_mix_meets_its_targets(spark):
     assert {(r.doc_id, r.taken) for r in again} == {(r.doc_id, r.taken) for r in got}
 
 
+def test_small_sources_meet_their_targets(spark):
+    sizes = {"a": [100] * 1000, "b": [30, 40], "c": [3, 0, 7], "d": [1], "e": [64, 1], "f": [700, 1, 299], "g": [0], None: [11]}
+    rows = [(k, " ".join(["w"] * n), s) for k, (s, n) in enumerate((s, n) for s, every in sizes.items() for n in every)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    targets = plain_targets({s: sum(n) for s, n in sizes.items()})
+    source = {k: s for k, _, s in rows}
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    for s, t in targets.items():
+        taken = sum(r.taken for r in got if source[r.doc_id] == s)
+        assert abs(taken - t) <= (0.51 if s != "a" else 256), s
+    assert targets["b"] == 140
+
+
 def test_schedule_fills_every_slot_once(spark):
     targets = mixing.source_targets(spark.createDataFrame([("a", 900), ("b", 50_000), (None, 3_000)], "source string, source_size long"))
     slots = mixing.schedule(targets, 10).orderBy("slot").collect()
