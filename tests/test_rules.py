@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wareloom.functions import money, urls
-from wareloom.operators import catalog, classify, configurators, options, prices, specs
+from wareloom.operators import catalog, classify, configurators, options, prices, sites, specs
 from wareloom.operators import urls as url_ops
 from wareloom.sources import sheets
 
@@ -238,3 +238,17 @@ def test_no_break_blanks_are_trimmed(spark):
     assert got == [("Oak\u2003\xa0Desk", "Oak Desk"), ("a b", "a b"), ("", "")]
     page = spark.createDataFrame([(1, "https://h/oak-desk", "# Oak Desk\xa0\n\nPrice: $120.00\n")], "page_id long, url string, markdown string")
     assert prices.base_price(page).first().product_name == "Oak Desk"
+
+
+def test_navigation_is_read_whole(spark):
+    links = "".join(f'<a href="/p/{i}">Place {i}</a>' for i in range(40))
+    rows = [(1, "https://a.example/x", "<p>" + "x" * 6000 + "</p>" + links), (2, "https://a.example/y", f"<nav>{links}</nav>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    def texts(**limits):
+        got = sites.nav_links(pages, **limits).orderBy("page_id", "pos").collect()
+        return [[r.text for r in got if r.page_id == k] for k in (1, 2)]
+
+    every = [f"Place {i}" for i in range(40)]
+    assert texts() == [every, every]
+    assert texts(top=15, whole_page_chars=5000) == [[], every[:15]]

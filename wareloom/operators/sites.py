@@ -32,9 +32,6 @@ TITLE = r"(?i)<title[^>]*>([^<]+)</title>"
 META_NAME_FIRST = r"""(?i)<meta[^>]*name=["']description["'][^>]*content=["']([^"']+)["']"""
 META_CONTENT_FIRST = r"""(?i)<meta[^>]*content=["']([^"']+)["'][^>]*name=["']description["']"""
 
-WHOLE_PAGE_LIMIT = 5000
-NAV_LIMIT = 15
-
 
 def _link_counts():
     links = extract_all(F.col("html"), HREF, 1)
@@ -145,12 +142,16 @@ def category_hints(pages: DataFrame, top: int = 5) -> DataFrame:
     )
 
 
-def nav_links(pages: DataFrame) -> DataFrame:
-    """Navigation links of each page: unique texts in order, the first 15."""
+def nav_links(pages: DataFrame, top: int | None = None, whole_page_chars: int | None = None) -> DataFrame:
+    """Navigation links of each page: unique texts in order, the first `top` if given.
+
+    A page without a navigation block is read as a whole, or its first
+    `whole_page_chars` characters if given.
+    """
     html, url = F.col("html"), F.col("url")
     nav = F.coalesce(
         *[F.get(extract_all(html, pattern, group), 0) for pattern, group in NAV_BLOCKS],
-        F.substring(html, 1, WHOLE_PAGE_LIMIT),
+        html if whole_page_chars is None else F.substring(html, 1, whole_page_chars),
     )
     links = F.transform(
         extract_all(nav, NAV_LINK, 0),
@@ -166,7 +167,9 @@ def nav_links(pages: DataFrame) -> DataFrame:
         & ~contains_any(F.lower(x["href"]), lex.NAV_SKIP_MARKERS)
         & F.contains(url, U.raw_host(x["full_url"])),
     )
-    unique = F.slice(first_of_each(site, lambda x: F.lower(x["text"])), 1, NAV_LIMIT)
+    unique = first_of_each(site, lambda x: F.lower(x["text"]))
+    if top is not None:
+        unique = F.slice(unique, 1, top)
     return unnest(pages, ["page_id", "url"], unique).select("page_id", "url", "pos", "item.*")
 
 

@@ -6,6 +6,8 @@ from . import sqltext as d
 from .registry import cte, query
 from .url_queries import HREF, HTML_TEXT
 
+# The cuts of the check SQL below.
+NAV_TOP = 15
 ENV = "(SELECT *, lower(html) AS low, lower(url) AS low_url FROM pages)"
 
 
@@ -108,7 +110,7 @@ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY place) <= 15""",
 
 @query("nav_links", "SELECT * FROM nav", "nav")
 def _(t):
-    return sites.nav_links(t.pages())
+    return sites.nav_links(t.pages(), NAV_TOP)
 
 
 def _flow_rules(i):
@@ -148,4 +150,4 @@ FROM signals s LEFT JOIN (
 )
 def _(t):
     pages = t.pages()
-    return sites.recommend_flow(sites.site_signals(pages), sites.nav_links(pages))
+    return sites.recommend_flow(sites.site_signals(pages), sites.nav_links(pages, NAV_TOP))
