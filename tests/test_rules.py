@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wareloom.functions import lexicons as lex
 from wareloom.functions import money, urls
-from wareloom.operators import catalog, classify, configurators, options, prices, sites, specs
+from wareloom.operators import catalog, classify, colors, configurators, options, prices, sites, specs
 from wareloom.operators import urls as url_ops
 from wareloom.sources import sheets
 
@@ -252,3 +253,19 @@ def test_navigation_is_read_whole(spark):
     every = [f"Place {i}" for i in range(40)]
     assert texts() == [every, every]
     assert texts(top=15, whole_page_chars=5000) == [[], every[:15]]
+
+
+def test_lists_have_no_default_limit(spark):
+    links = "".join(f'<a href="/part{i:02}/x">x</a>' for i in range(30))
+    pages = spark.createDataFrame(
+        [(i, f"https://a.example/{i}", links, "Base price: $1,100 CAD") for i in range(8)], "page_id long, url string, html string, markdown string"
+    )
+    assert url_ops.path_patterns(pages).count() == 30 and url_ops.path_patterns(pages, 20).count() == 20
+    assert len(sites.site_signals(pages).first().url_patterns) == 30
+    assert prices.price_context(pages).count() == 8 and prices.price_context(pages, 5).count() == 5
+    items = "Choose: " + ", ".join(f"tone {i}" for i in range(14))
+    near = spark.createDataFrame([(1, 1, 1, "i.png", items)], "page_id long, line_no int, place int, image string, context string")
+    assert colors.nearby_options(near).count() == 14 and colors.nearby_options(near, 10).count() == 10
+    words = " ".join(t for _, terms in [*lex.SITE_CATEGORY_TERMS, *lex.INDUSTRY_TERMS] for t in terms)
+    every = spark.createDataFrame([("https://a.example/", words)], "url string, html string")
+    assert sites.category_hints(every).count() == len([*lex.SITE_CATEGORY_TERMS, *lex.INDUSTRY_TERMS]) > 5

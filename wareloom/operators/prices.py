@@ -150,8 +150,8 @@ def _located(number: int, start: Column):
     return lambda match: F.struct(M.parse_match(match, number).alias("fact"), start.alias("start"))
 
 
-def price_context(pages: DataFrame, samples: int = 5) -> DataFrame:
-    """First price of a page with the text around it; `samples` pages per host."""
+def price_context(pages: DataFrame, samples: int | None = None) -> DataFrame:
+    """First price of a page with the text around it; `samples` pages per host if given."""
     md = F.col("markdown")
     tries = [
         let(
@@ -174,7 +174,8 @@ def price_context(pages: DataFrame, samples: int = 5) -> DataFrame:
         strip(F.substring(md, begin, end - begin)).alias("context"),
     )
     rank = F.row_number().over(W.partitionBy("host").orderBy("page_id"))
-    return ranked.withColumn("rank", rank).filter(F.col("rank") <= samples)
+    numbered = ranked.withColumn("rank", rank)
+    return numbered if samples is None else numbered.filter(F.col("rank") <= samples)
 
 
 def price_audit(options: DataFrame, low: float = 0, high: float = 100_000) -> DataFrame:

@@ -82,11 +82,12 @@ def page_signals(pages: DataFrame) -> DataFrame:
     )
 
 
-def site_signals(pages: DataFrame) -> DataFrame:
+def site_signals(pages: DataFrame, patterns_top: int | None = None) -> DataFrame:
     """One row per site.
 
     Counts add up over the pages, flags hold when any page has them, and
     title, description, density and sample come from the site's first page.
+    With `patterns_top` only so many path patterns of a site are listed.
     """
     signals = page_signals(pages)
     home = F.struct("page_id", "html_density", "page_title", "meta_description", "sample_text")
@@ -106,7 +107,7 @@ def site_signals(pages: DataFrame) -> DataFrame:
         F.array(*[F.when(F.col(f"keyword_{i}"), F.lit(w)) for i, w in enumerate(lex.SITE_KEYWORDS)])
     )
     patterns = (
-        path_patterns(pages)
+        path_patterns(pages, patterns_top)
         .groupBy("host")
         .agg(F.sort_array(F.collect_list("pattern")).alias("url_patterns"))
     )
@@ -125,8 +126,8 @@ def site_signals(pages: DataFrame) -> DataFrame:
     )
 
 
-def category_hints(pages: DataFrame, top: int = 5) -> DataFrame:
-    """First `top` category rules that hold for a site, in rule order."""
+def category_hints(pages: DataFrame, top: int | None = None) -> DataFrame:
+    """Category rules that hold for a site, in rule order, the first `top` if given."""
     low_html, low_url = F.lower("html"), F.lower("url")
     rules = [(name, contains_any(low_html, terms)) for name, terms in lex.SITE_CATEGORY_TERMS]
     rules += [
@@ -137,7 +138,7 @@ def category_hints(pages: DataFrame, top: int = 5) -> DataFrame:
     )
     sites = flagged.groupBy("host").agg(*[F.bool_or(f"rule_{i}").alias(f"rule_{i}") for i in range(len(rules))])
     hits = F.array_compact(F.array(*[F.when(F.col(f"rule_{i}"), F.lit(n)) for i, (n, _) in enumerate(rules)]))
-    return sites.select("host", F.posexplode(F.slice(hits, 1, top)).alias("rank", "category")).withColumn(
+    return sites.select("host", F.posexplode(hits if top is None else F.slice(hits, 1, top)).alias("rank", "category")).withColumn(
         "rank", F.col("rank") + 1
     )
 

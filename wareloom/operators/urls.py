@@ -142,17 +142,19 @@ def url_info(pages: DataFrame, discovered: DataFrame | None = None) -> DataFrame
     return keyed.join(depth, "canonical", "left").drop("canonical")
 
 
-def path_patterns(pages: DataFrame, top: int = 20) -> DataFrame:
-    """First path segments linked from each host, sorted, the first `top`.
+def path_patterns(pages: DataFrame, top: int | None = None) -> DataFrame:
+    """First path segments linked from each host, sorted, the first `top` if given.
 
-    The distinct runs per (host, segment) and the row limit is pushed below
-    the shuffle, so a very large host is never gathered in one task.
+    The distinct runs per (host, segment). With `top` the row limit is pushed
+    below the shuffle, so a very large host is never gathered in one task;
+    without it the distinct segments of a host are sorted in one.
     """
     segments = F.array_distinct(F.transform(_raw_links("html", "html"), U.first_path_segment))
     found = unnest(pages, ["url"], segments, item="pattern").filter(F.col("pattern").isNotNull())
     distinct = found.select(U.host(F.col("url")).alias("host"), "pattern").distinct()
     rank = F.row_number().over(W.partitionBy("host").orderBy("pattern"))
-    return distinct.withColumn("rank", rank).filter(F.col("rank") <= top)
+    ranked = distinct.withColumn("rank", rank)
+    return ranked if top is None else ranked.filter(F.col("rank") <= top)
 
 
 def plain_text(kind: str):

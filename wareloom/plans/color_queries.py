@@ -121,7 +121,7 @@ SELECT page_id, line_no, place, image, CAST(rank AS INT) AS rank, option FROM (
     "swatch_rows",
 )
 def _(t):
-    return colors.nearby_options(colors.swatch_candidates(t.detail_pages()))
+    return colors.nearby_options(colors.swatch_candidates(t.detail_pages()), 10)
 
 
 # ------------------------------------------------------------------ dominant colours

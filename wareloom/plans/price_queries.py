@@ -238,7 +238,7 @@ WHERE rank <= 5""",
     "product_pages page_price",
 )
 def _(t):
-    return prices.price_context(t.product_pages())
+    return prices.price_context(t.product_pages(), 5)
 
 
 def _spec_value(pattern: str) -> str:

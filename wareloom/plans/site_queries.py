@@ -7,7 +7,7 @@ from .registry import cte, query
 from .url_queries import HREF, HTML_TEXT
 
 # The cuts of the check SQL below.
-NAV_TOP = 15
+PATTERNS, HINTS_TOP, NAV_TOP = 20, 5, 15
 ENV = "(SELECT *, lower(html) AS low, lower(url) AS low_url FROM pages)"
 
 
@@ -59,7 +59,7 @@ LEFT JOIN (SELECT host, string_agg(pattern, ',' ORDER BY pattern) AS url_pattern
 def flat_signals(t):
     from pyspark.sql import functions as F
 
-    signals = sites.site_signals(t.pages())
+    signals = sites.site_signals(t.pages(), PATTERNS)
     return signals.withColumn("url_patterns", F.array_join("url_patterns", ",")).withColumn(
         "keywords", F.array_join("keywords_found", ",")
     ).drop("keywords_found")
@@ -86,7 +86,7 @@ HINT_ROWS = " UNION ALL ".join(
   FROM (SELECT DISTINCT host, rule, category FROM ({HINT_ROWS}) h) u) r WHERE rank <= 5""",
 )
 def _(t):
-    return sites.category_hints(t.pages())
+    return sites.category_hints(t.pages(), HINTS_TOP)
 
 
 cte(
@@ -150,4 +150,4 @@ FROM signals s LEFT JOIN (
 )
 def _(t):
     pages = t.pages()
-    return sites.recommend_flow(sites.site_signals(pages), sites.nav_links(pages, NAV_TOP))
+    return sites.recommend_flow(sites.site_signals(pages, PATTERNS), sites.nav_links(pages, NAV_TOP))

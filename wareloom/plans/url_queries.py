@@ -226,7 +226,7 @@ SELECT host, pattern, rank FROM (
 WHERE rank <= 20""",
 )
 def _(t):
-    return urls.path_patterns(t.pages())
+    return urls.path_patterns(t.pages(), 20)
 
 
 @query(
