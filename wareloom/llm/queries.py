@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareloom.llm import decontamination, lang_id, licenses, line_dedup, mixing, quality, search, simhash, token_output, toxicity
+from wareloom.llm import (
+    decontamination,
+    filter_audit,
+    lang_id,
+    licenses,
+    line_dedup,
+    mixing,
+    neighbours,
+    quality,
+    search,
+    simhash,
+    token_output,
+    toxicity,
+    whitening,
+)
 from wareloom.llm.common import table
 
 
@@ -64,6 +78,23 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(docs, asked)
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors for every vector whose id 50 divides."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return neighbours.search(neighbours.build(vectors, keep=6), asked, k=5)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes in every order of the five, per source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened components of all vectors."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, weights="one")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +108,9 @@ QUERIES = {
         op8_token_output,
         op9_decontamination,
         op10_search,
+        op11_neighbours,
+        op12_filter_audit,
+        op13_whitening,
     )
 }
 _SETS = """
@@ -91,4 +125,29 @@ WITH d AS MATERIALIZED (SELECT doc_id, unnest(s) AS shingle FROM ({_SETS.format(
 i AS MATERIALIZED (SELECT item_id, unnest(s) AS shingle, len(s) AS n FROM ({_SETS.format(id="item_id", table="benchmark")}) x)
 SELECT doc_id, item_id, count(*) / n AS containment FROM d JOIN i ON d.shingle = i.shingle
 GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n""",
+    "op12_filter_audit": """
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT doc_id, part, x, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY x) AS first_id FROM t),
+m AS (SELECT doc_id, part,
+  CASE WHEN len(words) < 50 THEN 'A' ELSE '' END ||
+  CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END ||
+  CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 5 * length(x) THEN 'C' ELSE '' END ||
+  CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END ||
+  CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS MATERIALIZED (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || f FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(f) WHERE strpos(filter_order, f) = 0),
+s AS (SELECT filter_order, step::INT AS step, filter_order[step] AS f, filter_order[:step - 1] AS before
+  FROM o, range(1, 6) r(step) WHERE length(filter_order) = 5),
+r AS MATERIALIZED (SELECT part, filter_order, step, f, fails, n, good, toxic, strpos(fails, f) > 0 AS hit, length(translate(fails, before, '')) < length(fails) AS earlier FROM s, c),
+g AS MATERIALIZED (SELECT part, filter_order, step, f, CAST(sum(CASE WHEN NOT hit AND NOT earlier THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN hit AND NOT earlier THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN hit AND earlier THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN fails = f THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN hit AND NOT earlier THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN hit AND NOT earlier THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, f),
+p AS (SELECT part, f, CAST(sum(removed) AS BIGINT) AS shapley FROM g GROUP BY part, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley FROM g JOIN p USING (part, f)""",
 }
