@@ -8,6 +8,7 @@ from wareloom.operators import catalog, memory
 from wareloom.operators.ordering import numbered
 from wareloom.session import work_folder
 from wareloom.streaming import jobs
+from wareloom.streaming.versions import BucketedVersions
 
 SCHEMA = "event_id long, session_id long, ts timestamp, url string, content string"
 
@@ -85,10 +86,54 @@ def test_stream_many_shuffled_visits_of_one_session(spark):
 
 def test_stream_forgets_sessions_after_the_gap(spark):
     day = 86_400
-    batches = [[(0, 1, 0, "a", "x"), (1, 1, 5, "a", "x")], [(2, 2, 10 * day, "a", "x")], [(3, 1, 10 * day + 5, "a", "x")]]
+    batches = [[(0, 1, day, "a", "x"), (1, 1, day + 5, "a", "x")], [(2, 2, 11 * day, "a", "x")], [(3, 1, 11 * day + 5, "a", "x")]]
     out = work_folder(spark, "test-runs")
     jobs.stream_no_change(stream_of(spark, batches), out, gap="3 days")
-    assert {r.event_id: r.no_change_count for r in jobs.read_runs(spark, out).collect()} == {0: 0, 1: 1, 2: 0, 3: 0}
+    assert {r.event_id: r.no_change_count for r in jobs.read_runs(spark, out, "3 days").collect()} == {0: 0, 1: 1, 2: 0, 3: 0}
+    last = spark.read.format("statestore").option("stateVarName", "last").load(f"{out}-progress")
+    assert {r.key.session_key for r in last.collect()} <= {"1", "2"}
+
+
+def test_stream_places_late_visits_and_leaves_out_what_comes_too_late(spark):
+    """Visits shuffled within the delay count as in order; each batch writes only what the watermark has passed."""
+    rows = [(i, draw, 10_000 + 60 * i, "a" if i % 7 else "b", "x") for i in range(600) for draw in [random.Random(i).randrange(4)]]
+    draw = random.Random(8)
+    arrived = sorted(rows, key=lambda r: r[2] + draw.randrange(3_000))  # up to 50 minutes late
+    batches = [arrived[i : i + 100] for i in range(0, 600, 100)]
+    too_late = [(900, 1, 10_030, "b", "x"), (901, 2, 10_090, "b", "x")]
+    batches.append(too_late)
+    out = work_folder(spark, "test-runs")
+    jobs.stream_no_change(stream_of(spark, batches), out, delay="1 hour")
+    want = plain_runs(rows)
+    assert {r.event_id: r.no_change_count for r in jobs.read_runs(spark, out).collect()} == want
+    final = {r.event_id: r.no_change_count for r in spark.read.parquet(out).collect()}
+    newest = max(r[2] for r in rows)
+    assert final == {r[0]: want[r[0]] for r in rows if r[2] <= newest - 3600}
+
+
+def test_stream_upsert_rewrites_only_touched_buckets(spark):
+    def states(ids, batch):
+        rows = [(f"site{i}", f"sig{i}", batch * 100 + i, batch) for i in ids]
+        return spark.createDataFrame(rows, "site_domain string, page_signature string, event_id long, created_at long")
+
+    folder, out = work_folder(spark, "test-states"), work_folder(spark, "test-upsert")
+    batches = [states(range(200), 1), states([3], 2), states([3, 4, 777], 3), states([5], 0)]
+    for b in batches:
+        b.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    jobs.stream_upsert(stream, out, buckets=16)
+    got = {r.site_domain: r.created_at for r in jobs.read_states(spark, out).collect()}
+    assert got == {f"site{i}": 1 for i in range(200)} | {"site3": 3, "site4": 3, "site777": 3}
+    table = BucketedVersions(spark, f"{out}-rows")
+    versions = {b: table.versions(b) for b in range(16)}
+    assert len([b for b in versions if 1 in versions[b]]) == 1  # one key, one bucket written
+    assert all(len(v) <= 2 for v in versions.values())
+    assert sum(len(v) for v in versions.values()) <= 16 + 1 + 3 + 1
+    # batch 2 again: it reads what stood before it and writes the same once more
+    before = sorted(map(tuple, table.read(1).collect()))
+    touched = [b for b in versions if 2 in versions[b]]
+    assert sorted(map(tuple, table.read(1, touched).collect())) == [r for r in before if r in set(map(tuple, table.read(1, touched).collect()))]
+    assert len(before) == 200
 
 
 def test_from_state_keeps_rows_without_session(spark):

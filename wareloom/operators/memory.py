@@ -116,30 +116,36 @@ def _continued(marked: DataFrame, before: DataFrame) -> DataFrame:
     """The first visit of each session follows the session's row in `before`."""
     firsts = marked.groupBy("session_id").agg(F.min(F.struct("ts", "event_id")).alias("_first"))
     known = join_null_safe(
-        firsts, before.select("session_id", F.col("url").alias("_url"), F.col("content").alias("_content")), ["session_id"]
+        firsts,
+        before.select("session_id", F.col("url").alias("_url"), F.col("content").alias("_content"), F.col("ts").alias("_ts")),
+        ["session_id"],
     )
     here = F.struct("ts", "event_id").eqNullSafe(F.col("_first"))
     return (
         join_null_safe(marked, known, ["session_id"], "left")
         .withColumn("previous_url", F.when(here, F.col("_url")).otherwise(F.col("previous_url")))
         .withColumn("previous_content", F.when(here, F.col("_content")).otherwise(F.col("previous_content")))
-        .drop("_first", "_url", "_content")
+        .withColumn("previous_ts", F.when(here, F.col("_ts")).otherwise(F.col("previous_ts")))
+        .drop("_first", "_url", "_content", "_ts")
     )
 
 
-def counted_runs(visits: DataFrame, before: DataFrame | None = None) -> DataFrame:
+def counted_runs(visits: DataFrame, before: DataFrame | None = None, gap: str | None = None) -> DataFrame:
     """Length of the current run of unchanged visits, with the time of each.
 
     Runs are counted inside day ranges; a run that crosses ranges adds what
     the ranges before it ended with, carried by one row per range. `before`
-    has one row per session (session_id, url, content, run): the last visit
-    and its run before all of these visits.
+    has one row per session (session_id, ts, url, content, run): the last visit
+    and its run before all of these visits. After a pause of more than `gap`
+    a run starts anew.
     """
     part: Column = F.to_date("ts")
-    marked = previous(visits, ["url", "content"], "session_id", ["ts", "event_id"], part)
+    marked = previous(visits, ["url", "content", "ts"], "session_id", ["ts", "event_id"], part)
     if before is not None:
         marked = _continued(marked, before)
     same = (F.col("url") == F.col("previous_url")) & (F.col("content") == F.col("previous_content"))
+    if gap is not None:
+        same &= F.coalesce(F.col("ts") <= F.col("previous_ts") + F.expr(f"INTERVAL {gap}"), F.lit(True))
     marked = marked.withColumn("changed", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn(RANGE, part)
     spec = W.partitionBy("session_id", RANGE).orderBy("ts", "event_id")
     islands = marked.withColumn("island", F.sum("changed").over(spec))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.frames import union_rows
 from ..operators import classify, memory
+from .sessions import no_change_processor
+from .versions import BucketedVersions, children
 
 
 def stream_new_pages(pages: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
@@ -35,56 +39,75 @@ def stream_type_counts(
     )
 
 
-def stream_no_change(visits: DataFrame, folder: str, gap: str = "365 days") -> None:
+def stream_no_change(visits: DataFrame, folder: str, delay: str = "1 day", gap: str = "365 days") -> None:
     """No-change run of each visit, into one folder per batch id.
 
-    Every micro-batch is folded as a table, in the order of its time stamps;
-    one row per session carries its last visit and run to the next batch.
-    Sessions leave these rows when the newest visit seen is more than `gap`
-    past their own last one. Sessions and time stamps may be NULL.
+    A session's visits wait in the state store until the watermark (the newest
+    time stamp seen less `delay`) passes them; then they are counted in the
+    order of their time stamps and written once and for all. So visits may come
+    late and in any order within the delay, and a batch touches the sessions
+    that it has visits of or whose time has come, no others. A visit that the
+    watermark has passed already (it starts at 1970-01-01) is not counted. More than `gap` after a
+    session's last visit its run starts anew, and the session leaves the store.
+    Sessions may be NULL; visits without a time stamp follow what is counted
+    when they come. read_runs() also counts the visits that still wait.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = _last_rows(spark, folder, batch_id)
-        counted = memory.counted_runs(batch, old)
-        counted.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-        counted = spark.read.parquet(f"{folder}/batch={batch_id}")
-        rows = memory.last_visits(counted)
-        if old is not None:
-            kept = old.alias("o").join(rows.alias("n"), F.col("o.session_id").eqNullSafe(F.col("n.session_id")), "left_anti")
-            rows = union_rows(rows, kept)
-        newest = rows.agg(F.max("ts")).first()[0]
-        if newest is not None:
-            rows = rows.where(F.coalesce(F.col("ts") >= F.lit(newest) - F.expr(f"INTERVAL {gap}"), F.lit(True)))
-        rows.write.mode("overwrite").parquet(_rows_folder(folder, batch_id))
-
-    _run(visits, write, folder)
+    spark = visits.sparkSession
+    keyed = visits.select(
+        F.coalesce(F.col("session_id").cast("string"), F.lit("")).alias("session_key"),
+        F.col("session_id").isNull().alias("no_session"),
+        "ts", "event_id", F.unix_micros("ts").alias("at"), "url", "content",
+    )
+    kinds = visits.schema
+    visit = f"event_id {kinds['event_id'].dataType.simpleString()}, at long, url string, content string"
+    micros = spark.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {gap}"))).first()[0]
+    counted = (
+        keyed.withWatermark("ts", delay)
+        .groupBy("session_key", "no_session")
+        .transformWithStateInPandas(
+            no_change_processor(visit, micros),
+            outputStructType=f"session_key string, no_session boolean, {visit}, no_change_count long",
+            outputMode="append",
+            timeMode="EventTime",
+        )
+    )
+    session = F.when(~F.col("no_session"), F.col("session_key").cast(kinds["session_id"].dataType))
+    named = counted.select(
+        "event_id", session.alias("session_id"), F.timestamp_micros("at").alias("ts"), "url", "content",
+        F.col("no_change_count"), (F.col("no_change_count") >= memory.STUCK_AFTER).alias("is_stuck"),
+    )
+    with _rocksdb(spark):
+        run_to_folder(named, folder)
 
 
-def read_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """All visits that stream_no_change has written."""
-    return spark.read.parquet(folder).drop("batch", "ts")
+def read_runs(spark: SparkSession, folder: str, gap: str = "365 days") -> DataFrame:
+    """All visits that stream_no_change has counted, and those that still wait as if no other came before them.
 
+    `gap` is that of the stream.
+    """
+    done = spark.read.parquet(folder).drop("batch")
+    kind = done.schema["session_id"].dataType
 
-# ------------------------------------------------------------------ carried rows
-def _rows_folder(folder: str, batch_id: int) -> str:
-    """Two folders in turn: a batch reads the one before it and overwrites its own, also when it runs again."""
-    return f"{folder}-rows/{batch_id % 2}"
+    def state(name: str, row: str) -> DataFrame:
+        reader = spark.read.format("statestore").option("stateVarName", name)
+        session = F.when(~F.col("key.no_session"), F.col("key.session_key").cast(kind))
+        return reader.load(f"{folder}-progress").select(session.alias("session_id"), f"{row}.*")
 
+    waiting = state("waiting", "list_element").withColumn("ts", F.timestamp_micros("at")).drop("at")
+    last = state("last", "value").select("session_id", F.timestamp_micros("at").alias("ts"), "url", "content", "run")
+    return union_rows(done.drop("ts"), memory.counted_runs(waiting, last, gap).drop("ts"))
 
-def _last_rows(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
-    return spark.read.parquet(_rows_folder(folder, batch_id - 1)) if batch_id else None
 
-
-def _run(stream: DataFrame, write, folder: str) -> None:
-    query = (
-        stream.writeStream.option("checkpointLocation", f"{folder}-progress")
-        .foreachBatch(write)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """Keyed state with lists and timers needs the RocksDB provider; other streams keep theirs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 # ------------------------------------------------------------------ running and sinks
@@ -117,18 +140,43 @@ def read_latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(last.alias("row")).select(*keys, *[f"row.{c}" for c in values])
 
 
-def stream_upsert(states: DataFrame, folder: str) -> None:
-    """Fold each batch into the newest state per key; only the last two results are kept."""
+def stream_upsert(states: DataFrame, folder: str, buckets: int = 256) -> None:
+    """Fold each batch into the newest state per key, kept in a table of `buckets` by key.
+
+    A batch reads and rewrites only the buckets it has keys of, as a version
+    named by its batch id. A batch that runs again reads the versions before
+    its own and overwrites its own, so it counts once. Of each bucket the
+    newest two versions stay.
+    """
+    table = BucketedVersions(states.sparkSession, f"{folder}-rows")
+    bucket = F.pmod(F.xxhash64(*memory.STATE_KEY), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        old = _last_rows(batch.sparkSession, folder, batch_id)
-        newest = memory.upsert_states(batch.limit(0) if old is None else old, batch)
-        newest.write.mode("overwrite").parquet(_rows_folder(folder, batch_id))
+        arrived = batch.withColumn("bucket", bucket).persist()  # counted, then folded
+        try:
+            touched = [r["bucket"] for r in arrived.select("bucket").distinct().collect()]
+            if touched:
+                old = table.read(batch_id - 1, touched)
+                newest = memory.upsert_states(batch.limit(0) if old is None else old, arrived.drop("bucket"))
+                table.write(newest.withColumn("bucket", bucket), batch_id)
+                table.forget(batch_id, touched)
+        finally:
+            arrived.unpersist()
 
     _run(states, write, folder)
 
 
 def read_states(spark: SparkSession, folder: str) -> DataFrame:
-    """Current states of a folder that stream_upsert feeds."""
-    rows = spark.read.parquet(f"{folder}-rows/*")
-    return memory.upsert_states(rows.limit(0), rows)
+    """Current states of a folder that stream_upsert feeds, as of its last finished batch."""
+    finished = [int(p) for p in children(spark, f"{folder}-progress/commits") if p.isdigit()]
+    return BucketedVersions(spark, f"{folder}-rows").read(max(finished))
+
+
+def _run(stream: DataFrame, write, folder: str) -> None:
+    query = (
+        stream.writeStream.option("checkpointLocation", f"{folder}-progress")
+        .foreachBatch(write)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
