@@ -8,7 +8,6 @@ from ..operators import classify, crawl, urls
 from . import sqltext as d
 from .registry import cte, query
 
-SEED_LIMIT = 28
 HREF = urls.HREF
 
 
@@ -119,17 +118,26 @@ cte(
 FROM md_links WHERE {d.crawl_skip('link')} = ''""",
     "md_links",
 )
+cte(
+    "seeds",
+    f"""SELECT DISTINCT canonical FROM (
+  SELECT canonical, row_number() OVER (PARTITION BY host ORDER BY page_id, canonical) AS nth FROM (
+    SELECT page_id, {d.canonical('url')} AS canonical, {d.host('url')} AS host FROM product_pages WHERE {d.crawl_skip('url')} = '') p
+  WHERE canonical IS NOT NULL) f
+WHERE nth = 1 OR canonical NOT IN (SELECT {d.canonical('link')} FROM md_links
+  WHERE {d.crawl_skip('link')} = '' AND {d.crawl_skip('url')} = '' AND {d.canonical('url')} <> {d.canonical('link')})""",
+    "product_pages md_links",
+)
 
 
 def _walk_cte(depth: int) -> str:
     return f"""
-SELECT DISTINCT {d.canonical('url')} AS canonical, 0 AS depth FROM product_pages
-  WHERE page_id < {SEED_LIMIT} AND {d.crawl_skip('url')} = ''
+SELECT canonical, 0 AS depth FROM seeds
 UNION
 SELECT graph.dst, walk.depth + 1 FROM walk JOIN graph ON graph.src = walk.canonical WHERE walk.depth < {depth}"""
 
 
-cte("walk", _walk_cte(3), "product_pages graph")
+cte("walk", _walk_cte(3), "seeds graph")
 DISCOVERED = """
 SELECT w.canonical, w.depth, s.canonical IS NOT NULL AS fetched
 FROM (SELECT canonical, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY canonical) w
@@ -139,8 +147,7 @@ LEFT JOIN stored s ON s.canonical = w.canonical"""
 @query("discover", DISCOVERED, "walk stored", recursive=True)
 def _(t):
     pages = t.product_pages()
-    seeds = pages.filter(F.col("page_id") < SEED_LIMIT)
-    return crawl.discover(pages, urls.link_edges(pages), seeds, max_depth=3)
+    return crawl.discover(pages, urls.link_edges(pages), max_depth=3)
 
 
 @query(
@@ -151,8 +158,7 @@ def _(t):
 )
 def _(t):
     pages = t.product_pages()
-    seeds = pages.filter(F.col("page_id") < SEED_LIMIT)
-    return crawl.discover(pages, urls.link_edges(pages), seeds, 3, count_failed=False)
+    return crawl.discover(pages, urls.link_edges(pages), max_depth=3, count_failed=False)
 
 
 @query(
@@ -210,8 +216,7 @@ LEFT JOIN ({DISCOVERED}) w ON w.canonical = {d.canonical('p.url')}""",
 )
 def _(t):
     pages = t.product_pages()
-    seeds = pages.filter(F.col("page_id") < SEED_LIMIT)
-    found = crawl.discover(pages, urls.link_edges(pages), seeds, 3)
+    found = crawl.discover(pages, urls.link_edges(pages), max_depth=3)
     return urls.url_info(pages, found)
 
 
