@@ -8,8 +8,8 @@ backward, with their vectors, compares neighbours of one node with each other
 where one of the two is new, and keeps the nearest of old and proposed ones;
 rounds end when few lists change. A query starts at the node of its own vector,
 if the graph has it, and at the nearest of a fixed sample of nodes; it expands
-the nearest nodes that it hasn't yet, many queries at once, until the best
-`BEAM` are all expanded. Those are scored exactly, in double precision, on the
+the nearest nodes that it hasn't yet, many queries at once, until (nearly) all
+of the best `BEAM` are expanded. Those are scored exactly, in double precision, on the
 original vectors.
 
 Everything sized by the table moves by joins and shuffles; a list, a block and
@@ -36,9 +36,11 @@ from wareloom.session import staged
 NEIGHBOURS, BACKWARD, PROPOSALS = 32, 24, 12
 #: Trees of blocks, planes of each, nodes of a block, edges that a node gets from one.
 TREES, PLANES, LEAF, LEAF_EDGES = 8, 24, 1024, 16
-ROUNDS, ENOUGH = 6, 0.05
+ROUNDS, ENOUGH = 6, 0.08
 #: Nodes that a query keeps, expands at once, and may start from.
 BEAM, EXPAND, ENTRIES, STARTS = 128, 32, 512, 4
+#: The walk ends when so small a share of the kept nodes is not expanded yet.
+UNEXPANDED = 0.001
 
 Frames = Iterator[pd.DataFrame]
 
@@ -154,27 +156,28 @@ def _blocks(frames: Frames) -> Frames:
         yield frame.assign(cut=cuts)
 
 
-def _first_of(group: str, other: str, most: int) -> Callable[[Frames], Frames]:
-    """Of rows sorted by group and falling sim: every other once, the first `most` of a group."""
+def _first_of(most: int) -> Callable[[Frames], Frames]:
+    """Of rows sorted by src and falling sim: every dst once, the first `most` of a src, numbered."""
 
     def run(frames: Frames) -> Frames:
-        for frame in whole_groups(frames, [group]):
-            once = frame.drop_duplicates([group, other])
-            yield once[once.groupby(group).cumcount() < most]
+        for frame in whole_groups(frames, ["src"]):
+            once = frame.drop_duplicates(["src", "dst"])
+            nth = once.groupby("src").cumcount()
+            yield once.assign(nth=nth)[nth < most]
 
     return run
 
 
-def _kept(edges: DataFrame, group: str, other: str, most: int, flag: str) -> DataFrame:
-    """The nearest `most` others of each group; of two rows of a pair the one without the flag."""
-    ordered = edges.repartition(group).sortWithinPartitions(group, F.desc("sim"), other, flag)
-    return ordered.mapInPandas(_first_of(group, other, most), edges.schema)
+def _kept(edges: DataFrame, most: int) -> DataFrame:
+    """The nearest `most` dst of each src, numbered from 0; of two rows of a pair the one that is not fresh."""
+    ordered = edges.select("src", "dst", "sim", "fresh").repartition("src").sortWithinPartitions("src", F.desc("sim"), "dst", "fresh")
+    return ordered.mapInPandas(_first_of(most), "src long, dst long, sim float, fresh boolean, nth int")
 
 
 def _backward(edges: DataFrame, most: int, order: list[Column]) -> DataFrame:
     """edges turned round, at most `most` per node; a hub's are cut before the shuffle."""
-    nth = F.row_number().over(W.partitionBy("dst").orderBy(*order, "src"))
-    return edges.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+    place = F.row_number().over(W.partitionBy("dst").orderBy(*order, "src"))
+    return edges.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
 def _compare(frames: Frames) -> Frames:
@@ -199,13 +202,13 @@ def _descend(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ahead = edges.select(F.col("src").alias("at"), F.col("dst").alias("near"), "fresh")
     back = _backward(edges, BACKWARD, [F.desc("fresh"), F.xxhash64("src", "dst")]).select(F.col("dst").alias("at"), F.col("src").alias("near"), "fresh")
     own = nodes.select(F.col("node").alias("at"), F.col("node").alias("near"), F.lit(False).alias("fresh"))
-    around = union_rows(union_rows(ahead, back), own).groupBy("at", "near").agg(F.max("fresh").alias("fresh"))
-    bound = edges.groupBy("src").agg(F.when(F.count(F.lit(1)) >= NEIGHBOURS, F.min("sim")).otherwise(-2.0).cast("float").alias("bound"))
+    around = union_rows(ahead, back, own).repartition("near").groupBy("at", "near").agg(F.max("fresh").alias("fresh"))
+    bound = edges.where(F.col("nth") == NEIGHBOURS - 1).select("src", F.col("sim").alias("bound"))  # of full lists
     known = nodes.select("node", "dims", "unit").join(bound, F.col("node") == F.col("src"), "left")
     known = known.select(F.col("node").alias("near"), "dims", "unit", F.coalesce("bound", F.lit(-2.0)).cast("float").alias("bound"))
     met = around.join(known, "near").repartition("at").sortWithinPartitions("at", "near")
     proposed = met.mapInPandas(_compare, "src long, dst long, sim float, fresh boolean")
-    return _kept(union_rows(edges.withColumn("fresh", F.lit(False)), proposed), "src", "dst", NEIGHBOURS, "fresh")
+    return _kept(union_rows(edges.select("src", "dst", "sim", F.lit(False).alias("fresh")), proposed), NEIGHBOURS)
 
 
 def build(vectors: DataFrame, keep: int = 6) -> Graph:
@@ -220,7 +223,7 @@ def build(vectors: DataFrame, keep: int = 6) -> Graph:
         .sortWithinPartitions("tree", "dims", "key", "node")
     )
     edges = blocks.mapInPandas(_within_blocks, "src long, dst long, sim float").withColumn("fresh", F.lit(True))
-    edges = staged(_kept(edges, "src", "dst", NEIGHBOURS, "fresh"), "neighbour-lists")
+    edges = staged(_kept(edges, NEIGHBOURS), "neighbour-lists")
     for _ in range(ROUNDS):
         edges = staged(_descend(nodes, edges), "neighbour-lists")
         total, fresh = edges.agg(F.count(F.lit(1)), F.count_if("fresh")).first()
@@ -241,35 +244,69 @@ def _starts(entries: dict[int, tuple[np.ndarray, np.ndarray]]) -> Callable[[Fram
                 if dims in entries:
                     node, u = entries[dims]
                     found = _nearest(part["query"].to_numpy(), node, _similar(_units(part["q_unit"]), u), STARTS)
-                    yield found.rename(columns={"src": "query", "dst": "node"}).assign(done=False)
+                    yield found.rename(columns={"src": "query", "dst": "node"})
 
     return run
 
 
-def _measure(frames: Frames) -> Frames:
-    for frame in frames:
-        sim = np.empty(len(frame), np.float32)
-        for where in frame.groupby("dims").indices.values():
-            a, b = _units(frame["q_unit"].iloc[where]), _units(frame["unit"].iloc[where])
-            sim[where] = np.round((a * b).sum(axis=1), 6)
-        yield pd.DataFrame({"query": frame["query"], "node": frame["node"], "sim": sim, "done": False})
-
-
-def _walk(graph: Graph, asked: DataFrame, beam: DataFrame) -> DataFrame:
-    """Rounds of expansion until every node of every beam is expanded; beam: query, node, sim, done."""
+#: A kept node of a query: done when expanded, open when it is expanded next.
+BEAM_ROW = "query long, node long, sim float, done boolean, open boolean"
+
+
+def _advance(frames: Frames) -> Frames:
+    """One query after the other: its own row (node -1, unit only), kept nodes (sim only) and reached ones (node and unit) make its next beam."""
+    for frame in whole_groups(frames, ["query"]):
+        for query, where in frame.groupby("query", sort=False).indices.items():
+            part = frame.iloc[where]
+            own = part["node"] < 0
+            new = part["sim"].isna() & ~own
+            kept = part[part["sim"].notna()]
+            new = part[new].drop_duplicates("node")
+            new = new[~new["node"].isin(kept["node"])]
+            sim = np.empty(0, np.float32)
+            if len(new):
+                sim = _similar(_units(new["unit"]), _units(part["unit"][own])).ravel()
+            beam = pd.DataFrame(
+                {
+                    "node": np.concatenate([kept["node"], new["node"]]).astype(np.int64),
+                    "sim": np.concatenate([kept["sim"], sim]).astype(np.float32),
+                    "done": np.concatenate([kept["done"], np.zeros(len(new))]).astype(bool),
+                }
+            )
+            beam = beam.sort_values(["sim", "node"], ascending=[False, True]).drop_duplicates("node").iloc[:BEAM]
+            left = ~beam["done"]
+            yield beam.assign(query=query, open=left & (left.cumsum() <= EXPAND))
+
+
+def _next_beam(asked: DataFrame, kept: DataFrame, reached: DataFrame | None = None) -> DataFrame:
+    """All that belongs to a query in one task: one shuffle a round."""
+    none = F.lit(None)
+    parts = [
+        asked.select("query", F.lit(-1).cast("long").alias("node"), none.cast("float").alias("sim"), F.lit(False).alias("done"), F.col("q_unit").alias("unit")),
+        kept.select("query", "node", "sim", "done", none.cast("binary").alias("unit")),
+    ]
+    if reached is not None:
+        parts.append(reached.select("query", "node", none.cast("float").alias("sim"), F.lit(False).alias("done"), "unit"))
+    ordered = union_rows(*parts).repartition("query").sortWithinPartitions("query", "node")
+    return staged(ordered.mapInPandas(_advance, BEAM_ROW), "neighbour-beam")
+
+
+def _walk(graph: Graph, asked: DataFrame, starts: DataFrame) -> DataFrame:
+    """query, node, sim, done, open: the beams when (nearly) all of their nodes are expanded.
+
+    A round moves what is expanded to the lists, what these reach to the
+    vectors, and those with the kept nodes to the query.
+    """
     units = graph.nodes.select("node", "unit")
+    beam = _next_beam(asked, starts.withColumn("done", F.lit(False)))
     while True:
-        nth = F.row_number().over(W.partitionBy("query").orderBy(F.desc("sim"), "node"))
-        open_ = staged(beam.where(~F.col("done")).withColumn("nth", nth).where(F.col("nth") <= EXPAND).select("query", "node"), "neighbour-open")
-        if open_.isEmpty():
+        total, left = beam.agg(F.count(F.lit(1)), F.count_if("open")).first()
+        if left <= UNEXPANDED * total:
             return beam
-        reached = open_.join(graph.adjacency, "node").select("query", F.explode("near").alias("node")).distinct()
-        new = reached.join(beam.select("query", "node"), ["query", "node"], "left_anti")
-        met = new.join(units, "node").join(asked.select("query", "dims", "q_unit"), "query")
-        found = met.select("query", "node", "dims", "q_unit", "unit").mapInPandas(_measure, "query long, node long, sim float, done boolean")
-        now_done = beam.join(open_.withColumn("now", F.lit(True)), ["query", "node"], "left")
-        now_done = now_done.select("query", "node", "sim", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        beam = staged(_kept(union_rows(now_done, found), "query", "node", BEAM, "done"), "neighbour-beam")
+        reached = beam.where("open").select("query", "node").join(graph.adjacency, "node").select("query", F.explode("near").alias("node"))
+        reached = reached.repartition("node").dropDuplicates(["query", "node"]).join(units, "node")
+        kept = beam.withColumn("done", F.col("done") | F.col("open"))
+        beam = _next_beam(asked, kept, reached)
 
 
 def _score(frames: Frames) -> Frames:
@@ -296,11 +333,10 @@ def search(graph: Graph, queries: DataFrame, k: int = 5) -> DataFrame:
     asks = rows.select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda c: c.cast("double")).alias("q_vector"))
     asks = staged(asks.where("query_id is not null").distinct().join(asked, "q_vector").select("query_id", "query"), "neighbour-asks")
 
-    kind = "query long, node long, sim float, done boolean"
-    entries = asked.mapInPandas(_starts(_sampled(graph.nodes, ENTRIES, "entries")), kind)
+    entries = asked.mapInPandas(_starts(_sampled(graph.nodes, ENTRIES, "entries")), "query long, node long, sim float")
     own = asked.join(graph.nodes.select("node", "vector"), F.col("q_vector") == F.col("vector"))
-    own = own.select("query", "node", F.lit(1.0).cast("float").alias("sim"), F.lit(False).alias("done"))
-    beam = _walk(graph, asked, staged(_kept(union_rows(own, entries), "query", "node", BEAM, "done"), "neighbour-beam"))
+    own = own.select("query", "node", F.lit(1.0).cast("float").alias("sim"))
+    beam = _walk(graph, asked.select("query", "q_unit"), union_rows(own, entries))
 
     pairs = beam.select("query", "node").join(graph.nodes.select("node", "ids", "vector"), "node").join(asked.select("query", "q_vector"), "query")
     ids = graph.nodes.schema["ids"].dataType.simpleString()
