@@ -152,3 +152,34 @@ def test_html_is_not_read_for_url_work(tables):
 def test_unnest_keeps_order_and_drops_empty(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, [])], "id long, xs array<string>")
     assert [tuple(r) for r in unnest(df, ["id"], F.col("xs")).collect()] == [(1, 0, "a"), (1, 1, "b")]
+
+
+def test_templates_and_groups_of_near_copies_make_few_pairs(spark, monkeypatch):
+    """Texts that share a template, and one large group of near copies: pairs grow with the rows, not with their square."""
+    draw = random.Random(6)
+    template = [f"form{i}" for i in range(40)]
+    texts = [template[:30] + [f"own{k}x{i}" for i in range(20)] for k in range(400)]  # 60 % in common: not similar
+    base = [f"word{i}" for i in range(60)]
+    for k in range(400):
+        copy = base[:]
+        copy[draw.randrange(60)] = f"typo{k}"
+        texts.append(copy)
+    order = draw.sample(range(800), 800)
+    items = spark.createDataFrame([(i, " ".join(texts[k])) for i, k in enumerate(order)], "id long, text string")
+    written = {}
+    plain = near_duplicates.staged
+
+    def counted(df, name):
+        out = plain(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_duplicates, "staged", counted)
+    pairs = []
+    similar = near_duplicates._similar
+    monkeypatch.setattr(near_duplicates, "_similar", lambda p, *a: (pairs.append(p.count()), similar(p, *a))[1])
+    got = near_duplicates.near_duplicates(items, 0.8, size=1).collect()
+    copies = sorted(i for i, k in enumerate(order) if k >= 400)
+    assert {r.id for r in got if r.is_duplicate} == set(copies[1:])
+    assert {r.kept_id for r in got if r.id in set(copies)} == {copies[0]}
+    assert sum(pairs) < 10 * 800

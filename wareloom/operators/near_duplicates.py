@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_rows
 from ..functions.text import let, squeeze, strip
 from ..session import ensure_checkpoint_dir, staged
 
@@ -21,30 +22,35 @@ def shingles(text: Column, size: int, unit: str) -> Column:
     return let(F.split(clean, " " if unit == "word" else "(?!^)(?!$)"), runs)
 
 
+#: Hash buckets over which tokens are counted, a byte each; more of them order the tokens better and cost the driver more.
 BUCKETS = 1 << 16
 
 
 def bucket_ranks(sets: DataFrame) -> bytes:
-    """Per hash bucket a byte that grows with the logarithm of its tokens' count; BUCKETS bytes."""
+    """Per hash bucket a byte that grows with the logarithm of its tokens' count; BUCKETS bytes.
+
+    The byte is 1 only if the bucket has one row: that token is in one set.
+    """
     counts = (
         sets.select(F.explode("hashes").alias("token"))
-        .groupBy(F.pmod("token", F.lit(BUCKETS)).alias("bucket"))
-        .agg((F.floor(F.log2(F.count(F.lit(1))) * 3) + 1).alias("rank"))
+        .groupBy(F.pmod("token", F.lit(BUCKETS)).cast("int").alias("bucket"))
+        .agg((F.floor(F.log2(F.count(F.lit(1))) * 3) + 1).cast("int").alias("rank"))
+        .toPandas()
     )
     ranks = bytearray(BUCKETS)
-    for row in counts.collect():
-        ranks[row["bucket"]] = min(row["rank"], 126)
+    for bucket, rank in zip(counts["bucket"].tolist(), counts["rank"].tolist()):
+        ranks[bucket] = min(rank, 126)
     return bytes(ranks)
 
 
-def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """id, other, similarity: all pairs of sets (id, hashes) with other < id and a
-    Jaccard similarity of at least `threshold`.
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """id, size, at, token: the rarest tokens of each set (id, hashes) that another set may have.
 
-    Two such sets share a token among the first size - ceil(threshold * size)
-    + 1 of each, in any common order; the rarest come first, so that few sets
-    meet. Pairs that fail the length or the positional filter are left out,
-    the others compared in full once.
+    Two sets with a Jaccard similarity of at least `threshold` share a token
+    among the first size - ceil(threshold * size) + 1 of each, in any common
+    order. Rare ones come first, so a text with a template in common with many
+    others meets these only where the template is nearly all of it. Tokens that
+    are known to be in one set take up their places but make no row.
     """
     ranks = F.lit(bucket_ranks(sets))
 
@@ -53,21 +59,55 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
         return F.struct(rank.alias("rank"), token.alias("token"))
 
     size = F.size("hashes")
-    first = F.slice(F.array_sort(F.transform("hashes", ranked)), F.lit(1), size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1)
-    entries = sets.select("id", size.alias("size"), F.posexplode(first).alias("at", "t")).select("id", "size", "at", "t.token")
-    others = entries.select(*[F.col(c).alias(f"o_{c}") for c in entries.columns])
+    most = size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
+    first = F.slice(F.array_sort(F.transform("hashes", ranked)), F.lit(1), most)
+    return sets.select("id", size.alias("size"), F.posexplode(first).alias("at", "t")).where("t.rank > 1").select("id", "size", "at", "t.token")
+
+
+def _passing(threshold: float) -> Column:
+    """The length filter and the positional filter of a pair of entries."""
     small, large = F.least("size", "o_size"), F.greatest("size", "o_size")
     need = F.ceil((F.col("size") + F.col("o_size")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
     shared = F.least("at", "o_at") + F.least(F.col("size") - F.col("at"), F.col("o_size") - F.col("o_at"))
-    met = (
-        entries.join(others, (F.col("token") == F.col("o_token")) & (F.col("o_id") < F.col("id")) & (small >= large * F.lit(threshold) - F.lit(1e-9)) & (shared >= need))
-        .select("id", F.col("o_id").alias("other"))
-        .distinct()
-    )
-    both = met.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("hashes").alias("other_hashes")), "other")
+    return (small >= large * F.lit(threshold) - F.lit(1e-9)) & (shared >= need)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Of distinct pairs (id, other) those that are similar: id, best (other, similarity) with the smallest other."""
+    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("hashes").alias("other_hashes")), "other")
     common = F.size(F.array_intersect("hashes", "other_hashes"))
     whole = F.size("hashes") + F.size("other_hashes")
-    return both.select("id", "other", let(common, lambda c: c / (whole - c)).alias("similarity")).filter(F.col("similarity") >= threshold)
+    held = both.select("id", "other", let(common, lambda c: c / (whole - c)).alias("similarity")).filter(F.col("similarity") >= threshold)
+    return held.groupBy("id").agg(F.min_by(F.struct("other", "similarity"), "other").alias("best"))
+
+
+def first_similar(sets: DataFrame, threshold: float) -> DataFrame:
+    """id, other, similarity: of each set (id, hashes) the smallest other < id with a
+    Jaccard similarity of at least `threshold`; none for sets without one.
+
+    Every set is held first against the smallest id of each of its tokens,
+    which is one pair per entry however many sets share the token. In the
+    join of all entries only others below what that found are left, so a large
+    group of near copies, which all have its first one, makes no pairs of its
+    own there.
+    """
+    entries = staged(prefixes(sets, threshold), "prefixes")
+    least = entries.groupBy("token").agg(F.min(F.struct("id", "size", "at")).alias("o"))
+    least = least.select("token", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("id", "size", "at")])
+    met = entries.join(least, "token").where((F.col("o_id") < F.col("id")) & _passing(threshold))
+    tried = staged(met.select("id", F.col("o_id").alias("other")).distinct(), "first-pairs")
+    found = staged(_similar(tried, sets, threshold), "first-similar")
+
+    below = found.select("id", F.col("best.other").alias("below"))
+    open_ = entries.join(below, "id", "left").withColumn("below", F.coalesce("below", "id"))
+    # an entry can only be an other where some set of its token still looks for one above it
+    reach = open_.groupBy("token").agg(F.max("below").alias("reach"), F.min("id").alias("least"))
+    others = entries.join(reach, "token").where("id < reach AND id > least")
+    others = others.select("token", *[F.col(c).alias(f"o_{c}") for c in ("id", "size", "at")])
+    more = open_.join(others, "token").where((F.col("o_id") < F.col("below")) & _passing(threshold))
+    more = more.select("id", F.col("o_id").alias("other")).distinct().join(tried, ["id", "other"], "left_anti")
+    best = union_rows(found, _similar(more, sets, threshold))
+    return best.groupBy("id").agg(F.min_by("best", "best.other").alias("best")).select("id", "best.other", "best.similarity")
 
 
 def followed(parents: DataFrame) -> DataFrame:
@@ -89,8 +129,8 @@ def near_duplicates(
 
     An item is a duplicate when an earlier item has a similarity of at least
     `threshold` with it; `similarity` is that with its first such item, and
-    kept_id is the item without an earlier one that this leads to. All pairs
-    are found, each is compared once, and the number of rounds grows with the
+    kept_id is the item without an earlier one that this leads to. No first
+    similar item is missed, a pair is compared at most once, and the number of rounds grows with the
     logarithm of the longest chain. Items with equal sets are folded first.
     """
     ensure_checkpoint_dir(items.sparkSession)
@@ -102,10 +142,8 @@ def near_duplicates(
     firsts = copies.groupBy("set_key").agg(F.min("id").alias("first_id"))
     sets = staged(keyed.join(firsts.select(F.col("first_id").alias("id")), "id", "left_semi").select("id", "hashes"), "sets")
     matched = (
-        similar_pairs(sets, threshold)
-        .groupBy("id")
-        .agg(F.min_by(F.struct("other", "similarity"), "other").alias("best"))
-        .select(F.col("id").alias("first_id"), F.col("best.other").alias("parent"), "best.similarity")
+        first_similar(sets, threshold)
+        .select(F.col("id").alias("first_id"), F.col("other").alias("parent"), "similarity")
         .checkpoint()
     )
     roots = followed(matched.select(F.col("first_id").alias("id"), "parent")).withColumnRenamed("id", "first_id")
