@@ -1,14 +1,15 @@
 """Mix sources to target weights with a low-discrepancy schedule.
 
-Slots 0, 1, 2, ... of `block_words` words each get a golden-ratio point; the
-points go through the cumulative targets and so name a source for every slot.
-A slot's rank among the slots of its source is the block it takes: each
-source's documents stand in a shuffled order, cut into blocks of equal words,
-and after the last block the source starts anew. To a source of fewer than
-`EXACT_BLOCKS` blocks a few slots more or less are much: it goes round and
-round in the same order until its target is reached to the word. All of it is
-joins, windows over bounded ranges and aggregates; no source is ever gathered
-in one task.
+Each source has a slot length: `block_words`, or less where the source is small,
+so that its words make `LEAST_BLOCKS` blocks if there are as many. Its target in
+words gives its number of slots. Slots 0, 1, 2, ... of all sources get golden-ratio
+points; in the order of the points the slots go through the cumulative slot
+numbers of the sources, so every source has exactly its own and they lie evenly
+in the schedule. A slot's rank among the slots of its source is the block it
+takes: each source's documents stand in a shuffled order, cut into blocks of
+equal words, and after the last block the source starts anew; the last slot
+takes as many words of its block as the target still has. All of it is joins, windows
+over bounded ranges and aggregates; no source is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -25,19 +26,36 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 BLOCK_WORDS = 64
-#: Sources of fewer blocks end at their target to the word.
-EXACT_BLOCKS = 1024
-#: Cells over which the schedule's points meet the sources' intervals.
-CELLS = 1024
+#: Blocks that a source is cut into at least, if it has as many words.
+LEAST_BLOCKS = 1024
 #: Ranges of the shuffled order; slots that are ranked together.
 RANGES = 4096
 RANK_TOGETHER = 16_384
 
 
 def _point(slot: Column) -> Column:
-    """Fractional part of slot times the golden ratio, in steps of 2**-32."""
-    step = F.pmod(slot, F.lit(1 << 32)) * F.lit(1640531527)
-    return F.pmod(step, F.lit(1 << 32)) / F.lit(float(1 << 32))
+    """Fractional part of slot times the golden ratio, in steps of 2**-32, as a whole number."""
+    return F.pmod(F.pmod(slot, F.lit(1 << 32)) * F.lit(1640531527), F.lit(1 << 32))
+
+
+def slot_words(source_size: Column, block_words: int = BLOCK_WORDS) -> Column:
+    """Words of a slot and block of a source."""
+    return F.least(F.lit(block_words), F.greatest(F.lit(1), F.floor(source_size / LEAST_BLOCKS))).cast("long")
+
+
+def slot_counts(targets: DataFrame, block_words: int = BLOCK_WORDS, most: float = MOST) -> DataFrame:
+    """targets plus words (of a slot), blocks, slots, and rest: the words of the last
+    slot if it takes only a part of its block, else null."""
+    words, size = slot_words(F.col("source_size"), block_words), F.col("source_size")
+    goal = F.least(F.round("target").cast("long"), F.floor(F.lit(most) * size))
+    rounds = F.floor(goal / F.greatest(size, F.lit(1)))
+    over = goal - rounds * size
+    return (
+        targets.withColumn("words", words)
+        .withColumn("blocks", F.ceil(size / F.col("words")))
+        .withColumn("slots", F.when(goal > 0, rounds * F.col("blocks") + F.ceil(over / F.col("words"))).otherwise(0))
+        .withColumn("rest", F.when(over % F.col("words") > 0, over % F.col("words")))
+    )
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -73,45 +91,42 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     )
 
 
-def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _ranked(rows: DataFrame, keys: list[str], cell: str, order: list[str], name: str) -> DataFrame:
+    """Add the 0-based rank per keys; `cell` cuts the order into ranges that are ranked each by itself."""
+    earlier = W.partitionBy(*keys).orderBy(cell).rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        rows.groupBy(*keys, cell)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(*keys, cell, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    )
+    within = F.row_number().over(W.partitionBy(*keys, cell).orderBy(*order)) - 1
+    ranked = rows.withColumn("within", within).join(offsets, [*keys, cell])
+    return ranked.withColumn(name, F.col("offset") + F.col("within")).drop("offset", "within", cell)
+
+
+def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS, most: float = MOST) -> DataFrame:
     """slot, sid, rank: which source fills a slot and its how-manieth slot it is.
 
-    The number of slots is the sum of the targets over `block_words`, rounded up.
+    Every source has exactly its slots (slot_counts).
     """
-    spark = targets.sparkSession
-    total = targets.agg(F.sum("target")).first()[0] or 0.0
-    slots = spark.range(int(-(-total // block_words))).select(F.col("id").alias("slot"), _point(F.col("id")).alias("u"))
-    slots = slots.withColumn("cell", F.floor(F.col("u") * CELLS))
-    running = W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0)
-    intervals = (
-        targets.where("target > 0")
-        .withColumn("high", F.sum("target").over(running) / F.lit(max(total, 1e-300)))
-        .withColumn("low", F.lag("high", 1, 0.0).over(W.orderBy("sid")))
-        .withColumn("high", F.when(F.lead("sid").over(W.orderBy("sid")).isNull(), 1.0).otherwise(F.col("high")))
-        .select(
-            "sid",
-            "low",
-            "high",
-            F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell"),
-        )
-    )
-    placed = (
-        slots.join(intervals, "cell")
-        .where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+    counted = slot_counts(targets, block_words, most).where("slots > 0")
+    total = int(counted.agg(F.sum("slots")).first()[0] or 0)
+    cells = max(1, total // RANK_TOGETHER)
+    slots = targets.sparkSession.range(total).select(F.col("id").alias("slot"), _point(F.col("id")).alias("point"))
+    slots = slots.withColumn("cell", F.floor(F.col("point") / F.lit((1 << 32) / cells)))
+    placed = _ranked(slots, [], "cell", ["point", "slot"], "place")
+
+    high = F.sum("slots").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0))
+    intervals = counted.withColumn("high", high).withColumn("low", F.col("high") - F.col("slots"))
+    parts = F.sequence(F.floor(F.col("low") / RANK_TOGETHER), F.floor((F.col("high") - 1) / RANK_TOGETHER))
+    intervals = intervals.select("sid", "low", "high", F.explode(parts).alias("part"))
+    named = (
+        placed.withColumn("part", F.floor(F.col("place") / RANK_TOGETHER))
+        .join(intervals, "part")
+        .where((F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
         .select("slot", "sid", F.floor(F.col("slot") / RANK_TOGETHER).alias("range"))
     )
-    earlier = W.partitionBy("sid").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("sid", "range")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("sid", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    )
-    within = F.row_number().over(W.partitionBy("sid", "range").orderBy("slot")) - 1
-    return (
-        placed.withColumn("within", within)
-        .join(offsets, ["sid", "range"])
-        .select("slot", "sid", (F.col("offset") + F.col("within")).alias("rank"))
-    )
+    return _ranked(named, ["sid"], "range", ["slot"], "rank").select("slot", "sid", "rank")
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -120,10 +135,9 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, share:
 
     `docs` has doc_id, text and source; other columns are ignored. A null or
     empty text has size 0 and is taken 0 times. Rows with the same doc_id
-    stay apart, one result each. An empty table gives no row. A source of fewer
-    than `EXACT_BLOCKS` blocks ends at its target rounded to words, a larger
-    one within a few blocks of it, and no document is taken more than `most`
-    times.
+    stay apart, one result each. An empty table gives no row. Each source ends
+    at its target rounded to words, and no document is taken more than `most`
+    times, rounded up.
     """
     sized = staged(
         docs.select(
@@ -147,27 +161,23 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, share:
         .join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
         .select("doc_id", "size", "source_size", "target", "sid", "part", "row", (F.col("offset") + F.col("before")).alias("at"))
     )
-    blocks = F.ceil(F.col("source_size") / F.lit(block_words))
+    plan = slot_counts(targets, block_words, most).select("sid", "blocks", "slots", "rest")
     uses = (
-        schedule(targets, block_words)
-        .join(targets.select("sid", blocks.alias("blocks")), "sid")
-        .where(F.col("rank") < F.lit(int(most)) * F.col("blocks"))
+        schedule(targets, block_words, most)
+        .join(plan, "sid")
+        .withColumn("part_words", F.when(F.col("rank") == F.col("slots") - 1, F.col("rest")))
         .groupBy(F.col("sid").alias("u_sid"), (F.col("rank") % F.col("blocks")).alias("u_block"))
-        .agg(F.count(F.lit(1)).alias("uses"))
+        .agg(F.count_if(F.col("part_words").isNull()).alias("uses"), F.max("part_words").alias("part_words"))
     )
-    first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
+    words = slot_words(F.col("source_size"), block_words)
+    first, last = F.floor(F.col("at") / words), F.floor((F.col("at") + F.col("size") - 1) / words)
     segments = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
-    begin = F.greatest("at", F.col("block") * block_words)
-    end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words)
-    goal = F.least(F.round("target").cast("long"), F.lit(int(most)) * F.col("source_size"))
-    rounds = F.floor(goal / F.greatest("source_size", F.lit(1)))
-    rest = goal - rounds * F.col("source_size")
-    exact = rounds * F.col("size") + F.greatest(F.least(F.col("at") + F.col("size"), rest) - F.col("at"), F.lit(0))
-    small = F.col("source_size") < EXACT_BLOCKS * block_words
+    start = F.col("block") * words
+    begin, end = F.greatest("at", start), F.least(F.col("at") + F.col("size"), start + words)
+    of_part = F.greatest(F.least(end, start + F.coalesce("part_words", F.lit(0))) - begin, F.lit(0))
     return (
         segments.join(uses, (F.col("sid") == F.col("u_sid")) & (F.col("block") == F.col("u_block")), "left")
         .groupBy("sid", "part", "row", "doc_id", "size", "source_size", "target", "at")
-        .agg(F.coalesce(F.sum((end - begin) * F.col("uses")), F.lit(0)).cast("long").alias("taken"))
-        .withColumn("taken", F.when(small, exact).otherwise(F.col("taken")))
+        .agg(F.coalesce(F.sum((end - begin) * F.col("uses") + of_part), F.lit(0)).cast("long").alias("taken"))
         .select("doc_id", "size", "source_size", "target", "taken", "sid", "at")
     )
