@@ -45,7 +45,7 @@ MAGIC = b"WLRA"
 HEADER = struct.Struct("<4sHHIIQIQ")
 #: Characters of texts whose words are looked up together.
 BATCH_CHARS = 5_000_000
-#: Words kept per worker.
+#: Words, and pieces of words, kept per worker.
 MEMO = 700_000
 
 # The tokenizer's split, spelled out for texts of Latin characters; other texts go to the library whole.
@@ -71,8 +71,11 @@ class _Pieces(dict):
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
         letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        return array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
+        found = self[piece] = array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return found
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, _PIECES.findall(text)))
@@ -86,10 +89,8 @@ class _Words:
     of its own.
     """
 
-    def __init__(self, pieces: _Pieces, whole) -> None:
-        self.pieces, self.whole = pieces, whole
-        self.begins = np.zeros(whole.get_vocab_size(), bool)
-        self.begins[[i for token, i in whole.get_vocab().items() if token.startswith(pieces.letters[ord(" ")])]] = True
+    def __init__(self, pieces: _Pieces) -> None:
+        self.pieces = pieces
         self.clear()
 
     def clear(self) -> None:
@@ -116,19 +117,18 @@ class _Words:
         return at.to_numpy()
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        """Words of letters, with or without a stop, go to the library many at a
-        time: one piece each, whose first id is the only one that begins with a space."""
-        stops = [w[-1] if w[-1:] in _STOPS else "" for w in words]
-        bare = [w[:-1] if stop else w for w, stop in zip(words, stops)]
-        alpha = [i for i, w in enumerate(bare) if w.isalpha()]
-        out = [b"" if w.isalpha() else self.pieces.ids(" " + words[i]) for i, w in enumerate(bare)]
-        for at in range(0, len(alpha), 2000):
-            some = alpha[at : at + 2000]
-            ids = np.array(self.whole.encode_batch_fast(["".join([" " + bare[i] for i in some])], add_special_tokens=False)[0].ids, self.pool.dtype)
-            cuts = [*(np.flatnonzero(self.begins[ids]) * ids.itemsize).tolist(), ids.nbytes]
-            raw = ids.tobytes()
-            for i, start, end in zip(some, cuts, cuts[1:]):
-                out[i] = raw[start:end] + self.pieces[stops[i]] if stops[i] else raw[start:end]
+        """A word of letters, with or without a stop, is one piece (and one more) and
+        goes straight to the merge model; other words are split into pieces."""
+        pieces, tokenize, kind = self.pieces, self.pieces.model.tokenize, self.pieces.kind
+        space, letters = pieces.letters[ord(" ")], pieces.letters
+        out = []
+        for word in words:
+            bare, stop = (word[:-1], pieces[word[-1]]) if word[-1:] in _STOPS else (word, b"")
+            if bare.isalpha():
+                shown = bare if bare.isascii() else bare.encode("utf-8").decode("latin-1").translate(letters)
+                out.append(array(kind, [t.id for t in tokenize(space + shown)]).tobytes() + stop)
+            else:
+                out.append(pieces.ids(" " + word))
         return out
 
 
@@ -143,9 +143,7 @@ class Encoder:
         self.kind = "H" if self.whole.get_vocab_size() <= 1 << 16 else "I"
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.pieces = _Pieces(self.whole.model, self.kind)
-        for common in _STOPS:
-            self.pieces[common] = self.pieces[common]
-        self.words = _Words(self.pieces, self.whole)
+        self.words = _Words(self.pieces)
         probe = " a'll, 12  b\n\n c\t\xe9\xdf !?\xa0x it's \n"
         self.plain = self.pieces.ids(probe) == self._library(probe)
 
@@ -230,11 +228,10 @@ def symbol_counts(tokens: DataFrame, width: int) -> dict[int, int]:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1, np.int64)
         for frame in frames:
-            for ids in frame["ids"]:
-                one = np.bincount(np.frombuffer(ids, f"<u{width}"))
-                if len(one) > len(total):
-                    total = np.pad(total, (0, len(one) - len(total)))
-                total[: len(one)] += one
+            one = np.bincount(np.frombuffer(b"".join(frame["ids"]), f"<u{width}"))
+            if len(one) > len(total):
+                total = np.pad(total, (0, len(one) - len(total)))
+            total[: len(one)] += one
         at = np.flatnonzero(total)
         yield pd.DataFrame({"symbol": at, "n": total[at]})
 
