@@ -4,8 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from wareloom.operators import catalog, memory
-from wareloom.operators.ordering import numbered
+from wareloom.operators import catalog, crawl, memory
+from wareloom.operators.ordering import RANGE, numbered, with_ranges
 from wareloom.session import work_folder
 from wareloom.streaming import jobs
 from wareloom.streaming.versions import BucketedVersions
@@ -153,3 +153,62 @@ def test_numbers_of_sparse_ids(spark):
     ids = sorted({i * i * 7_919_113 for i in range(3000)})
     got = numbered(spark.createDataFrame([(i,) for i in ids], "id long"), "id").orderBy("id").collect()
     assert [r.row_no for r in got] == list(range(len(ids)))
+
+
+def test_one_outlier_leaves_the_other_rows_spread(spark):
+    ids = [*range(5_000), 1 << 60, -(1 << 60)]
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "id long")
+    per_range = [r["count"] for r in with_ranges(df, "id").groupBy(RANGE).count().collect()]
+    assert len(per_range) > 500 and max(per_range) < 50
+    got = numbered(df, "id").orderBy("id").collect()
+    assert [r.row_no for r in got] == list(range(len(ids) + 1))
+    near = [(1 << 60) + i for i in range(300)]  # closer than doubles can tell apart
+    got = numbered(spark.createDataFrame([(i,) for i in near], "id long"), "id").orderBy("id").collect()
+    assert [r.row_no for r in got] == list(range(300))
+    assert numbered(df.where("false"), "id").collect() == []
+
+
+def small_site(spark):
+    def u(path, host="a.com"):
+        return f"https://{host}/{path}"
+
+    pages = [(9, u("products/home")), (2, u("products/x")), (3, u("products/y")), (4, u("cart/1")), (5, u("products/z")), (6, u("products/b", "b.com"))]
+    links = [(9, "products/x"), (2, "products/y"), (3, "products/x"), (4, "products/z"), (5, "products/gone"), (5, "products/z")]
+    urls = dict(pages)
+    edges = spark.createDataFrame([(urls[i], u(path)) for i, path in links], "url string, link string")
+    return spark.createDataFrame(pages, "page_id long, url string"), edges
+
+
+def test_seeds_are_first_pages_and_pages_found_from_nowhere(spark):
+    pages, edges = small_site(spark)
+    graph = crawl.store_graph(pages, edges, 4)
+    names = {r.canonical.rsplit("/", 1)[1] for r in crawl.seed_pages(pages, graph).collect()}
+    # x is the first page of its host; home has no link to it, z one from a page not crawled and one from itself
+    assert names == {"x", "home", "z", "b"}
+    graph.close()
+    found = {r.canonical.rsplit("/", 1)[1]: (r.depth, r.fetched) for r in crawl.discover(pages, edges).collect()}
+    assert found == {"x": (0, True), "home": (0, True), "z": (0, True), "b": (0, True), "y": (1, True), "gone": (1, False)}
+
+
+def test_levels_do_not_move_the_stored_graph(spark):
+    pages, edges = small_site(spark)
+    graph = crawl.store_graph(pages, edges, 4)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("-1", "false")):
+            spark.conf.set(n, v)
+        known = graph.pages.filter("canonical like '%home'")
+        level = crawl.next_level(graph, known, known)
+        plan = level._jdf.queryExecution().executedPlan().toString()
+        assert [r.canonical.rsplit("/", 1)[1] for r in level.collect()] == ["x"]
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    scan = next(i for i, line in enumerate(plan.split("\n")) if "FileScan" in line and "dst" in line)
+    above = plan.split("\n")[:scan]
+    # between the scan of the links and the semi join stand only codegen steps and a sort
+    join = max(i for i, line in enumerate(above) if "LeftSemi" in line)
+    assert not any("Exchange" in line for line in above[join:]), plan
+    assert "Bucketed: true" in plan
+    graph.close()

@@ -269,3 +269,41 @@ def test_lists_have_no_default_limit(spark):
     words = " ".join(t for _, terms in [*lex.SITE_CATEGORY_TERMS, *lex.INDUSTRY_TERMS] for t in terms)
     every = spark.createDataFrame([("https://a.example/", words)], "url string, html string")
     assert sites.category_hints(every).count() == len([*lex.SITE_CATEGORY_TERMS, *lex.INDUSTRY_TERMS]) > 5
+
+
+def test_damaged_catalogs_give_error_rows(spark):
+    from wareloom.sources import catalog_json
+
+    texts = {
+        "list": '[{"product_name": "a"}, {"product_name": "b"}]',
+        "wrapped": '{"products": [{"product_name": "c"}], "n": 1}',
+        "keyed": '{"x": {"product_name": "d"}}',
+        "cut": '{"x": {"product_name": "d"',
+        "blank": "  ",
+        "null": None,
+        "word": '"text"',
+        "number": "17",
+        "no list": '{"products": 5}',
+        "empty list": "[]",
+        "one bad": '[{"product_name": "e"}, null]',
+    }
+    documents = spark.createDataFrame(list(texts.items()), "path string, value string")
+    errors = {r.path: r.reason for r in catalog_json.catalog_errors(documents).collect()}
+    assert errors == {
+        "cut": "not json", "blank": "empty", "null": "empty", "word": "no catalog", "number": "no catalog",
+        "no list": "no catalog", "one bad": "damaged product",
+    }
+    names = sorted(r.product_name for r in catalog_json.parse_catalogs(documents).collect() if r.product_name)
+    assert names == list("abcde")
+
+
+def test_sheets_come_back_as_they_were(spark):
+    from wareloom.session import work_folder
+    from wareloom.sources import sheets
+
+    rows = [(1, 0, 'a "quoted" one', " blank ", ""), (0, 0, "comma, here", "two\nlines", None), (0, 1, "", "back\\slash", "x")]
+    rows += [(k, 0, f"c{k}", "n", "r") for k in range(2, 300)]
+    folder = work_folder(spark, "sheet")
+    sheets.write_sheet(spark.createDataFrame(rows, "seq long, pos int, category string, component string, reference string").repartition(6), folder, sheets.COMPONENT_HEADINGS)
+    got = [tuple(r) for r in sheets.read_sheet(spark, folder, sheets.COMPONENT_HEADINGS).orderBy("row_no").collect()]
+    assert got == [(i, *r[2:]) for i, r in enumerate(sorted(rows, key=lambda r: r[:2]))]

@@ -24,7 +24,13 @@ def strip(c: Column, chars: str = BLANKS) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[\s{_WIDE_BLANKS}]+", " ")
+    """Runs of white space become one space; text of one-byte characters only has few kinds of it to look for."""
+
+    def squeezed(x: Column) -> Column:
+        narrow = F.regexp_replace(x, r"[\s\x1c-\x1f]+", " ")
+        return F.when(F.octet_length(x) == F.length(x), narrow).otherwise(F.regexp_replace(x, rf"[\s{_WIDE_BLANKS}]+", " "))
+
+    return let(c, squeezed)
 
 
 def strip_tags(c: Column) -> Column:

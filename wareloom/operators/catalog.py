@@ -267,6 +267,18 @@ def catalog_summary(catalog: DataFrame) -> DataFrame:
     )
 
 
+def type_summary(catalog: DataFrame) -> DataFrame:
+    """Entries, those that are products and offerings by their page_type, and what they hold in total."""
+    kind = F.upper("page_type")
+    return catalog.agg(
+        F.count(F.lit(1)).alias("n_items"),
+        F.count_if(kind == "PRODUCT").alias("n_products"),
+        F.count_if(kind == "OFFERING").alias("n_offerings"),
+        F.coalesce(F.sum(F.size("specifications")), F.lit(0)).alias("n_specifications"),
+        F.coalesce(F.sum("total_customization_options"), F.lit(0)).alias("n_options"),
+    )
+
+
 def classification_summary(classified: DataFrame) -> DataFrame:
     """Mean confidence and score of the product pages, and counts by type."""
     products = F.col("is_product")
@@ -298,10 +310,11 @@ def catalog_keys(catalog: DataFrame, style: str = "name") -> DataFrame:
     return placed.withColumn("sheet_key", F.concat(prefix, F.lit("_"), F.col("index").cast("string")))
 
 
-def list_jobs(jobs: DataFrame, status: str | None = None, limit: int = 50) -> DataFrame:
-    """Newest jobs first, of one status if given."""
+def list_jobs(jobs: DataFrame, status: str | None = None, limit: int | None = None) -> DataFrame:
+    """Newest jobs first, of one status if given; the first `limit` if given."""
     wanted = jobs if status is None else jobs.filter(F.col("status") == status)
-    return wanted.orderBy(F.desc("created_at"), "job_id").limit(limit)
+    newest = wanted.orderBy(F.desc("created_at"), "job_id")
+    return newest if limit is None else newest.limit(limit)
 
 
 def active_jobs(jobs: DataFrame, cap: int = 2) -> DataFrame:

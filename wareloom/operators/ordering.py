@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 RANGE = "_range"
-RANGES = 4096
+#: Ranges that the rows are cut into, each with about as many rows.
+RANGES = 1024
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -24,6 +26,23 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def with_ranges(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
+    """Add RANGE: ranges of about equally many rows, in the order of the values; NULLs are one of their own.
+
+    The ranges begin at quantiles, found with one sketch per task; at most
+    `ranges` numbers come to the driver. However the values lie, an outlier is
+    only one row of its range. Equal values share a range.
+    """
+    value = F.col(order).cast("double")
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    found = df.agg(F.approx_percentile(value, shares, F.lit(4 * ranges))).first()[0]
+    if not found:
+        return df.withColumn(RANGE, F.lit(0.0))
+    splits = [-float("inf"), *sorted(set(found)), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="_at", outputCol=RANGE, handleInvalid="keep")
+    return cut.transform(df.withColumn("_at", value)).drop("_at")
+
+
 def running_total(
     df: DataFrame,
     value: Column,
@@ -32,18 +51,21 @@ def running_total(
     width: int | None = None,
     name: str = "total",
     of_key: str | None = None,
+    part: Column | None = None,
 ) -> DataFrame:
     """Add the sum of `value` over all rows before this one, per key, by an integer order.
 
-    A range spans `width` order values; without it the span of the values is
-    cut into RANGES, so sparse or hashed ids give no more ranges than dense
-    ones. `of_key` names one more column with the key's sum over all rows.
+    A range spans `width` order values; without it ranges hold about equally
+    many rows (with_ranges). An order of another type needs `part`, which cuts
+    it into ordered pieces (its first letters, say). `of_key` names one more
+    column with the key's sum over all rows.
     """
     keys = keys or []
-    if width is None:
-        low, high = df.agg(F.min(order), F.max(order)).first()
-        width = max(1, -(-((high or 0) - (low or 0) + 1) // RANGES))
-    cut = df.withColumn(RANGE, F.floor(F.col(order) / width)).withColumn("_value", value.cast("long"))
+    if part is not None:
+        cut = df.withColumn(RANGE, part)
+    else:
+        cut = with_ranges(df, order) if width is None else df.withColumn(RANGE, F.floor(F.col(order) / width))
+    cut = cut.withColumn("_value", value.cast("long"))
     sums = cut.groupBy(*keys, RANGE).agg(F.sum("_value").alias("_sum"))
     ranges = W.partitionBy(*keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(
@@ -68,9 +90,10 @@ def numbered(
     width: int | None = None,
     name: str = "row_no",
     of_key: str | None = None,
+    part: Column | None = None,
 ) -> DataFrame:
-    """Add the 0-based row number by an integer order, over all rows or per key."""
-    return running_total(df, F.lit(1), order, keys, width, name, of_key)
+    """Add the 0-based row number by an order, over all rows or per key, as running_total() does."""
+    return running_total(df, F.lit(1), order, keys, width, name, of_key, part)
 
 
 def previous(df: DataFrame, columns: list[str], key: str, order: list[str], part: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from ..functions import money as M
 from ..functions import urls as U
 from ..functions.text import contains_any, extract_all, first_of_each, let, lines, null_if_empty, strip, strip_tags, unnest
+from .ordering import numbered
 
 CONTEXT = 100
 
@@ -151,7 +152,10 @@ def _located(number: int, start: Column):
 
 
 def price_context(pages: DataFrame, samples: int | None = None) -> DataFrame:
-    """First price of a page with the text around it; `samples` pages per host if given."""
+    """First price of a page with the text around it; `samples` pages per host if given.
+
+    rank counts the pages of a host; a host with very many is numbered in ranges.
+    """
     md = F.col("markdown")
     tries = [
         let(
@@ -173,9 +177,10 @@ def price_context(pages: DataFrame, samples: int | None = None) -> DataFrame:
         F.col("hit.fact.raw").alias("raw_match"),
         strip(F.substring(md, begin, end - begin)).alias("context"),
     )
+    if samples is None:
+        return numbered(ranked, "page_id", keys=["host"], name="rank").withColumn("rank", F.col("rank") + 1)
     rank = F.row_number().over(W.partitionBy("host").orderBy("page_id"))
-    numbered = ranked.withColumn("rank", rank)
-    return numbered if samples is None else numbered.filter(F.col("rank") <= samples)
+    return ranked.withColumn("rank", rank).filter(F.col("rank") <= samples)
 
 
 def price_audit(options: DataFrame, low: float = 0, high: float = 100_000) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import lexicons as lex
 from ..functions import urls as U
 from ..functions.text import BLANKS, extract, extract_all, lines, squeeze, strip, unnest
+from .ordering import numbered
 
 HREF = r"""(?i)href=["']([^"']+)["']"""
 
@@ -46,15 +47,15 @@ def skip_reasons(urls: DataFrame, profile: str = "crawl", base: str | None = Non
     return urls.withColumn("reason", reason)
 
 
-def skip_histogram(tagged: DataFrame, top: int = 10) -> DataFrame:
-    """Most frequent skip reasons."""
-    return (
+def skip_histogram(tagged: DataFrame, top: int | None = None) -> DataFrame:
+    """Skip reasons by falling frequency, the first `top` if given."""
+    counted = (
         tagged.filter(F.col("reason") != "")
         .groupBy("reason")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "reason")
-        .limit(top)
     )
+    return counted if top is None else counted.limit(top)
 
 
 def _raw_links(body: str, kind: str):
@@ -142,19 +143,25 @@ def url_info(pages: DataFrame, discovered: DataFrame | None = None) -> DataFrame
     return keyed.join(depth, "canonical", "left").drop("canonical")
 
 
+#: Letters of a pattern (with its slash) that cut a host's patterns into pieces.
+PIECE_LETTERS = 4
+
+
 def path_patterns(pages: DataFrame, top: int | None = None) -> DataFrame:
     """First path segments linked from each host, sorted, the first `top` if given.
 
     The distinct runs per (host, segment). With `top` the row limit is pushed
-    below the shuffle, so a very large host is never gathered in one task;
-    without it the distinct segments of a host are sorted in one.
+    below the shuffle; without it a host's segments are numbered in pieces by
+    their first letters. Either way a very large host is not gathered in one task.
     """
     segments = F.array_distinct(F.transform(_raw_links("html", "html"), U.first_path_segment))
     found = unnest(pages, ["url"], segments, item="pattern").filter(F.col("pattern").isNotNull())
     distinct = found.select(U.host(F.col("url")).alias("host"), "pattern").distinct()
+    if top is None:
+        placed = numbered(distinct, "pattern", keys=["host"], name="rank", part=F.substring("pattern", 1, PIECE_LETTERS))
+        return placed.withColumn("rank", F.col("rank") + 1)
     rank = F.row_number().over(W.partitionBy("host").orderBy("pattern"))
-    ranked = distinct.withColumn("rank", rank)
-    return ranked if top is None else ranked.filter(F.col("rank") <= top)
+    return distinct.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
 def plain_text(kind: str):

@@ -116,6 +116,21 @@ def _(t):
     return C.catalog_summary(built_catalog(t))
 
 
+PAGE_TYPE = "CASE length(product_id) % 4 WHEN 0 THEN 'PRODUCT' WHEN 1 THEN 'OFFERING' WHEN 2 THEN 'product' ELSE 'INFO' END"
+
+
+@query(
+    "type_summary",
+    f"""SELECT count(*) AS n_items, count(*) FILTER (upper({PAGE_TYPE}) = 'PRODUCT') AS n_products,
+  count(*) FILTER ({PAGE_TYPE} = 'OFFERING') AS n_offerings,
+  CAST(coalesce(sum(n_specs), 0) AS BIGINT) AS n_specifications,
+  CAST(coalesce(sum(total_customization_options), 0) AS BIGINT) AS n_options FROM built""",
+    "built",
+)
+def _(t):
+    return C.type_summary(built_catalog(t).withColumn("page_type", F.expr(PAGE_TYPE)))
+
+
 @query(
     "classification_summary",
     """SELECT count(*) FILTER (is_product) AS n_products, count(*) FILTER (NOT is_product) AS n_others,
@@ -309,11 +324,11 @@ def _(t):
 
 @query(
     "list_jobs",
-    "SELECT * FROM jobs WHERE status = 'running' ORDER BY created_at DESC, job_id LIMIT 50",
+    "SELECT * FROM jobs WHERE status = 'running'",
     "jobs",
 )
 def _(t):
-    return C.list_jobs(t.jobs(), "running", 50)
+    return C.list_jobs(t.jobs(), "running")
 
 
 @query(
@@ -459,11 +474,11 @@ def _(t):
 @query(
     "option_export",
     """SELECT coalesce(category, '') AS "Categories", coalesce(component, '') AS "Component", coalesce(price, 'N/A') AS "Price",
-  coalesce(reference, '') AS "References", '' AS "Image" FROM guided_options""",
-    "guided_options",
+  coalesce(reference, '') AS "References", coalesce(image, '') AS "Image" FROM imaged_options""",
+    "imaged_options",
 )
 def _(t):
-    return sheets.option_export(t.guided_options().withColumn("image", F.lit("")))
+    return sheets.option_export(options.match_option_images(t.guided_options(), t.elements()))
 
 
 @query(
@@ -488,6 +503,32 @@ def _(t):
     )
 
 
+@query(
+    "component_csv",
+    """SELECT row_number() OVER (ORDER BY seq, block, a, b) - 1 AS row_no, category, component, reference FROM component_parts""",
+    "component_parts",
+)
+def _(t):
+    folder = work_folder(t.spark, "sheet")
+    sheets.write_sheet(sheets.component_rows(sheet_catalog(t)), folder, sheets.COMPONENT_HEADINGS)
+    return sheets.read_sheet(t.spark, folder, sheets.COMPONENT_HEADINGS)
+
+
+DAMAGE = """CASE doc % 6 WHEN 0 THEN left(text, length(text) - 9) WHEN 1 THEN '' WHEN 2 THEN '"just a word"'
+  WHEN 3 THEN '{"products": "none"}' ELSE text END"""
+
+
+@query(
+    "catalog_errors",
+    """SELECT doc, reason FROM (SELECT doc, CASE doc % 6 WHEN 0 THEN 'not json' WHEN 1 THEN 'empty' WHEN 2 THEN 'no catalog'
+  WHEN 3 THEN 'no catalog' END AS reason FROM (SELECT DISTINCT seq // 50 AS doc FROM catalog) x) y WHERE reason IS NOT NULL""",
+    "catalog",
+)
+def _(t):
+    documents = catalog_documents(t).withColumn("value", F.expr(DAMAGE.replace("text", "value")))
+    return catalog_json.catalog_errors(documents).select("doc", "reason")
+
+
 DOCUMENT = 50  # products per catalog document
 
 
@@ -499,6 +540,15 @@ SELECT CASE (seq // 50) % 3 WHEN 0 THEN 'p' || seq END AS product_id, product_na
     "catalog",
 )
 def _(t):
+    folder = work_folder(t.spark, "documents")
+    catalog_documents(t).select("value").write.text(folder)
+    return catalog_json.read_catalog(t.spark, folder, document_per_file=False).select(
+        "product_id", "product_name", "url", "base_price", "configurator_type", "has_configurator"
+    )
+
+
+def catalog_documents(t):
+    """doc, value: the catalog in documents of all three shapes."""
     product = F.struct("product_name", "url", "base_price", "configurator_type", "has_configurator")
     grouped = t.catalog().groupBy(F.floor(F.col("seq") / DOCUMENT).alias("doc")).agg(
         F.sort_array(F.collect_list(F.struct("seq", product.alias("product")))).alias("rows")
@@ -512,11 +562,7 @@ def _(t):
         .when(F.col("doc") % 3 == 1, F.to_json(F.struct(listed.alias("products"), F.size("rows").alias("total_products"))))
         .otherwise(F.to_json(listed))
     )
-    folder = work_folder(t.spark, "documents")
-    grouped.select(text.alias("value")).write.text(folder)
-    return catalog_json.read_catalog(t.spark, folder, document_per_file=False).select(
-        "product_id", "product_name", "url", "base_price", "configurator_type", "has_configurator"
-    )
+    return grouped.select("doc", text.alias("value"))
 
 
 # ------------------------------------------------------------------ routing

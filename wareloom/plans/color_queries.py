@@ -117,11 +117,11 @@ SELECT page_id, line_no, place, image, CAST(rank AS INT) AS rank, option FROM (
     SELECT page_id, line_no, place, image, list_filter(flatten(list_transform(
       list_filter(regexp_split_to_array(context, '[.!?]'), lambda s: {d.any_contained('lower(s)', lex.CHOICE_WORDS)}
         AND contains(s, ':')), lambda s: list_transform(string_split(string_split(s, ':')[-1], ','),
-        lambda x: {d.strip('x')}))), lambda x: length(x) < 30)[1:10] AS items FROM swatch_rows) a) b""",
+        lambda x: {d.strip('x')}))), lambda x: length(x) < 30) AS items FROM swatch_rows) a) b""",
     "swatch_rows",
 )
 def _(t):
-    return colors.nearby_options(colors.swatch_candidates(t.detail_pages()), 10)
+    return colors.nearby_options(colors.swatch_candidates(t.detail_pages()))
 
 
 # ------------------------------------------------------------------ dominant colours

@@ -146,12 +146,40 @@ def replay(t, rows, order, slices=4, files=4):
     return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-@query("stream_new_pages", f"SELECT DISTINCT {d.canonical('url')} AS canonical FROM pages")
+#: Pages that come when the watermark has passed them.
+TOO_LATE = "page_id % 50 = 7 AND 2 * page_id < (SELECT max(page_id) FROM product_pages)"
+
+
+def in_batches(t, frames, files=4):
+    """A file stream with one micro-batch per frame."""
+    folder = work_folder(t.spark, "batches")
+    for frame in frames:
+        frame.repartition(files).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def with_late_pages(t, pages):
+    """Half of the pages, a quarter, the rest, and then those that come too late."""
+    last = pages.agg(F.max("page_id")).first()[0] or 0
+    late = (F.col("page_id") % 50 == 7) & (2 * F.col("page_id") < last)
+    share = F.col("page_id") / F.lit(max(last, 1))
+    return [pages.where(~late & (share <= 0.5)), pages.where(~late & (share > 0.5) & (share <= 0.75)), pages.where(share > 0.75), pages.where(late)]
+
+
+@query(
+    "stream_new_pages",
+    f"SELECT page_id, {d.canonical('url')} AS canonical FROM product_pages WHERE NOT ({TOO_LATE})",
+    "product_pages",
+)
 def _(t):
-    pages = t.pages().select("page_id", "url", F.timestamp_seconds(F.col("page_id") + 1_700_000_000).alias("ts"))
+    # pages come again one and two batches later, an hour after their time and under other ids
+    one, two, three, late = with_late_pages(t, timed_pages(t).select("page_id", "url", "ts"))
+    again = one.where("page_id % 3 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    again = again.withColumn("page_id", -1 - F.col("page_id"))
     folder = work_folder(t.spark, "new-pages")
-    jobs.run_to_folder(jobs.stream_new_pages(replay(t, pages, "page_id"), delay="10 days"), folder)
-    return t.spark.read.parquet(folder).select("canonical")
+    source = in_batches(t, [one, two.unionByName(again), three.unionByName(again), late])
+    jobs.run_to_folder(jobs.stream_new_pages(source, delay="1 hour"), folder)
+    return t.spark.read.parquet(folder).select("page_id", "canonical")
 
 
 @query("stream_transitions", "SELECT * FROM counted", "counted")
@@ -184,6 +212,37 @@ def _(t):
     return jobs.read_latest(t.spark, folder, ["start", "end", "page_type"])
 
 
+@query(
+    "stream_type_counts_sliding",
+    f"""SELECT start, start + INTERVAL 6 HOURS AS "end", page_type, count(*) AS n FROM (
+  SELECT page_type, time_bucket(INTERVAL 2 HOURS, ts) - k * INTERVAL 2 HOURS AS start FROM ({TIMED}) x, range(3) r(k)) y GROUP BY ALL""",
+    "balanced",
+)
+def _(t):
+    pages = timed_pages(t)
+    folder = work_folder(t.spark, "type-counts")
+    stream = jobs.stream_type_counts(replay(t, pages, "page_id"), "6 hours", "2 hours", delay="60 days")
+    jobs.run_to_folder(stream, folder, "update")
+    return jobs.read_latest(t.spark, folder, ["start", "end", "page_type"])
+
+
+@query(
+    "stream_type_sessions",
+    f"""SELECT min(ts) AS start, max(ts) + INTERVAL 150 SECONDS AS "end", page_type, count(*) AS n FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY page_type ORDER BY ts) AS session FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY page_type ORDER BY ts) < INTERVAL 150 SECONDS THEN 0 ELSE 1 END AS fresh
+    FROM ({TIMED} AND NOT ({TOO_LATE})) x) y) z
+GROUP BY page_type, session HAVING max(ts) + INTERVAL 150 SECONDS <= (SELECT max(ts) FROM ({TIMED}) x) - INTERVAL 10 MINUTES""",
+    "balanced product_pages",
+)
+def _(t):
+    # sessions are written once the watermark has passed them; what comes later than that is left out
+    folder = work_folder(t.spark, "type-sessions")
+    stream = jobs.stream_type_counts(in_batches(t, with_late_pages(t, timed_pages(t))), delay="10 minutes", pause="150 seconds")
+    jobs.run_to_folder(stream, folder)
+    return t.spark.read.parquet(folder).drop("batch")
+
+
 def timed_pages(t):
     base = F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return t.product_pages().withColumn("ts", F.timestamp_seconds(base + F.col("page_id") * 60))

@@ -248,9 +248,7 @@ def _(t):
     return nested.withColumn("customizations", F.array_join(text, ";"))
 
 
-@query(
-    "match_option_images",
-    """
+cte("imaged_options", """
 SELECT o.page_id, o.pos, o.category, o.component, o.price, o.reference, coalesce(m.image, '') AS image
 FROM guided_options o LEFT JOIN (
   SELECT page_id, option_text, image FROM (
@@ -259,9 +257,10 @@ FROM guided_options o LEFT JOIN (
     FROM (SELECT DISTINCT page_id, lower(component) AS option_text FROM guided_options) o
     JOIN elements e ON e.page_id = o.page_id AND e.image <> '' AND e.text <> '' AND o.option_text <> ''
       AND (contains(lower(e.text), o.option_text) OR contains(o.option_text, lower(e.text)))) r WHERE rank = 1) m
-ON m.page_id = o.page_id AND m.option_text = lower(o.component)""",
-    "guided_options elements",
-)
+ON m.page_id = o.page_id AND m.option_text = lower(o.component)""", "guided_options elements")
+
+
+@query("match_option_images", "SELECT * FROM imaged_options", "imaged_options")
 def _(t):
     return options.match_option_images(t.guided_options(), t.elements())
 

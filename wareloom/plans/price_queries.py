@@ -229,16 +229,14 @@ def _(t):
 @query(
     "price_context",
     f"""
-SELECT page_id, host, price, raw_match, context, rank FROM (
-  SELECT p.page_id, {d.host('url')} AS host, {money('f.value', 'f.currency')} AS price, f.raw AS raw_match,
+SELECT p.page_id, {d.host('url')} AS host, {money('f.value', 'f.currency')} AS price, f.raw AS raw_match,
     {d.strip('substr(markdown, greatest(place - 100, 1), place + length(f.raw) + 100 - greatest(place - 100, 1))')} AS context,
     row_number() OVER (PARTITION BY {d.host('url')} ORDER BY p.page_id) AS rank
-  FROM (SELECT *, strpos(markdown, f.raw) AS place FROM product_pages JOIN page_price USING (page_id)) p) r
-WHERE rank <= 5""",
+  FROM (SELECT *, strpos(markdown, f.raw) AS place FROM product_pages JOIN page_price USING (page_id)) p""",
     "product_pages page_price",
 )
 def _(t):
-    return prices.price_context(t.product_pages(), 5)
+    return prices.price_context(t.product_pages())
 
 
 def _spec_value(pattern: str) -> str:

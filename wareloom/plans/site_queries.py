@@ -6,8 +6,8 @@ from . import sqltext as d
 from .registry import cte, query
 from .url_queries import HREF, HTML_TEXT
 
-# The cuts of the check SQL below.
-PATTERNS, HINTS_TOP, NAV_TOP = 20, 5, 15
+#: A profile lists so many path patterns of its site; the path_patterns query has all.
+PATTERNS = 20
 ENV = "(SELECT *, lower(html) AS low, lower(url) AS low_url FROM pages)"
 
 
@@ -81,17 +81,18 @@ HINT_ROWS = " UNION ALL ".join(
 
 @query(
     "category_hints",
-    f"""SELECT host, CAST(rank AS INT) AS rank, category FROM (
-  SELECT host, category, row_number() OVER (PARTITION BY host ORDER BY rule) AS rank
-  FROM (SELECT DISTINCT host, rule, category FROM ({HINT_ROWS}) h) u) r WHERE rank <= 5""",
+    f"""SELECT host, category, CAST(row_number() OVER (PARTITION BY host ORDER BY rule) AS INT) AS rank
+  FROM (SELECT DISTINCT host, rule, category FROM ({HINT_ROWS}) h) u""",
 )
 def _(t):
-    return sites.category_hints(t.pages(), HINTS_TOP)
+    return sites.category_hints(t.pages())
 
 
-cte(
-    "nav",
-    f"""
+NAV_BLOCK = "coalesce(" + ", ".join(f"nullif({d.rx('html', p, g)}, '')" for p, g in sites.NAV_BLOCKS) + ", html)"
+
+
+def _nav_check(source: str) -> str:
+    return f"""
 SELECT page_id, url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY place) - 1 AS INT) AS pos, text, href, full_url
 FROM (
   SELECT page_id, url, place, text, href, full_url,
@@ -100,17 +101,33 @@ FROM (
       SELECT page_id, url, unnest({d.rx_all('block', sites.NAV_LINK, 1)}) AS href,
         unnest({d.rx_all('block', sites.NAV_LINK, 2)}) AS raw_text,
         generate_subscripts({d.rx_all('block', sites.NAV_LINK, 1)}, 1) AS place
-      FROM (SELECT page_id, url, {d.rx('html', sites.NAV_BLOCKS[0][0])} AS block FROM pages) n) l) f
+      FROM (SELECT page_id, url, {NAV_BLOCK} AS block FROM {source}) n) l) f
   WHERE length(text) >= 2 AND NOT {d.any_contained('lower(href)', lex.NAV_SKIP_MARKERS)}
     AND contains(url, {d.raw_host('full_url')})) u
-WHERE copy = 1
-QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY place) <= 15""",
-)
+WHERE copy = 1"""
+
+
+cte("nav", _nav_check("pages"))
+#: Pages whose navigation stands in a header, a div, a list, or in no block at all.
+OTHER_BLOCKS = """
+SELECT page_id, url, replace(replace(html, '<nav', CASE page_id % 5 WHEN 0 THEN '<nav' WHEN 1 THEN '<header' WHEN 2 THEN '<div class="main-nav1"'
+    WHEN 3 THEN '<ul class="menu2"' ELSE '<p' END),
+  '</nav>', CASE page_id % 5 WHEN 0 THEN '</nav>' WHEN 1 THEN '</header>' WHEN 2 THEN '</div>' WHEN 3 THEN '</ul>' ELSE '</p>' END) AS html
+FROM (SELECT page_id, url, concat('<body><nav><a href="/blog/">Blog</a><a href="/shop/a">Shop</a> <a href="/cart">Cart</a>',
+    '<a href="/shop/b"> shop </a><a href="/services/">Our  services</a></nav><a href="/about/">About</a>', html) AS html FROM pages) x
+"""
+cte("other_pages", OTHER_BLOCKS)
+cte("other_nav", _nav_check("other_pages"), "other_pages")
+
+
+@query("nav_links_fallbacks", "SELECT * FROM other_nav", "other_nav")
+def _(t):
+    return sites.nav_links(t.derive(OTHER_BLOCKS, "pages"))
 
 
 @query("nav_links", "SELECT * FROM nav", "nav")
 def _(t):
-    return sites.nav_links(t.pages(), NAV_TOP)
+    return sites.nav_links(t.pages())
 
 
 def _flow_rules(i):
@@ -150,4 +167,4 @@ FROM signals s LEFT JOIN (
 )
 def _(t):
     pages = t.pages()
-    return sites.recommend_flow(sites.site_signals(pages, PATTERNS), sites.nav_links(pages, NAV_TOP))
+    return sites.recommend_flow(sites.site_signals(pages, PATTERNS), sites.nav_links(pages))

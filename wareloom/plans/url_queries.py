@@ -93,7 +93,7 @@ def _(t):
 @query(
     "skip_histogram",
     f"""SELECT reason, count(*) AS n FROM (SELECT {d.crawl_skip('link')} AS reason FROM md_links) r
-WHERE reason <> '' GROUP BY reason ORDER BY n DESC, reason LIMIT 10""",
+WHERE reason <> '' GROUP BY reason""",
     "md_links",
 )
 def _(t):
@@ -223,15 +223,13 @@ def _(t):
 @query(
     "path_patterns",
     f"""
-SELECT host, pattern, rank FROM (
-  SELECT host, pattern, row_number() OVER (PARTITION BY host ORDER BY pattern) AS rank FROM (
+SELECT host, pattern, row_number() OVER (PARTITION BY host ORDER BY pattern) AS rank FROM (
     SELECT DISTINCT {d.host('url')} AS host, '/' || regexp_extract({d.no_query('raw')}, '^/+([^/]+)', 1) || '/' AS pattern
     FROM (SELECT url, unnest({d.rx_all('html', HREF, 1)}) AS raw FROM pages) l
-    WHERE regexp_extract({d.no_query('raw')}, '^/+([^/]+)', 1) <> '') p) r
-WHERE rank <= 20""",
+    WHERE regexp_extract({d.no_query('raw')}, '^/+([^/]+)', 1) <> '') p""",
 )
 def _(t):
-    return urls.path_patterns(t.pages(), 20)
+    return urls.path_patterns(t.pages())
 
 
 @query(

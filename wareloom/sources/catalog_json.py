@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import unnest
@@ -37,26 +37,28 @@ CATALOG_FIELDS = {
 CATALOG_TYPE = ", ".join(f"{name} {kind}" for name, kind in CATALOG_FIELDS.items())
 
 
-def parse_catalogs(documents: DataFrame, document: str = "value") -> DataFrame:
-    """One row per product of JSON documents: keyed object, products object, or list.
-
-    A document is an object id -> product, an object with a `products`
-    array, or a bare array. Products carry the document's key as
-    product_id when it names one.
-    """
-    text = F.trim(F.col(document))
+def _entries(text: Column) -> Column:
+    """Products (key, value) of one document, in order; NULL if it is none of the known shapes."""
     product = "struct<" + ",".join(f"{name}:{kind}" for name, kind in CATALOG_FIELDS.items()) + ">"
-    is_list = text.startswith("[")
     listed = F.from_json(text, f"array<{product}>")
     wrapped = F.from_json(text, f"struct<products:array<{product}>>")["products"]
     keyed = F.map_entries(F.from_json(text, f"map<string,{product}>"))
-    without_key = F.transform(
-        F.when(is_list, listed).otherwise(wrapped),
-        lambda p: F.struct(F.lit(None).cast("string").alias("key"), p.alias("value")),
+    without_key = lambda products: F.transform(
+        products, lambda p: F.struct(F.lit(None).cast("string").alias("key"), p.alias("value"))
     )
     has_products = F.get_json_object(text, "$.products").isNotNull()
-    entries = F.when(is_list | has_products, without_key).otherwise(keyed)
-    rows = unnest(documents, [], entries, "position", "entry")
+    return F.when(text.startswith("["), without_key(listed)).when(has_products, without_key(wrapped)).otherwise(keyed)
+
+
+def parse_catalogs(documents: DataFrame, document: str = "value") -> DataFrame:
+    """One row per product of JSON documents: keyed object, products object, or list.
+
+    A document is an object id -> product, an object with a `products`
+    array, or a bare array. Products carry the document's key as
+    product_id when it names one. Documents that can't be read give no row
+    here; catalog_errors() has them.
+    """
+    rows = unnest(documents, [], _entries(F.trim(F.col(document))), "position", "entry")
     return rows.select(
         "position",
         F.coalesce("entry.key", "entry.value.product_id").alias("product_id"),
@@ -64,6 +66,28 @@ def parse_catalogs(documents: DataFrame, document: str = "value") -> DataFrame:
     )
 
 
+def catalog_errors(documents: DataFrame, document: str = "value", sample: int = 80) -> DataFrame:
+    """The documents that parse_catalogs() can't read whole, with other columns kept: reason, n_chars, start.
+
+    empty: no text; not json: it breaks off or is damaged; no catalog: proper
+    JSON of another shape (a bare value, or `products` that are no list);
+    damaged product: some products of it are no objects, the others are read.
+    `start` is the beginning of the text.
+    """
+    text = F.trim(F.coalesce(F.col(document), F.lit("")))
+    whole = F.try_parse_json(text)
+    entries = _entries(text)
+    reason = (
+        F.when(text == "", "empty")
+        .when(whole.isNull(), "not json")
+        .when(entries.isNull(), "no catalog")
+        .when(F.exists(entries, lambda e: e["value"].isNull()), "damaged product")
+    )
+    others = [c for c in documents.columns if c != document]
+    found = documents.select(*others, reason.alias("reason"), F.length(text).alias("n_chars"), F.substring(text, 1, sample).alias("start"))
+    return found.where("reason IS NOT NULL")
+
+
 def read_catalog(spark: SparkSession, path: str, document_per_file: bool = True) -> DataFrame:
     """Read catalog documents, one per file or one per line."""
     return parse_catalogs(spark.read.text(path, wholetext=document_per_file))

@@ -6,12 +6,14 @@ exploded; only the running row number looks across products.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions.text import let, null_if_empty
 from ..operators.ordering import running_total
+from ..session import staged
 
 TRIPLE = ["category", "component", "reference"]
 SIX = ["category", "component", "price", "image", "notes", "reference"]
@@ -199,12 +201,37 @@ def option_export(options: DataFrame) -> DataFrame:
     )
 
 
+#: As spreadsheet programs write and read it: quotes doubled, blanks kept, an empty cell is not a missing one.
+CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write_sheet(rows: DataFrame, path: str, headings: dict[str, str]) -> None:
     """Write sheet rows as CSV files in sheet order (range partitions keep it)."""
     ordered = rows.orderBy("seq", "pos")
-    ordered.select(*[F.col(c).alias(h) for c, h in headings.items()]).write.mode("overwrite").option(
-        "header", "true"
-    ).csv(path)
+    ordered.select(*[F.col(c).alias(h) for c, h in headings.items()]).write.mode("overwrite").options(**CSV).csv(path)
+
+
+def read_sheet(spark: SparkSession, path: str, headings: dict[str, str]) -> DataFrame:
+    """Read what write_sheet wrote: row_no (from 0, in sheet order) and the columns by their own names.
+
+    The files' names are in sheet order; each file is read by one task, cells
+    with line breaks stay whole. One count per file carries the numbers on.
+    """
+    schema = ", ".join(f"`{h}` string" for h in headings.values())
+    # with a null value of its own the reader tells a quoted empty cell from a missing one
+    cells = spark.read.schema(schema).options(**CSV, multiLine="true", nullValue="\x00").csv(path)
+    placed = staged(
+        cells.select(
+            F.col("_metadata.file_name").alias("file"),
+            F.monotonically_increasing_id().alias("line"),
+            *[F.col(h).alias(c) for c, h in headings.items()],
+        ),
+        "sheet-lines",
+    )
+    files = placed.groupBy("file").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1))
+    starts = files.select("file", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return placed.join(starts, "file").select((F.col("before") + F.col("line") - F.col("first")).alias("row_no"), *headings)
 
 
 COMPONENT_HEADINGS = dict(zip(TRIPLE, lex.SHEET_HEADER))

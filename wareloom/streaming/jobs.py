@@ -26,12 +26,20 @@ def stream_transitions(visits: DataFrame) -> DataFrame:
 
 
 def stream_type_counts(
-    pages: DataFrame, window: str = "1 hour", slide: str | None = None, delay: str = "1 day", ts: str = "ts"
+    pages: DataFrame, window: str = "1 hour", slide: str | None = None, delay: str = "1 day", ts: str = "ts", pause: str | None = None
 ) -> DataFrame:
-    """Pages per type and time window, classified as they arrive."""
+    """Pages per type and time window, classified as they arrive.
+
+    Windows follow one another, overlap (`slide`), or end where a type has no
+    page for `pause` (session windows, for append mode). A page counts unless
+    the watermark has passed all of its windows.
+    """
     signals = classify.balanced_signals(pages, [ts])
     scored = classify.score_balanced(signals, ["balanced"]).withWatermark(ts, delay)
-    span = F.window(ts, window, slide) if slide else F.window(ts, window)
+    if pause is not None:
+        span = F.session_window(ts, pause)
+    else:
+        span = F.window(ts, window, slide) if slide else F.window(ts, window)
     return (
         scored.groupBy(span.alias("span"), "page_type")
         .agg(F.count(F.lit(1)).alias("n"))
