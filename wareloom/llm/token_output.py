@@ -45,8 +45,8 @@ MAGIC = b"WLRA"
 HEADER = struct.Struct("<4sHHIIQIQ")
 #: Characters of texts whose words are looked up together.
 BATCH_CHARS = 5_000_000
-#: Words, and pieces of words, kept per worker.
-MEMO = 700_000
+#: Words, and pieces of words that are more than one piece, kept per worker.
+MEMO, PIECES = 700_000, 50_000
 
 # The tokenizer's split, spelled out for texts of Latin characters; other texts go to the library whole.
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0"
@@ -71,7 +71,7 @@ class _Pieces(dict):
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
+        if len(self) >= PIECES:
             self.clear()
         letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
         found = self[piece] = array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
