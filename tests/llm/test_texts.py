@@ -66,6 +66,67 @@ def test_classifier_odd_rows(spark, odd, empty, kind):
     assert {r.score for r in none} == {0.5}
 
 
+def plain_quality(net, text):
+    """The network window by window: maxima of overlapping chunks, the largest and the mean of each filter, one logistic unit."""
+    data = text.encode()
+    starts = range(0, max(1, -(-(len(data) - 8) // 4) + 1))
+    windows = [[data[4 * p + k] if 4 * p + k < len(data) else 0 for k in range(8)] for p in starts]
+    total = net.bias
+    for f in range(quality.FILTERS):
+        at = [sum(float(net.table[b][d]) * float(net.filters[8 * k + d][f]) for k, b in enumerate(w) for d in range(8)) + float(net.shift[f]) for w in windows]
+        halves = [max(0.0, *at[h : h + 64]) for h in range(0, len(at), 64)]
+        chunks = [max(pair) for pair in zip(halves, halves[1:])] or halves
+        total += float(net.out[f]) * max(chunks) + float(net.out[quality.FILTERS + f]) * sum(chunks) / len(chunks)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
+
+
+def test_quality_equals_a_plain_network():
+    net = quality.fit([(1, "good words here. " * 30, 1), (2, "@@@@@@@@ " * 60, 0)], epochs=8)
+    draw = random.Random(9)
+    for n in (0, 1, 7, 8, 9, 12, 13, 255, 256, 263, 264, 265, 520, 1200):
+        text = "".join(draw.choice("good wrds@é.\n") for _ in range(n))
+        assert net.score(text) == pytest.approx(plain_quality(net, text), abs=1e-4), n
+
+
+def plain_ftrl(rows, epochs):
+    """FTRL-proximal place by place: rows of (places, label)."""
+    z, n, bias = {}, {}, 1 << toxicity.BITS
+    n1 = sum(y for _, y in rows)
+    share = {0: 0.5 * len(rows) / (len(rows) - n1), 1: 0.5 * len(rows) / n1}
+
+    def weight(p):
+        zp, rate = z.get(p, 0.0), (toxicity.BETA + math.sqrt(n.get(p, 0.0))) / toxicity.ALPHA
+        if p == bias:
+            return -zp / rate
+        return 0.0 if abs(zp) <= toxicity.L1 else (math.copysign(toxicity.L1, zp) - zp) / (rate + toxicity.L2)
+
+    draw = np.random.default_rng(5)
+    for _ in range(epochs * max(1, 1000 // len(rows))):
+        for i in draw.permutation(len(rows)):
+            places, y = [*rows[i][0], bias], rows[i][1]
+            w = {p: weight(p) for p in places}
+            g = (1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w.values()))))) - y) * share[y]
+            for p in places:
+                old = n.get(p, 0.0)
+                z[p] = z.get(p, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / toxicity.ALPHA * w[p]
+                n[p] = old + g * g
+    return {p: weight(p) for p in z if p != bias and weight(p)}, weight(bias)
+
+
+def test_toxicity_equals_plain_ftrl():
+    draw = random.Random(3)
+    calm, rude = ["table", "green", "river", "walks", "slowly"], ["awful", "stupid", "hate"]
+    sample = [(i, " ".join(draw.choice(calm + rude * (i % 2)) for _ in range(12)), i % 2) for i in range(60)]
+    got = toxicity.fit(sample, epochs=2)
+    weights, bias = plain_ftrl([(sorted(set(toxicity.features(t).tolist())), y) for _, t, y in sample], 2)
+    assert weights and got.places.tolist() == sorted(weights)
+    assert got.values == pytest.approx([weights[p] for p in sorted(weights)], rel=1e-4, abs=1e-5)
+    assert got.bias == pytest.approx(bias, rel=1e-6)
+    text = sample[1][1]
+    total = bias + sum(weights.get(p, 0.0) for p in set(toxicity.features(text).tolist()))
+    assert got.score(text) == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-5)
+
+
 def test_quality_chunks_cover_the_whole_text(monkeypatch):
     net = quality.fit([(1, "good words here. " * 30, 1), (2, "@@@@@@@@ " * 60, 0)], epochs=20)
     text = "plain " * 3000
