@@ -217,6 +217,14 @@ def test_detections_and_suppression(spark):
         ("The MIT License. Permission is hereby granted, free of charge", "", "mit"),
         ("gpl gpl gpl", "", "gpl"),
         (None, "", ""),
+        ("SPDX-License-Identifier: LGPL-2.1-or-later", "", "lgpl-2.1-or-later"),
+        ("GNU Lesser General Public License 2.1 only", "gpl", "gpl,lgpl-2.1-only"),
+        ("the PHP License, version 3.01", "", "php-3.01"),
+        ("Business Source License 1.1; Server Side Public License v 1", "", "busl-1.1,sspl-1"),
+        ("a redistributions of source code must retain", "", "bsd"),
+        ("You may not use this file except in compliance with the License.", "", "apache-2.0"),
+        ("released under EUPL 1.2 and the CeCILL Free Software License Agreement 2.1", "", "cecill-2.1,eupl-1.2"),
+        ("no such thing: GPL 2.1, LGPL 1, AGPL 2, Eclipse Public License 1.1", "", "agpl,epl,gpl-2,lgpl"),
     ]
     docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
@@ -405,3 +413,17 @@ def test_token_output_odd_rows(odd, empty):
     spans = sorted((r.start, r.start + r.n_tokens) for r in got)
     assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
     assert token_output.round_trip(empty).collect() == []
+
+
+def test_every_license_rule_finds_its_own_words():
+    """Each rule is a pattern that can match within its window, and no license has a version that does not exist."""
+    rules = licenses._families()
+    assert len(set(rules)) == len(rules)
+    for label, word, regex, priority, weight in rules:
+        pattern = regex.replace("@", licenses.MARK + word)
+        assert pattern.count(licenses.MARK) >= 1 and 1 <= priority <= licenses.PRIORITIES and 0 < weight <= 1
+        re.compile(rf"(?<= ){pattern}(?= )")
+        assert len(re.sub(r"[(|?:)]", " ", regex).split()) <= 2 * licenses.REACH, regex
+    versions = {label for label, *_ in rules}
+    assert not versions & {"gpl-2.1", "lgpl-1.0", "lgpl-1", "agpl-2.0", "agpl-2", "agpl-2.1", "epl-1.1", "mpl-2", "cddl-2.0"}
+    assert {"gpl-3.0-or-later", "lgpl-2.1-only", "agpl-3.0", "cc-by-nc-sa-4.0", "eupl-1.2", "mpl-1.1"} <= versions

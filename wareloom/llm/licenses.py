@@ -30,35 +30,152 @@ PRIORITIES = 4
 MARK = "\x01"
 
 
+#: Versions that exist of each license, as they stand in texts once cut into words.
+GNU_VERSIONS = {
+    "gpl": ("1 0", "2 0", "3 0", "1", "2", "3"),
+    "lgpl": ("2 0", "2 1", "3 0", "2", "3"),
+    "agpl": ("1 0", "3 0", "1", "3"),
+}
+CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
+#: label, keyword, the license in full (`@` is the keyword), versions.
+VERSIONED = [
+    ("apache", "apache", "@ (?:software )?LICENSE", ("1 0", "1 1", "2 0", "2")),
+    ("mpl", "mozilla", "@ public LICENSE", ("1 0", "1 1", "2 0", "2")),
+    ("mpl", "mpl", "@", ("1 0", "1 1", "2 0")),
+    ("npl", "netscape", "@ public LICENSE", ("1 0", "1 1")),
+    ("epl", "eclipse", "@ public LICENSE", ("1 0", "2 0")),
+    ("epl", "epl", "@", ("1 0", "2 0")),
+    ("cpl", "public", "common @ LICENSE", ("1 0",)),
+    ("ipl", "license licence", "ibm public @", ("1 0",)),
+    ("cddl", "cddl", "@", ("1 0", "1 1")),
+    ("artistic", "artistic", "@ LICENSE", ("1 0", "2 0")),
+    ("afl", "license licence", "academic free @", ("1 1", "1 2", "2 0", "2 1", "3 0")),
+    ("osl", "license licence", "open software @", ("1 0", "2 0", "2 1", "3 0")),
+    ("ecl", "license licence", "educational community @", ("1 0", "2 0")),
+    ("eupl", "eupl", "@", ("1 0", "1 1", "1 2")),
+    ("eupl", "union", "european @ public LICENSE", ("1 0", "1 1", "1 2")),
+    ("gfdl", "documentation", "(?:gnu )?free @ LICENSE", ("1 1", "1 2", "1 3")),
+    ("lppl", "latex", "@ project public LICENSE", ("1 0", "1 1", "1 2", "1 3")),
+    ("lppl", "lppl", "@", ("1 0", "1 1", "1 2", "1 3")),
+    ("ofl", "font", "(?:sil )?open @ LICENSE", ("1 0", "1 1")),
+    ("boost", "boost", "@ software LICENSE", ("1 0",)),
+    ("cecill", "cecill", "@(?: free software LICENSE agreement)?", ("1 0", "1 1", "2 0", "2 1")),
+    ("zpl", "zope", "@ public LICENSE", ("1 1", "2 0", "2 1")),
+    ("php", "license licence", "php @", ("3 0", "3 01")),
+    ("apsl", "license licence", "apple public source @", ("1 0", "1 1", "1 2", "2 0")),
+    ("rpl", "reciprocal", "@ public LICENSE", ("1 1", "1 5")),
+    ("sspl", "public", "server side @ LICENSE", ("1",)),
+    ("busl", "license licence", "business source @", ("1 1",)),
+    ("elastic", "license licence", "elastic @", ("2 0",)),
+    ("odbl", "database", "open (?:data commons )?(?:open )?@ LICENSE", ("1 0",)),
+    ("pddl", "dedication", "public domain @ and LICENSE", ("1 0",)),
+]
+#: label, keywords, a license named in full.
+NAMED = [
+    ("cddl", "distribution", "common development and @ LICENSE"),
+    ("ms-pl", "license licence", "microsoft public @"),
+    ("ms-rl", "license licence", "microsoft reciprocal @"),
+    ("qpl", "license licence", "(?:the )?qt public @"),
+    ("ncsa", "license licence", "university of illinois (?:ncsa )?(?:open source )?@"),
+    ("unlicense", "unlicense", "(?:the )?@"),
+    ("wtfpl", "wtfpl", "@"),
+    ("wtfpl", "fuck", "do what the @ you want to(?: public LICENSE)?"),
+    ("beerware", "beerware", "(?:the )?@ LICENSE"),
+    ("json", "license licence", "json @"),
+    ("ftl", "freetype", "@ (?:project )?LICENSE"),
+    ("sleepycat", "sleepycat", "@ (?:public )?LICENSE"),
+    ("vim", "license licence", "vim @"),
+    ("ruby", "license licence", "ruby @"),
+    ("w3c", "license licence", "w3c (?:software )?(?:notice and )?@"),
+    ("unicode", "license licence", "unicode (?:data files and software )?@"),
+    ("curl", "license licence", "curl @"),
+    ("x11", "license licence", "x11 @"),
+    ("upl", "license licence", "universal permissive @"),
+    ("blueoak", "license licence", "blue oak model @"),
+    ("polyform", "polyform", "@ (?:noncommercial|shield|perimeter|strict|small business) LICENSE"),
+    ("commons-clause", "clause", "commons @(?: LICENSE condition)?"),
+    ("public-domain", "domain", "(?:in|into|to) the public @"),
+    ("public-domain", "gemeinfrei", "@"),
+    ("reserved", "reserved", "all rights (?:are )?@"),
+    ("no-rights-reserved", "reserved", "no rights @"),
+    ("some-rights-reserved", "reserved", "some rights @"),
+    ("reserved", "réservés", "tous droits @"),
+    ("reserved", "vorbehalten", "alle rechte @"),
+    ("reserved", "reservados", "todos los derechos @"),
+    ("reserved", "reservados", "todos os direitos @"),
+    ("reserved", "riservati", "tutti i diritti @"),
+]
+#: label, keywords, a sentence that stands in a license or its notice.
+SENTENCES = [
+    ("mit", "granted", "permission is hereby @ free of charge"),
+    ("isc", "modify", "permission to use copy @ and or distribute this software"),
+    ("hpnd", "modify", "permission to use copy @ and distribute this software"),
+    ("bsd", "redistribution", "@ and use in source and binary forms"),
+    ("bsd", "redistributions", "@ of source code must retain"),
+    ("bsd", "redistributions", "@ in binary form must reproduce"),
+    ("bsd-3-clause", "endorse", "may be used to @ or promote products derived"),
+    ("apache-2.0", "compliance", "may not use this file except in @ with the LICENSE"),
+    ("gpl", "redistribute", "free software you can @ it and or modify"),
+    ("gpl", "merchantability", "even the implied warranty of @ or fitness"),
+    ("mpl-2.0", "mpl", "if a copy of the @ was not distributed"),
+    ("epl", "accompanying", "this program and the @ materials are made available"),
+    ("zlib", "misrepresented", "the origin of this software must not be @"),
+    ("zlib", "altered", "@ source versions must be plainly marked"),
+    ("unlicense", "unencumbered", "free and @ software released into the public domain"),
+    ("cc0", "waived", "has (?:dedicated|@) (?:all )?(?:copyright|rights)"),
+    ("ofl", "reserved", "with @ font name"),
+    ("public-domain", "disclaims", "the author @ copyright to this source code"),
+    ("no-warranty", "warranty", "without (?:any )?@(?: of any kind)?"),
+    ("no-warranty", "warranties", "without @ or conditions of any kind"),
+    ("no-warranty", "warranty", "(?:provided|distributed) as is without @"),
+    ("spdx", "spdx", "@ LICENSE identifier"),
+    ("noncommercial", "commercial", "(?:for )?non @ (?:use|purposes)(?: only)?"),
+    ("noncommercial", "noncommercial", "(?:for )?@ (?:use|purposes)(?: only)?"),
+    ("proprietary", "proprietary", "(?:confidential and @|@ and confidential)"),
+    ("proprietary", "unauthorized", "@ (?:copying|use|reproduction|distribution)(?: of this file)?"),
+]
+#: label, keywords, words that hint at a license.
+CLUES = [
+    ("copyright", "copyright", r"@ (?:c )?(?:19|20)\d\d"),
+    ("copyright", "copyright", "@ (?:c|by|holders?|notice)"),
+    ("license-mention", "licensed licenced", "@ under(?: the)?"),
+    ("license-mention", "license licence", "(?:this|the|terms of the) @"),
+]
+
+
 def _families() -> list[tuple[str, str, str, int, float]]:
     """label, keyword, regular expression over space-joined words, priority, weight.
 
-    `@` stands for the keyword in the expression. Priority 4: a versioned
-    license; 3: a license named in full; 2: an abbreviation or a sentence of a
-    license; 1: a clue. Families are multiplied out over versions and forms.
+    Priority 4: a versioned license; 3: a license named in full; 2: an
+    abbreviation or a sentence of a license; 1: a clue. Only versions that
+    exist have a rule. A rule finds up to `REACH` words on each side of its keyword.
     """
-    lic = "licen[cs]e"
-    v = "(?:version |v )?"
+    lic, v = "licen[cs]e", "(?:version |v )?"
     out: list[tuple[str, str, str, int, float]] = []
 
     def add(label: str, words: str, regex: str, priority: int, weight: float) -> None:
-        out.extend((label, w, regex, priority, weight) for w in words.split())
+        out.extend((label, w, regex.replace("LICENSE", lic), priority, weight) for w in words.split())
+
+    def dotted(label: str, version: str) -> str:
+        return f"{label}-{version.replace(' ', '.')}"
 
     later = ((" or (?:any )?later(?: version)?", "-or-later"), (" only", "-only"), ("", ""))
-    gnu_versions = ("1 0", "2 0", "2 1", "3 0", "1", "2", "3")
-    for name, label in (("", "gpl"), ("lesser ", "lgpl"), ("library ", "lgpl"), ("affero ", "agpl")):
-        full = rf"(?:gnu )?{name}general @ {lic}"
-        for n in gnu_versions:
+    ids: dict[str, str] = {}
+    gnu = (("", "gpl", "1 2 3"), ("lesser ", "lgpl", "2 3"), ("library ", "lgpl", "2"), ("affero ", "agpl", "1 3"))
+    for name, label, majors in gnu:
+        full = f"(?:gnu )?{name}general @ LICENSE"
+        for n in (n for n in GNU_VERSIONS[label] if n[0] in majors):
             for tail, form in later:
-                add(f"{label}-{n.replace(' ', '.')}{form}", "public", rf"{full} {v}{n}{tail}", 4, 1.0)
+                add(dotted(label, n) + form, "public", f"{full} {v}{n}{tail}", 4, 1.0)
         add(label, "public", full, 3, 0.95)
-    for abbr in ("gpl", "lgpl", "agpl"):
-        for n in gnu_versions:
+    for abbr, versions in GNU_VERSIONS.items():
+        for n in versions:
             for tail, form in later:
-                add(f"{abbr}-{n.replace(' ', '.')}{form}", abbr, rf"@ {v}{n}{tail}", 4, 0.95)
-        for n in ("2", "3"):
-            add(f"{abbr}-{n}", f"{abbr}v{n}", r"@(?: or later| only)?", 4, 0.95)
-        add(abbr, abbr, rf"(?:gnu )?@(?: {lic}d?)?", 2, 0.7)
+                add(dotted(abbr, n) + form, abbr, f"@ {v}{n}{tail}", 4, 0.95)
+            if " " not in n:
+                add(f"{abbr}-{n}", f"{abbr}v{n}", "@(?: or later| only)?", 4, 0.95)
+        add(abbr, abbr, "(?:gnu )?@(?: LICENSEd?)?", 2, 0.7)
+        ids |= {f"{abbr} {n}{tail}": dotted(abbr, n) + form for n in versions if " " in n for tail, form in later}
     kinds = {
         "by": "attribution",
         "by sa": "attribution share ?alike",
@@ -69,60 +186,37 @@ def _families() -> list[tuple[str, str, str, int, float]]:
     }
     for kind, full in kinds.items():
         label = f"cc-{kind.replace(' ', '-')}"
-        for n in ("1 0", "2 0", "2 5", "3 0", "4 0"):
-            add(f"{label}-{n.replace(' ', '.')}", "cc", rf"@ {kind} {v}{n}", 4, 1.0)
-            add(f"{label}-{n.replace(' ', '.')}", "creative", rf"@ commons {full}(?: {lic})? {v}{n}", 4, 1.0)
-        add(label, "cc", rf"@ {kind}", 3, 0.95)
-        add(label, "creative", rf"@ commons {full}(?: {lic})?", 3, 0.95)
-    add("cc0", "cc0", r"@(?: 1 0)?(?: universal)?", 3, 0.95)
-    add("cc0", "creative", rf"@ commons (?:zero|0)(?: {lic})?", 3, 0.95)
-    add("creative-commons", "creative", rf"@ commons(?: {lic})?", 2, 0.8)
-    for n in ("1 0", "1 1", "2 0", "2"):
-        dotted = n.replace(" ", ".")
-        add(f"apache-{dotted}", "apache", rf"@ (?:software )?(?:{lic} )?{v}{n}", 4, 1.0)
-        add(f"mpl-{dotted}", "mozilla", rf"@ public {lic} {v}{n}", 4, 1.0)
-        add(f"mpl-{dotted}", "mpl", rf"@ {v}{n}", 4, 0.9)
-        add(f"epl-{dotted}", "eclipse", rf"@ public {lic} {v}{n}", 4, 1.0)
-        add(f"cddl-{dotted}", "cddl", rf"@ {v}{n}", 4, 0.9)
-        add(f"artistic-{dotted}", "artistic", rf"@ {lic} {v}{n}", 4, 1.0)
-    add("apache", "apache", rf"@ (?:software )?{lic}", 3, 0.95)
-    add("mpl", "mozilla", rf"@ public {lic}", 3, 0.95)
-    add("epl", "eclipse", rf"@ public {lic}", 3, 0.95)
-    add("cddl", "distribution", rf"common development and @ {lic}", 3, 0.95)
-    add("artistic", "artistic", rf"@ {lic}", 3, 0.95)
-    add("boost", "boost", rf"@ software {lic}(?: {v}1 0)?", 3, 0.95)
+        for n in CC_VERSIONS:
+            add(dotted(label, n), "cc", f"@ {kind} {v}{n}", 4, 1.0)
+            add(dotted(label, n), "creative", f"@ commons {full}(?: LICENSE)? {v}{n}", 4, 1.0)
+        add(label, "cc", f"@ {kind}", 3, 0.95)
+        add(label, "creative", f"@ commons {full}(?: LICENSE)?", 3, 0.95)
+    add("cc0", "cc0", "@(?: 1 0)?(?: universal)?", 3, 0.95)
+    add("cc0", "creative", "@ commons (?:zero|0)(?: LICENSE)?", 3, 0.95)
+    add("creative-commons", "creative", "@ commons(?: LICENSE)?", 2, 0.8)
+    for label, word, full, versions in VERSIONED:
+        for n in versions:
+            add(dotted(label, n), word, f"{full} {v}{n}", 4, 1.0)
+            if " " in n:
+                ids[f"{label} {n}"] = dotted(label, n)
+        named = "LICENSE" in full or word == "license licence"  # else an abbreviation
+        add(label, word, full, 3 if named else 2, 0.95 if named else 0.7)
+    for n in ("1 1", "2 0"):
+        add(dotted("apache", n), "apache", f"@ {v}{n}", 4, 1.0)
     for name in ("mit", "isc", "zlib", "bsd", "bsd style", "openssl", "postgresql", "python software foundation"):
         label = name.split()[0]
-        add(label, "license licence", rf"(?:the )?{name} @", 3, 0.95)
-        add(label, "licensed licenced", rf"@ under (?:the )?{name}", 3, 0.95)
+        add(label, "license licence", f"(?:the )?{name} @", 3, 0.95)
+        add(label, "licensed licenced", f"@ under (?:the )?{name}", 3, 0.95)
     for n in ("0", "2", "3", "4"):
-        add(f"bsd-{n}-clause", "clause", rf"(?:bsd {n} @|{n} @ bsd)(?: {lic})?", 4, 1.0)
-    add("unlicense", "unlicense", r"(?:the )?@", 3, 0.95)
-    add("wtfpl", "wtfpl", r"@", 3, 0.95)
-    add("odbl", "database", rf"open (?:data commons )?(?:open )?@ {lic}", 3, 0.95)
-    add("ofl", "font", rf"(?:sil )?open @ {lic}", 3, 0.95)
-    add("gfdl", "documentation", rf"(?:gnu )?free @ {lic}", 3, 0.95)
-    add("eupl", "union", rf"european @ public {lic}", 3, 0.95)
-    add("public-domain", "domain", r"(?:in|into|to) the public @", 3, 0.95)
-    add("reserved", "reserved", r"all rights (?:are )?@", 3, 0.95)
-    add("no-rights-reserved", "reserved", r"no rights @", 3, 0.95)
-    add("some-rights-reserved", "reserved", r"some rights @", 3, 0.95)
-    add("reserved", "réservés", r"tous droits @", 3, 0.95)
-    add("reserved", "vorbehalten", r"alle rechte @", 3, 0.95)
-    add("reserved", "reservados", r"todos los derechos @", 3, 0.95)
-    add("mit", "granted", r"permission is hereby @ free of charge", 2, 0.8)
-    add("isc", "modify", r"permission to use copy @ and or distribute this software", 2, 0.8)
-    add("bsd", "redistribution", r"@ and use in source and binary forms", 2, 0.8)
-    add("bsd", "redistributions", r"@ of source code must retain", 2, 0.8)
-    add("no-warranty", "warranty", r"without (?:any )?@(?: of any kind)?", 2, 0.8)
-    add("no-warranty", "warranties", r"without @ or conditions of any kind", 2, 0.8)
-    add("spdx", "spdx", rf"@ {lic} identifier", 2, 0.8)
-    add("noncommercial", "commercial", r"(?:for )?non @ (?:use|purposes)(?: only)?", 2, 0.8)
-    add("proprietary", "proprietary", r"(?:confidential and @|@ and confidential)", 2, 0.8)
-    add("copyright", "copyright", r"@ (?:c )?(?:19|20)\d\d", 1, 0.4)
-    add("copyright", "copyright", r"@ (?:c|by|holders?|notice)", 1, 0.4)
-    add("license-mention", "licensed licenced", r"@ under(?: the)?", 1, 0.4)
-    add("license-mention", "license licence", r"(?:this|the|terms of the) @", 1, 0.4)
+        add(f"bsd-{n}-clause", "clause", f"(?:bsd {n} @|{n} @ bsd)(?: LICENSE)?", 4, 1.0)
+    # the identifier line of a source file names the license by its short form
+    ids |= {"mit": "mit", "isc": "isc", "zlib": "zlib", "unlicense": "unlicense", "cc0 1 0": "cc0", "bsl 1 0": "boost-1.0"}
+    ids |= {f"bsd {n} clause": f"bsd-{n}-clause" for n in ("2", "3", "4")}
+    for words, label in ids.items():
+        add(label, "spdx", f"@ LICENSE identifier {words}", 4, 1.0)
+    for table, priority, weight in ((NAMED, 3, 0.95), (SENTENCES, 2, 0.8), (CLUES, 1, 0.4)):
+        for label, words, regex in table:
+            add(label, words, regex, priority, weight)
     return out
 
 
