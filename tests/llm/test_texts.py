@@ -157,13 +157,27 @@ def plain_phrases(text, known):
     return n
 
 
-def test_phrases_equal_plain_parse():
+def test_phrases_equal_plain_parse(monkeypatch):
     draw = random.Random(2)
     make = lambda n: bytes(draw.choice([0, 1, 2, 3, 30]) for _ in range(n))
-    learned = {"a": make(300), "b": make(40), "c": b"\x05\x06"}
-    texts = [make(n) for n in (0, 1, 5, 100, 511)] + [b"\x07\x08\x05\x06\x05"]
-    got = lang_id.Languages(learned).phrases(texts)
-    assert got.tolist() == [[plain_phrases(t, learned[k]) for k in "abc"] for t in texts]
+    learned = {"a": make(300), "b": make(40), "c": b"\x05\x06", "d": make(2000)}
+    texts = [make(n) for n in (0, 1, 5, 100, 511, 512, 513, 1024, 1025, 5000)] + [b"\x07\x08\x05\x06\x05"]
+    texts.append(make(200) + learned["d"][100:1900] + make(300) + learned["d"][:700])  # phrases over several blocks
+    want = [[plain_phrases(t, learned[k]) for k in "abcd"] for t in texts]
+    assert lang_id.Languages(learned).phrases(texts).tolist() == want
+    monkeypatch.setattr(lang_id, "LANES", 3)
+    monkeypatch.setattr(lang_id, "BLOCK", 7)
+    assert lang_id.Languages(learned).phrases(texts).tolist() == want
+
+
+def test_languages_are_learned_from_whole_rows(spark):
+    rows = [(i, "ab " * (2_000 + i), "x") for i in range(40)] + [(100, "long " * 20_000, "y"), (101, None, "z"), (None, "q", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.learn(docs)
+    learned = dict(zip(model.names, model.texts))
+    assert set(learned) <= {"x", "y"} and len(learned["x"]) >= lang_id.LEARN_BYTES
+    # three rows of 3 * (2,000 + i) bytes with a byte between them: none is cut
+    assert len(learned["x"]) < lang_id.LEARN_BYTES + 3 * 2_040 and (len(learned["x"]) - 2) % 3 == 0
 
 
 def test_languages_of_held_out_documents(spark):

@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from wareloom.llm.common import fold
 
-#: Labelled bytes per language, and the labelled rows they are taken from, at most.
-LEARN_BYTES = 16_384
+#: Labelled rows per language, whole, at most; none is added to so many bytes or more.
 LEARN_ROWS = 60
+LEARN_BYTES = 16_384
+#: Bytes of each text that are read at once, and texts.
 BLOCK = 512
 LANES = 16_384
 FOLDS = 5
@@ -110,36 +111,30 @@ class Languages:
         return self._tables
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
-        """Phrases of each text (rows) in each language (columns); an unfinished one counts."""
+        """Phrases of each text (rows) in each language (columns); an unfinished one counts.
+
+        Texts are read side by side, the longest first, block after block; each
+        keeps its state from block to block, so a phrase may be of any length.
+        """
         tables = self.tables()
         counts = np.zeros((len(texts), len(tables)))
-        owner: list[int] = []
-        lanes: list[bytes] = []
-
-        def walk() -> None:
-            flat = b"".join(lane.ljust(BLOCK, bytes([_SYMBOLS])) for lane in lanes)
-            steps = self.column[np.frombuffer(flat, np.uint8).reshape(len(lanes), BLOCK)].T
-            steps = np.ascontiguousarray(steps[: max(map(len, lanes))]).astype(np.int32)
-            for k, table in enumerate(tables):
-                state, ended = np.zeros(len(lanes), np.int32), np.zeros(len(lanes), np.int32)
-                for step in steps:
-                    state += step
-                    np.take(table, state, out=state, mode="clip")
-                    ended += state & 1
-                    state >>= 1
-                ended += state > 0
-                np.add.at(counts[:, k], owner, ended)
-            owner.clear()
-            lanes.clear()
-
-        for row, text in sorted(enumerate(texts), key=lambda x: len(x[1])):
-            for at in range(0, len(text), BLOCK):
-                owner.append(row)
-                lanes.append(text[at : at + BLOCK])
-                if len(lanes) == LANES:
-                    walk()
-        if lanes:
-            walk()
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        for first in range(0, len(order), LANES):
+            group = order[first : first + LANES]
+            lengths = np.array([len(texts[i]) for i in group])
+            state, ended = np.zeros((2, len(tables), len(group)), np.int32)
+            for at in range(0, int(lengths[0]), BLOCK):
+                m = int(np.searchsorted(-lengths, -at))  # texts that go on
+                flat = b"".join([texts[i][at : at + BLOCK].ljust(BLOCK, bytes([_SYMBOLS])) for i in group[:m]])
+                steps = self.column[np.frombuffer(flat, np.uint8).reshape(m, BLOCK)].T
+                steps = np.ascontiguousarray(steps[: int(lengths[0]) - at]).astype(np.int32)
+                for table, now, done in zip(tables, state[:, :m], ended[:, :m]):
+                    for step in steps:
+                        now += step
+                        np.take(table, now, out=now, mode="clip")
+                        done += now & 1
+                        now >>= 1
+            counts[group] = (ended + (state > 0)).T
         return counts
 
     def predict(self, texts: list) -> tuple[list[str], list[float]]:
@@ -158,31 +153,38 @@ class Languages:
 
 
 def learn(docs: DataFrame, rows: int = LEARN_ROWS, size: int = LEARN_BYTES) -> Languages:
-    """Labelled text of each language: at most `rows` documents outside the
-    held-out fold, in the order of a hash of the id, and at most `size` bytes."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("lang").cast("string").alias("l")).where(
-        F.col("i").isNotNull() & F.col("l").isNotNull() & (fold(F.col("i"), FOLDS) != HELD)
-    )
-    ranked = ids.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("i"), "i"))).where(F.col("r") <= rows)
-    chosen = {(r["i"], r["l"]): r["r"] for r in ranked.collect()}  # rows * languages at most
+    """Labelled text of each language from at most `rows` documents outside the held-out fold.
+
+    Documents are taken whole, in the order of a hash of the id, until they
+    have `size` bytes together; those longer than that by themselves come
+    after all others, so a language of long documents only learns from one.
+    Null and empty texts, and rows without an id or a language, are left out;
+    of rows that share id and language all are taken.
+    """
+    text = F.col("text").cast("string")
+    usable = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("lang").cast("string").alias("l"), F.octet_length(text).alias("n"))
+    usable = usable.where(F.col("i").isNotNull() & F.col("l").isNotNull() & (F.col("n") > 0) & (fold(F.col("i"), FOLDS) != HELD))
+    order = W.partitionBy("l").orderBy(F.col("n") > size, F.xxhash64("i"), "i")
+    ranked = usable.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows).orderBy("l", "r")
+    chosen: dict[tuple[int, str], int] = {}
+    total: dict[str, int] = {}
+    for r in ranked.collect():  # rows * languages at most
+        if total.get(r["l"], 0) < size:
+            total[r["l"]] = total.get(r["l"], 0) + r["n"]
+            chosen.setdefault((r["i"], r["l"]), r["r"])
     if not chosen:
         return Languages({})
-    some = docs.sparkSession.createDataFrame([(i,) for i in {i for i, _ in chosen}], "i long")
+    some = docs.sparkSession.createDataFrame([(i, name) for i, name in chosen], "i long, l string")
     texts = (
-        docs.select(F.col("doc_id").cast("long").alias("i"), F.col("lang").cast("string").alias("l"), F.col("text").cast("string").alias("t"))
+        docs.select(F.col("doc_id").cast("long").alias("i"), F.col("lang").cast("string").alias("l"), text.alias("t"))
         .where(F.col("t").isNotNull() & (F.col("t") != ""))
-        .join(F.broadcast(some), "i", "left_semi")
+        .join(F.broadcast(some), ["i", "l"], "left_semi")
     )
     parts: dict[str, list[tuple[int, bytes]]] = {}
     for r in texts.toLocalIterator():
-        if (r["i"], r["l"]) in chosen:
-            parts.setdefault(r["l"], []).append((chosen[r["i"], r["l"]], symbols(r["t"])))
-    learned = {}
-    for name, found in parts.items():
-        text = b"\x00".join(t for _, t in sorted(found))[:size]
-        if text.strip(b"\x00"):
-            learned[name] = text
-    return Languages(learned)
+        parts.setdefault(r["l"], []).append((chosen[r["i"], r["l"]], symbols(r["t"])))
+    joined = {name: b"\x00".join(t for _, t in sorted(found)) for name, found in parts.items()}
+    return Languages({name: text for name, text in joined.items() if text.strip(b"\x00")})
 
 
 def predictions(docs: DataFrame, languages: Languages) -> DataFrame:
@@ -194,7 +196,7 @@ def predictions(docs: DataFrame, languages: Languages) -> DataFrame:
     same doc_id are predicted each for itself; an empty table gives no row;
     columns other than doc_id and text are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(languages)  # LEARN_BYTES per language at most
+    sent = docs.sparkSession.sparkContext.broadcast(languages)  # the learned text of each language
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
