@@ -8,7 +8,7 @@ from wareloom.operators import catalog, crawl, memory
 from wareloom.operators.ordering import RANGE, numbered, with_ranges
 from wareloom.session import work_folder
 from wareloom.streaming import jobs
-from wareloom.streaming.versions import BucketedVersions
+from wareloom.streaming.versions import BucketedVersions, children
 
 SCHEMA = "event_id long, session_id long, ts timestamp, url string, content string"
 
@@ -212,3 +212,13 @@ def test_levels_do_not_move_the_stored_graph(spark):
     assert not any("Exchange" in line for line in above[join:]), plan
     assert "Bucketed: true" in plan
     graph.close()
+
+
+def test_work_folders_can_be_cleared(spark, monkeypatch):
+    from wareloom import session
+
+    monkeypatch.setattr(session, "_WORK", {})  # those of other tests stay
+    staged = session.staged(spark.range(5), "short-lived")
+    assert staged.count() == 5 and children(spark, session._WORK[spark.sparkContext.applicationId][0])
+    folder = session._WORK[spark.sparkContext.applicationId][0]
+    assert session.clear_work(spark) == 1 and children(spark, folder) == [] and session.clear_work(spark) == 0

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
-from ..functions.frames import union_rows
 from ..functions.text import contains_any, first_hit
+from ..session import staged
 from .ordering import numbered
 
 BATCH = 30
@@ -84,20 +84,19 @@ def apply_decisions(urls: DataFrame, decisions: DataFrame, rule: str = "relevanc
     else:
         keep = F.coalesce("category", F.lit("INFO")).isin("PRODUCT", "OFFERING") & (F.col("confidence") >= 0.6)
         category = F.col("category")
-    kept = (
+    kept = staged(
         placed.join(decisions.drop("page_id", "url"), ["batch_no", "url_number"])
         .filter(keep)
         .select(
             "page_id", "url", category.alias("category"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")
-        )
+        ),
+        "kept-urls",
     )
-    nothing = kept.limit(1).agg((F.count(F.lit(1)) == 0).alias("nothing"))
-    fallback = (
-        urls.filter(~contains_any(F.lower("url"), lex.FALLBACK_EXCLUDED_WORDS))
-        .filter(nothing.scalar())
-        .select("page_id", "url", F.lit("UNKNOWN").alias("category"), F.lit(0.5).alias("confidence"))
+    if not kept.isEmpty():
+        return kept
+    return urls.filter(~contains_any(F.lower("url"), lex.FALLBACK_EXCLUDED_WORDS)).select(
+        "page_id", "url", F.lit("UNKNOWN").alias("category"), F.lit(0.5).alias("confidence")
     )
-    return union_rows(kept, fallback)
 
 
 def category_counts(kept: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Work folders made, by application.
+_WORK: dict[str, list[str]] = {}
+
+
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     return (
@@ -44,7 +48,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    _WORK.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Delete the work folders that this application has made; how many there were.
+
+    For a caller that has written its results elsewhere: DataFrames that still
+    read a staged table, and streams that are to go on, lose their files.
+    """
+    folders = _WORK.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        files, path = hadoop_path(spark, folder)
+        files.delete(path, True)
+    return len(folders)
+
+
+def hadoop_path(spark: SparkSession, folder: str):
+    """(file system, path) in Hadoop's terms, so any store that Spark reads will do."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

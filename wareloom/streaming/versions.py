@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-
-def _path(spark: SparkSession, folder: str):
-    """(file system, path) in Hadoop's terms, so any store that Spark reads will do."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+from ..session import hadoop_path
 
 
 def children(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder; none if it is missing."""
-    files, path = _path(spark, folder)
+    files, path = hadoop_path(spark, folder)
     return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
 
 
@@ -47,8 +44,6 @@ class BucketedVersions:
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         """Rows with a `bucket`, as a new version of the buckets that they have; others are not touched."""
-        from pyspark.sql import functions as F
-
         versioned = rows.withColumn("version", F.lit(batch_id)).repartition("bucket")
         versioned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(self.folder)
 
@@ -56,5 +51,5 @@ class BucketedVersions:
         """Drop all but the newest `keep` versions up to a batch of these buckets."""
         for bucket in buckets:
             for version in [v for v in self.versions(bucket) if v <= batch_id][:-keep]:
-                files, path = _path(self.spark, f"{self.folder}/bucket={bucket}/version={version}")
+                files, path = hadoop_path(self.spark, f"{self.folder}/bucket={bucket}/version={version}")
                 files.delete(path, True)
