@@ -44,7 +44,7 @@ LOW = np.uint64(1 << 31)
 MAGIC = b"WLRA"
 HEADER = struct.Struct("<4sHHIIQIQ")
 #: Characters of texts whose words are looked up together.
-BATCH_CHARS = 5_000_000
+BATCH_CHARS = 8_000_000
 #: Words, and pieces of words that are more than one piece, kept per worker.
 MEMO, PIECES = 700_000, 50_000
 
@@ -105,31 +105,36 @@ class _Words:
         at = pc.index_in(words, value_set=self.known)
         if at.null_count:
             new = words.filter(at.is_null())
-            ids = self._encode(new.to_pylist())
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.pool.itemsize
+            ids, lengths = self._encode(new.to_pylist())
             at = pc.coalesce(at, pa.scalar(-1, pa.int32())).to_numpy(zero_copy_only=False).copy()
-            at[at < 0] = len(self.known) + np.arange(len(ids))
+            at[at < 0] = len(self.known) + np.arange(len(lengths))
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
-            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), self.pool.dtype)])
+            self.pool = np.concatenate([self.pool, ids])
             self.known = pa.concat_arrays([self.known, new])
             return at
         return at.to_numpy()
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """A word of letters, with or without a stop, is one piece (and one more) and
-        goes straight to the merge model; other words are split into pieces."""
-        pieces, tokenize, kind = self.pieces, self.pieces.model.tokenize, self.pieces.kind
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and each word's number of them. A word of letters, with or without a
+        stop, is one piece (and one more) and goes straight to the merge model;
+        other words are split into pieces."""
+        pieces, tokenize = self.pieces, self.pieces.model.tokenize
         space, letters = pieces.letters[ord(" ")], pieces.letters
-        out = []
+        flat, ends = array(pieces.kind), array("q")
+        more, extend, ended = flat.frombytes, flat.extend, ends.append
         for word in words:
-            bare, stop = (word[:-1], pieces[word[-1]]) if word[-1:] in _STOPS else (word, b"")
+            last = word[-1:]
+            bare = word[:-1] if last in _STOPS else word
             if bare.isalpha():
                 shown = bare if bare.isascii() else bare.encode("utf-8").decode("latin-1").translate(letters)
-                out.append(array(kind, [t.id for t in tokenize(space + shown)]).tobytes() + stop)
+                extend([t.id for t in tokenize(space + shown)])
+                if bare is not word:
+                    more(pieces[last])
             else:
-                out.append(pieces.ids(" " + word))
-        return out
+                more(pieces.ids(" " + word))
+            ended(len(flat))
+        return np.frombuffer(flat, self.pool.dtype).copy(), np.diff(np.frombuffer(ends, np.int64), prepend=0)
 
 
 class Encoder:
