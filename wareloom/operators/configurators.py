@@ -30,18 +30,25 @@ GROUP_ITEM = r"(?m)^[^\S\n]*(?:[-*•][^\S\n]+\S|\d+\.[^\S\n]+\S|-[^\S\n]*\[[x ]
 def scored_links(text: Column, url: Column) -> Column:
     """Links that may lead to a configurator: array<struct(pos, link, text, score)>."""
 
-    def score(match: Column, i: Column) -> Column:
-        link_text = F.lower(F.regexp_extract(match, lex.LINK_MARKDOWN, 1))
+    def parts(match: Column, i: Column) -> Column:
         link = F.regexp_extract(match, lex.LINK_MARKDOWN, 2)
+        link_text = F.lower(F.regexp_extract(match, lex.LINK_MARKDOWN, 1))
+        return F.struct(i.alias("pos"), link.alias("link"), F.lower(link).alias("low"), link_text.alias("text"))
+
+    def score(x: Column) -> Column:
         points = (
-            count_contained(link_text, lex.ACTION_WORDS) * 3
-            + count_contained(F.lower(link), lex.LINK_URL_WORDS) * 2
-            + contains_any(link_text, lex.BUTTON_PHRASES).cast("int") * 2
+            count_contained(x["text"], lex.ACTION_WORDS) * 3
+            + count_contained(x["low"], lex.LINK_URL_WORDS) * 2
+            + contains_any(x["text"], lex.BUTTON_PHRASES).cast("int") * 2
         )
-        return F.struct(i.alias("pos"), U.absolute(link, url).alias("link"), points.alias("score"))
+        return F.struct(x["pos"].alias("pos"), x["link"].alias("link"), points.alias("score"))
 
-    found = F.transform(extract_all(text, lex.LINK_MARKDOWN), score)
-    return F.filter(found, lambda x: x["score"] >= LINK_MIN_SCORE)
+    # one step after the other: inside a lambda, a text that several words look at would be cut out for each of them
+    cut = F.transform(extract_all(text, lex.LINK_MARKDOWN), parts)
+    found = F.filter(F.transform(cut, score), lambda x: x["score"] >= LINK_MIN_SCORE)
+    return F.transform(
+        found, lambda x: F.struct(x["pos"].alias("pos"), U.absolute(x["link"], url).alias("link"), x["score"].alias("score"))
+    )
 
 
 def configurator_links(pages: DataFrame) -> DataFrame:
@@ -173,11 +180,11 @@ def script_heavy(text: Column) -> Column:
 
 def platform_report(pages: DataFrame) -> DataFrame:
     """Pages and script-heavy pages per platform of their configurator link."""
-    target = F.get(scored_links(F.col("markdown"), F.col("url")), 0)["link"]
-    rows = pages.select(target.alias("link"), script_heavy(F.col("markdown")).alias("heavy"))
+    first = F.slice(scored_links(F.col("markdown"), F.col("url")), 1, 1)
+    rows = unnest(pages.select("url", "markdown", script_heavy(F.col("markdown")).alias("heavy")), ["heavy"], first)
     return (
-        rows.filter(F.col("link").isNotNull())
-        .groupBy(platform(F.col("link")).alias("platform"))
+        rows.filter(F.col("item.link").isNotNull())
+        .groupBy(platform(F.col("item.link")).alias("platform"))
         .agg(F.count(F.lit(1)).alias("n_pages"), F.count_if("heavy").alias("n_script_heavy"))
     )
 
