@@ -206,8 +206,11 @@ CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ign
 
 
 def write_sheet(rows: DataFrame, path: str, headings: dict[str, str]) -> None:
-    """Write sheet rows as CSV files in sheet order (range partitions keep it)."""
-    ordered = rows.orderBy("seq", "pos")
+    """Write sheet rows as CSV files in sheet order (range partitions keep it).
+
+    The rows are staged: the sample that sets the ranges would work them out a second time.
+    """
+    ordered = staged(rows.select("seq", "pos", *headings), "sheet-rows").orderBy("seq", "pos")
     ordered.select(*[F.col(c).alias(h) for c, h in headings.items()]).write.mode("overwrite").options(**CSV).csv(path)
 
 
