@@ -183,3 +183,17 @@ def test_templates_and_groups_of_near_copies_make_few_pairs(spark, monkeypatch):
     assert {r.id for r in got if r.is_duplicate} == set(copies[1:])
     assert {r.kept_id for r in got if r.id in set(copies)} == {copies[0]}
     assert sum(pairs) < 10 * 800
+
+
+def test_texts_with_few_rare_words_in_common_are_not_verified(spark, monkeypatch):
+    """Two rare words in common are no reason to fetch whole sets; a copy with a few words changed is."""
+    draw = random.Random(8)
+    texts = [draw.sample([f"word{i}" for i in range(600)], 38) + [f"rare{k // 2}a", f"rare{k // 2}b"] for k in range(200)]
+    copy = texts[17][:36] + [f"other{i}" for i in range(4)]
+    items = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate([*texts, copy])], "id long, text string")
+    pairs = []
+    similar = near_duplicates._similar
+    monkeypatch.setattr(near_duplicates, "_similar", lambda p, *a: (pairs.append(p.count()), similar(p, *a))[1])
+    got = near_duplicates.near_duplicates(items, 0.7, size=1).collect()
+    assert [(r.id, r.kept_id) for r in got if r.is_duplicate] == [(200, 17)]
+    assert sum(pairs) < 50

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.frames import union_rows
-from ..functions.text import let, squeeze, strip
+from ..functions.text import let, strip
 from ..session import ensure_checkpoint_dir, staged
 
 
 def shingles(text: Column, size: int, unit: str) -> Column:
     """Distinct hashed runs of `size` words or characters of a normalized text."""
-    clean = strip(squeeze(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]+", " ")))
+    clean = strip(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
     def runs(units: Column) -> Column:
         last = F.greatest(F.size(units) - size, F.lit(0))
@@ -44,68 +47,115 @@ def bucket_ranks(sets: DataFrame) -> bytes:
 
 
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """id, size, at, token: the rarest tokens of each set (id, hashes) that another set may have.
+    """id, size, token: the rarest tokens of each set (id, hashes) that another set may have.
 
     Two sets with a Jaccard similarity of at least `threshold` share a token
     among the first size - ceil(threshold * size) + 1 of each, in any common
     order. Rare ones come first, so a text with a template in common with many
     others meets these only where the template is nearly all of it. Tokens that
-    are known to be in one set take up their places but make no row.
+    are known to be in one set make no row. The top
+    byte of a token is its rank, the rest is of its hash: tokens that agree in
+    that only make one more pair to verify.
     """
     ranks = F.lit(bucket_ranks(sets))
 
     def ranked(token: Column) -> Column:
         rank = F.ascii(F.substring(ranks, F.pmod(token, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.struct(rank.alias("rank"), token.alias("token"))
+        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(token.bitwiseAND(F.lit((1 << 56) - 1)))
 
     size = F.size("hashes")
     most = size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
-    first = F.slice(F.array_sort(F.transform("hashes", ranked)), F.lit(1), most)
-    return sets.select("id", size.alias("size"), F.posexplode(first).alias("at", "t")).where("t.rank > 1").select("id", "size", "at", "t.token")
+    first = F.slice(F.sort_array(F.transform("hashes", ranked)), F.lit(1), most)
+    return sets.select("id", size.alias("size"), F.explode(first).alias("token")).where(F.shiftright("token", 56) > 1)
+
 
+def _shared_enough(threshold: float) -> Column:
+    """The length and the count filter of a pair whose prefixes have `shared` tokens in common.
 
-def _passing(threshold: float) -> Column:
-    """The length filter and the positional filter of a pair of entries."""
+    The prefix that ends first in the common order has all common tokens up to
+    its end, and what follows it is all that can be shared beyond: one less
+    than threshold * size. For sets of one size that asks for an eighth of
+    their tokens where the threshold is 0.7.
+    """
     small, large = F.least("size", "o_size"), F.greatest("size", "o_size")
     need = F.ceil((F.col("size") + F.col("o_size")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
-    shared = F.least("at", "o_at") + F.least(F.col("size") - F.col("at"), F.col("o_size") - F.col("o_at"))
-    return (small >= large * F.lit(threshold) - F.lit(1e-9)) & (shared >= need)
+    rest = F.ceil(large * F.lit(threshold) - F.lit(1e-9)) - 1
+    return (small >= large * F.lit(threshold) - F.lit(1e-9)) & (F.col("shared") + rest >= need)
+
+
+#: Bits that tell which rows have an id of a list, before they are shuffled; more of them let fewer others through.
+MARKS = 1 << 22
+
+
+def _marks(ids: DataFrame) -> Callable[[Column], Column]:
+    """Whether an id may be one of `ids` (a column id): true for all of them, and for the few others with the same mark."""
+    spark = ids.sparkSession
+
+    def bit(i: Column) -> Column:
+        return F.pmod(F.xxhash64(i), F.lit(MARKS))
+
+    own = bit(F.col("id"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (own % 64).cast("int"))
+    marks = ids.select((own / 64).cast("int").alias("w"), one.alias("bits"))
+    none = spark.range(MARKS // 64).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("bits"))
+    words = union_rows(marks, none).groupBy("w").agg(F.bit_or("bits").alias("bits"))
+    table = words.agg(F.array_sort(F.collect_list(F.struct("w", "bits"))).alias("all"))  # MARKS / 64 rows, however many ids there are
+    held = staged(table.select(F.transform("all", lambda s: s["bits"]).alias("bits")), "marks").select("bits").scalar()
+
+    def marked(i: Column) -> Column:
+        word = F.element_at(held, (bit(i) / 64).cast("int") + 1)
+        return F.call_function("shiftright", word, (bit(i) % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    return marked
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of distinct pairs (id, other) those that are similar: id, best (other, similarity) with the smallest other."""
-    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("hashes").alias("other_hashes")), "other")
+    marked = _marks(union_rows(pairs.select("id"), pairs.select(F.col("other").alias("id"))))
+    some = sets.where(marked(F.col("id")))
+    both = pairs.join(some, "id").join(some.select(F.col("id").alias("other"), F.col("hashes").alias("other_hashes")), "other")
     common = F.size(F.array_intersect("hashes", "other_hashes"))
     whole = F.size("hashes") + F.size("other_hashes")
     held = both.select("id", "other", let(common, lambda c: c / (whole - c)).alias("similarity")).filter(F.col("similarity") >= threshold)
     return held.groupBy("id").agg(F.min_by(F.struct("other", "similarity"), "other").alias("best"))
 
 
-def first_similar(sets: DataFrame, threshold: float) -> DataFrame:
-    """id, other, similarity: of each set (id, hashes) the smallest other < id with a
-    Jaccard similarity of at least `threshold`; none for sets without one.
+def first_similar(sets: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
+    """id, other, similarity: of each set (id, hashes) whose id is in `firsts` the smallest
+    other < id with a Jaccard similarity of at least `threshold`; none for sets without one.
+
+    `firsts` (id) has the smallest id of each group of equal sets; the others of
+    the group are not looked for.
 
-    Every set is held first against the smallest id of each of its tokens,
-    which is one pair per entry however many sets share the token. In the
-    join of all entries only others below what that found are left, so a large
-    group of near copies, which all have its first one, makes no pairs of its
-    own there.
+    Every set is held first against the sets that have the smallest id of many
+    of its tokens. In the join of all entries only others below what that found
+    are left, so a large group of near copies, which all have its first one,
+    makes no pairs of its own there. Entries of a token that one set has end
+    with the first shuffle, and only pairs that share enough of their prefixes
+    get to the hashes.
     """
-    entries = staged(prefixes(sets, threshold), "prefixes")
-    least = entries.groupBy("token").agg(F.min(F.struct("id", "size", "at")).alias("o"))
-    least = least.select("token", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("id", "size", "at")])
-    met = entries.join(least, "token").where((F.col("o_id") < F.col("id")) & _passing(threshold))
-    tried = staged(met.select("id", F.col("o_id").alias("other")).distinct(), "first-pairs")
+    of_token = W.partitionBy("token")
+    met = prefixes(sets.where("id IS NOT NULL"), threshold).select(
+        "*", F.min(F.struct("id", "size")).over(of_token).alias("o"), F.max("id").over(of_token).alias("last")
+    )
+    entries = staged(met.where("last > o.id").select("id", "size", "token", F.col("o.id").alias("o_id"), F.col("o.size").alias("o_size")), "prefixes")
+    pair = ["id", "size", "o_id", "o_size"]
+    counted = entries.where("o_id < id").groupBy(*pair).agg((2 * F.count(F.lit(1))).alias("shared"))  # a set before the two may have half of their tokens
+    tried = staged(counted.where(_shared_enough(threshold)).select("id", F.col("o_id").alias("other")).distinct().join(firsts, "id", "left_semi"), "first-pairs")
     found = staged(_similar(tried, sets, threshold), "first-similar")
 
-    below = found.select("id", F.col("best.other").alias("below"))
-    open_ = entries.join(below, "id", "left").withColumn("below", F.coalesce("below", "id"))
-    # an entry can only be an other where some set of its token still looks for one above it
-    reach = open_.groupBy("token").agg(F.max("below").alias("reach"), F.min("id").alias("least"))
-    others = entries.join(reach, "token").where("id < reach AND id > least")
-    others = others.select("token", *[F.col(c).alias(f"o_{c}") for c in ("id", "size", "at")])
-    more = open_.join(others, "token").where((F.col("o_id") < F.col("below")) & _passing(threshold))
-    more = more.select("id", F.col("o_id").alias("other")).distinct().join(tried, ["id", "other"], "left_anti")
+    # sets look for others below what they have found, copies for none; most sets have found none and are no copy
+    copies = sets.select("id").where("id IS NOT NULL").distinct().join(firsts, "id", "left_anti")
+    known = staged(union_rows(found.select("id", F.col("best.other").alias("below")), copies.select("id", F.lit(None).cast(found.schema["id"].dataType).alias("below"))), "known")
+    marked = _marks(known.select("id"))(F.col("id"))
+    rows = entries.select("id", "size", "token", F.col("o_id").alias("least"))
+    maybe = rows.where(marked).join(known.withColumn("k", F.lit(True)), "id", "left").where("k IS NULL OR below IS NOT NULL").withColumn("below", F.coalesce("below", "id"))
+    live = union_rows(rows.where(~marked).withColumn("below", F.col("id")), maybe.select("id", "size", "token", "least", "below")).repartition("token")
+    others = live.select(F.col("token").alias("o_token"), F.col("id").alias("o_id"), F.col("size").alias("o_size"))
+    shared = live.where("below > least").join(others, (F.col("token") == F.col("o_token")) & (F.col("o_id") < F.col("below")))
+    counted = shared.groupBy(*pair).agg(F.count(F.lit(1)).alias("shared"))
+    more = counted.where(_shared_enough(threshold)).select("id", F.col("o_id").alias("other")).distinct()
+    more = staged(more.join(tried, ["id", "other"], "left_anti"), "more-pairs")
     best = union_rows(found, _similar(more, sets, threshold))
     return best.groupBy("id").agg(F.min_by("best", "best.other").alias("best")).select("id", "best.other", "best.similarity")
 
@@ -139,10 +189,10 @@ def near_duplicates(
     set_key = F.concat_ws(":", F.xxhash64("hashes"), F.hash("hashes"), F.xxhash64(F.lit(1), "hashes"), F.size("hashes"))
     keyed = staged(hashed.withColumn("set_key", set_key), "shingles")
     copies = keyed.select("id", "set_key")
-    firsts = copies.groupBy("set_key").agg(F.min("id").alias("first_id"))
-    sets = staged(keyed.join(firsts.select(F.col("first_id").alias("id")), "id", "left_semi").select("id", "hashes"), "sets")
+    firsts = staged(copies.groupBy("set_key").agg(F.min("id").alias("first_id")), "firsts")
+    each = firsts.select(F.col("first_id").alias("id")).where("id IS NOT NULL").distinct()
     matched = (
-        first_similar(sets, threshold)
+        first_similar(keyed.select("id", "hashes"), each, threshold)
         .select(F.col("id").alias("first_id"), F.col("other").alias("parent"), "similarity")
         .checkpoint()
     )
