@@ -53,9 +53,9 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     among the first size - ceil(threshold * size) + 1 of each, in any common
     order. Rare ones come first, so a text with a template in common with many
     others meets these only where the template is nearly all of it. Tokens that
-    are known to be in one set make no row. The top
-    byte of a token is its rank, the rest is of its hash: tokens that agree in
-    that only make one more pair to verify.
+    are known to be in one set take up places but make no row. The top byte of
+    a token is its rank, the rest is of its hash; where two tokens agree in all
+    of that, a pair may be verified that need not be.
     """
     ranks = F.lit(bucket_ranks(sets))
 
@@ -69,18 +69,22 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     return sets.select("id", size.alias("size"), F.explode(first).alias("token")).where(F.shiftright("token", 56) > 1)
 
 
+def _near_sizes(threshold: float) -> Column:
+    """The length filter of a pair."""
+    return F.least("size", "o_size") >= F.greatest("size", "o_size") * F.lit(threshold) - F.lit(1e-9)
+
+
 def _shared_enough(threshold: float) -> Column:
-    """The length and the count filter of a pair whose prefixes have `shared` tokens in common.
+    """The count filter of a pair whose prefixes have `shared` tokens in common.
 
     The prefix that ends first in the common order has all common tokens up to
     its end, and what follows it is all that can be shared beyond: one less
     than threshold * size. For sets of one size that asks for an eighth of
     their tokens where the threshold is 0.7.
     """
-    small, large = F.least("size", "o_size"), F.greatest("size", "o_size")
     need = F.ceil((F.col("size") + F.col("o_size")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
-    rest = F.ceil(large * F.lit(threshold) - F.lit(1e-9)) - 1
-    return (small >= large * F.lit(threshold) - F.lit(1e-9)) & (F.col("shared") + rest >= need)
+    rest = F.ceil(F.greatest("size", "o_size") * F.lit(threshold) - F.lit(1e-9)) - 1
+    return F.col("shared") + rest >= need
 
 
 #: Bits that tell which rows have an id of a list, before they are shuffled; more of them let fewer others through.
@@ -111,9 +115,9 @@ def _marks(ids: DataFrame) -> Callable[[Column], Column]:
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of distinct pairs (id, other) those that are similar: id, best (other, similarity) with the smallest other."""
-    marked = _marks(union_rows(pairs.select("id"), pairs.select(F.col("other").alias("id"))))
-    some = sets.where(marked(F.col("id")))
-    both = pairs.join(some, "id").join(some.select(F.col("id").alias("other"), F.col("hashes").alias("other_hashes")), "other")
+    later = sets.where(_marks(pairs.select("id"))(F.col("id")))
+    first = sets.where(_marks(pairs.select(F.col("other").alias("id")))(F.col("id")))
+    both = pairs.join(later, "id").join(first.select(F.col("id").alias("other"), F.col("hashes").alias("other_hashes")), "other")
     common = F.size(F.array_intersect("hashes", "other_hashes"))
     whole = F.size("hashes") + F.size("other_hashes")
     held = both.select("id", "other", let(common, lambda c: c / (whole - c)).alias("similarity")).filter(F.col("similarity") >= threshold)
@@ -140,7 +144,7 @@ def first_similar(sets: DataFrame, firsts: DataFrame, threshold: float) -> DataF
     )
     entries = staged(met.where("last > o.id").select("id", "size", "token", F.col("o.id").alias("o_id"), F.col("o.size").alias("o_size")), "prefixes")
     pair = ["id", "size", "o_id", "o_size"]
-    counted = entries.where("o_id < id").groupBy(*pair).agg((2 * F.count(F.lit(1))).alias("shared"))  # a set before the two may have half of their tokens
+    counted = entries.where(F.expr("o_id < id") & _near_sizes(threshold)).groupBy(*pair).agg((2 * F.count(F.lit(1))).alias("shared"))  # a set before the two may have half of their tokens
     tried = staged(counted.where(_shared_enough(threshold)).select("id", F.col("o_id").alias("other")).distinct().join(firsts, "id", "left_semi"), "first-pairs")
     found = staged(_similar(tried, sets, threshold), "first-similar")
 
@@ -152,7 +156,7 @@ def first_similar(sets: DataFrame, firsts: DataFrame, threshold: float) -> DataF
     maybe = rows.where(marked).join(known.withColumn("k", F.lit(True)), "id", "left").where("k IS NULL OR below IS NOT NULL").withColumn("below", F.coalesce("below", "id"))
     live = union_rows(rows.where(~marked).withColumn("below", F.col("id")), maybe.select("id", "size", "token", "least", "below")).repartition("token")
     others = live.select(F.col("token").alias("o_token"), F.col("id").alias("o_id"), F.col("size").alias("o_size"))
-    shared = live.where("below > least").join(others, (F.col("token") == F.col("o_token")) & (F.col("o_id") < F.col("below")))
+    shared = live.where("below > least").join(others, (F.col("token") == F.col("o_token")) & (F.col("o_id") < F.col("below")) & _near_sizes(threshold))
     counted = shared.groupBy(*pair).agg(F.count(F.lit(1)).alias("shared"))
     more = counted.where(_shared_enough(threshold)).select("id", F.col("o_id").alias("other")).distinct()
     more = staged(more.join(tried, ["id", "other"], "left_anti"), "more-pairs")
