@@ -264,3 +264,44 @@ def test_search_odd_rows(spark, odd, empty):
     got = [(r.query_id, r.doc_id) for r in search.search(odd, asked).orderBy("query_id", "rank").collect()]
     assert got == [(1, 1), (1, 2), (1, 2), (5, 7), (5, 6)]  # 3,000 times w7 weighs more than one "one"
     assert search.search(empty, asked).count() == 0 and search.search(odd, asked.where("false")).count() == 0
+
+
+def test_search_cuts_the_documents_once_for_all_blocks_of_queries(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 2)
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(i, f"w{i} w{i % 3} all") for i in range(40)], "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    reads = []
+    keep = search.staged
+    monkeypatch.setattr(search, "staged", lambda df, name: reads.append(any("documents.parquet" in f for f in df.inputFiles())) or keep(df, name))
+    got = search.search(docs, docs.where("doc_id % 4 = 0").selectExpr("doc_id AS query_id", "text"))
+    assert {r.query_id for r in got.collect()} == set(range(0, 40, 4))
+    assert reads.count(False) == 5 and reads.count(True) == 2  # five blocks of answers; the queries, and the index
+
+
+def test_search_shard_equals_full_scores():
+    rng = np.random.default_rng(3)
+    n, words = 1500, 400
+    bags = np.minimum(rng.zipf(1.3, (n, 60)), words) - 1
+    bags[700:] = bags[:800]  # copies tie
+    pairs, times = np.unique(np.repeat(np.arange(n), 60) * words + bags.ravel(), return_counts=True)
+    doc, term = pairs // words, pairs % words
+    found = np.bincount(term, minlength=words)
+    weight = np.log1p((n - found + 0.5) / (found + 0.5))
+    row = np.full(words, -1, np.int32)
+    often = np.flatnonzero(found * search.FREQUENT > n)
+    row[often] = np.arange(len(often))
+    shard = search.Shard(list(range(n)), np.full(n, 60), doc.astype(np.int32), term.astype(np.int32), times.astype(np.float32), 60.0, weight, row)
+    assert 0 < len(often) < words
+    impact = np.zeros((n, words))
+    impact[doc, term] = times.astype(np.float32) * np.float32(2.2) / (times.astype(np.float32) + np.float32(1.2))
+    queries = [np.unique(b) for b in bags[:20]] + [often[:1], np.flatnonzero(row < 0)[:2], np.flatnonzero(found == 0)[:1]]
+    for terms, weights, product in zip(queries, *shard.products(queries)):
+        full = np.round(impact[:, terms] @ weight[terms], 6)
+        tenth = max(np.sort(full)[-10], 1e-9)
+        want = np.flatnonzero(full >= tenth)
+        docs, scores = shard.top(terms, weights, product, 10)
+        assert docs.tolist() == want.tolist() and np.allclose(scores, full[want], atol=2e-6)
+        floor = float(np.sort(full)[-4])
+        docs, _ = shard.top(terms, weights, product, 10, max(floor, 1e-9))
+        assert docs.tolist() == np.flatnonzero(full >= max(floor, 1e-9)).tolist()
