@@ -291,7 +291,8 @@ def test_search_shard_equals_full_scores():
     row = np.full(words, -1, np.int32)
     often = np.flatnonzero(found * search.FREQUENT > n)
     row[often] = np.arange(len(often))
-    shard = search.Shard(list(range(n)), np.full(n, 60), doc.astype(np.int32), term.astype(np.int32), times.astype(np.float32), 60.0, weight, row)
+    lists = (doc.astype(np.int32), term.astype(np.int32), times.astype(np.float32))
+    shard = search.Shard(list(range(n)), np.full(n, 60), [tuple(x[some] for x in lists) for some in (doc < 600, doc >= 600)], 60.0, weight, row)
     assert 0 < len(often) < words
     impact = np.zeros((n, words))
     impact[doc, term] = times.astype(np.float32) * np.float32(2.2) / (times.astype(np.float32) + np.float32(1.2))
@@ -305,3 +306,10 @@ def test_search_shard_equals_full_scores():
         floor = float(np.sort(full)[-4])
         docs, _ = shard.top(terms, weights, product, 10, max(floor, 1e-9))
         assert docs.tolist() == np.flatnonzero(full >= max(floor, 1e-9)).tolist()
+
+
+def test_search_counts_are_whole_at_every_size():
+    for most in (0, 255, 256, 65_535, 65_536, 4_000_000_000):
+        numbers = np.array([0, 1, most])
+        assert search._unpacked(search._packed(numbers), 3).tolist() == numbers.tolist()
+    assert len(search._unpacked(search._packed(np.empty(0, np.int64)), 0)) == 0
