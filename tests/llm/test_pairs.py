@@ -66,6 +66,15 @@ def test_line_dedup_odd_rows(odd, empty):
     assert back.columns == odd.columns and back.count() == 12
 
 
+def test_line_dedup_reads_again_only_lines_of_pairs(spark):
+    rows = [(i, f"common\tword{i} other{i} third{i}\nsecond{i} line{i}") for i in range(50)] + [(None, "common word1 other1 third1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ends = spark.createDataFrame([(3, 0), (7, 1), (None, 0)], "d long, p int")
+    some = line_dedup.lines(docs).where(line_dedup._marks(ends, "test-marks")).collect()
+    found = {(r.doc_id, r.pos) for r in some}
+    assert {(3, 0), (7, 1), (None, 0)} <= found and len(found) < 10
+
+
 # SimHash
 
 
