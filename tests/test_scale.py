@@ -27,6 +27,10 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_derived_pages_are_bounded_per_task_and_not_shuffled(spark, folder, monkeypatch):
     monkeypatch.setattr(inputs, "PAGES_PER_TASK", 2)
     pages = inputs.Inputs(spark, folder).product_pages()
@@ -86,6 +90,28 @@ def test_sheet_rows_are_worked_out_once(spark, tmp_path):
     assert [r.category for r in back] == [str(i) for i in range(200)]
 
 
+def test_nested_parts_are_not_broadcast(spark, folder):
+    assert "Broadcast" not in physical(QUERIES["priced_rows"](spark, folder))
+
+
+def test_color_cells_work_rows_out_once_and_shuffle_the_starts(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    # products 2, 5 and 9 have 3, 1 and 4 rows; rows of no product come first
+    shown = [(9, 0, None), (9, 1, "#0000FF"), (9, 2, "#abc"), (9, 3, "ff0000"), (2, 0, None), (2, 1, None), (2, 2, "#00FF00"), (5, 0, ""), (None, 0, "#00FF00")]
+    rows = spark.createDataFrame(shown, "seq long, pos int, hex string").select("seq", "pos", counted("hex").alias("hex_color"), F.lit("x").alias("category"))
+    cells = sheets.color_cells(rows)
+    assert "SortMergeJoin [seq" in physical(cells)
+    got = sorted((r.seq, r.row_index, r.hex_color, r.red, r.green, r.blue) for r in cells.collect())
+    assert got == [(2, 4, "#00FF00", 0.0, 1.0, 0.0), (9, 7, "#0000FF", 0.0, 0.0, 1.0), (9, 9, "ff0000", 1.0, 0.0, 0.0)]
+    assert calls.value == len(shown)
+
+
 def test_crawl_log_reads_links_once(spark):
     pages = spark.createDataFrame([(1, "https://s.example.com/p", PAGE)], "page_id long, url string, markdown string")
     classified = spark.createDataFrame([(1, True)], "page_id long, is_product boolean")

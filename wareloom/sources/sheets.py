@@ -145,12 +145,15 @@ def priced_rows(catalog: DataFrame, include_prices: bool = True) -> DataFrame:
 def color_cells(priced: DataFrame) -> DataFrame:
     """Sheet row, channel fractions and text colour of every option with a colour.
 
-    The row number runs over all products in seq order, header included.
+    The row number runs over all products in seq order, header included. Of
+    the rows, three columns are staged for their several readers, and the
+    starts of the products are joined by a shuffle, however small they look.
     """
-    sizes = priced.groupBy("seq").agg(F.count(F.lit(1)).alias("n_rows"))
-    starts = running_total(sizes, F.col("n_rows"), "seq", name="rows_before").select("seq", "rows_before")
+    rows = staged(priced.select("seq", "pos", "hex_color"), "sheet-cells")
+    sizes = staged(rows.groupBy("seq").agg(F.count(F.lit(1)).alias("n_rows")), "sheet-sizes")
+    starts = running_total(sizes, F.col("n_rows"), "seq", name="rows_before").select("seq", "rows_before").hint("merge")
     code = F.ltrim("hex_color", F.lit("#"))
-    colored = priced.withColumn("code", code).filter(F.col("code").rlike("^[0-9A-Fa-f]{6}$"))
+    colored = rows.withColumn("code", code).filter(F.col("code").rlike("^[0-9A-Fa-f]{6}$"))
     channel = lambda at: F.conv(F.substring("code", at, 2), 16, 10).cast("int") / 255.0
     cells = colored.join(starts, "seq").select(
         "seq",
