@@ -94,6 +94,25 @@ def test_nested_parts_are_not_broadcast(spark, folder):
     assert "Broadcast" not in physical(QUERIES["priced_rows"](spark, folder))
 
 
+def test_customization_source_joins_by_shuffles(spark, folder):
+    assert "Broadcast" not in physical(QUERIES["customization_source"](spark, folder))
+    columns = "page_id long, url string, configurator_url string, configurator_type string, should_scrape boolean"
+    outside, inside = "https://app.zakeke.com/c/7", "https://s.example.com/build"
+    decided = spark.createDataFrame([
+        (1, "https://s.example.com/1", outside, "external", True), (2, "https://s.example.com/2", inside, "embedded", True),
+        (3, "https://s.example.com/3", None, "embedded", True), (None, None, None, "embedded", True), (None, None, None, "none", False),
+        (4, "https://s.example.com/4", "https://x.example.com/none", "external", True),
+    ], columns)
+    pages = spark.createDataFrame([(7, outside), (8, outside), (9, inside), (10, None), (None, "https://x.example.com/n")], "page_id long, url string")
+    own, other = (spark.createDataFrame(ids, "page_id long") for ids in ([(7,), (7,), (None,)], [(9,), (10,)]))
+    rows = configurators.customization_source(decided, pages, own, other).collect()
+    got = [(r.page_id, r.customization_source, r.options_page_id, r.own_kind) for r in rows]
+    assert sorted(got, key=str) == sorted([
+        (1, "external_configurator", 7, True), (2, "embedded_configurator_page", 9, False), (3, "product_page", 3, False),
+        (None, "product_page", None, False), (None, "none", None, False), (4, "product_page_fallback", 4, False),
+    ], key=str)
+
+
 def test_color_cells_work_rows_out_once_and_shuffle_the_starts(spark):
     calls = spark.sparkContext.accumulator(0)
 

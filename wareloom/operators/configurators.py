@@ -196,7 +196,10 @@ def customization_source(
 
     An external configurator page counts when it has options of its own
     kind, an embedded one when it is stored at all; otherwise the product
-    page itself is used. Only keys are joined here, no page text.
+    page itself is used. Only keys are joined here, no page text, and by
+    shuffles: keys of derived pages look as small as the table that the pages
+    come from, and would be broadcast through the driver. A product without a
+    configurator url meets no page; its id spreads such products.
     """
     stored = (
         pages.select(U.canonical(F.col("url")).alias("target"), "page_id")
@@ -205,12 +208,13 @@ def customization_source(
     )
     own_kind = configurator_options.select(F.col("page_id").alias("target_id")).distinct().withColumn("own", F.lit(True))
     any_kind = page_options.select(F.col("page_id").alias("target_id")).distinct().withColumn("any", F.lit(True))
-    joined = (
-        decisions.withColumn("target", U.canonical(F.col("configurator_url")))
-        .join(stored, "target", "left")
-        .join(own_kind, "target_id", "left")
-        .join(any_kind, "target_id", "left")
+    known = stored.join(own_kind.hint("merge"), "target_id", "left").join(any_kind.hint("merge"), "target_id", "left")
+    target = U.canonical(F.col("configurator_url"))
+    asked = decisions.withColumn("asked", target).withColumn(
+        "key", F.coalesce("asked", F.concat_ws(" ", F.lit(""), "page_id", "url"))
     )
+    meets = F.col("asked").isNotNull() & (F.col("key") == F.col("target"))
+    joined = asked.join(known.hint("merge"), meets, "left")
     external = F.col("configurator_type") == "external"
     has_url = F.col("configurator_url").isNotNull()
     has_options = F.coalesce("own", "any", F.lit(False))
