@@ -111,6 +111,24 @@ def test_stream_places_late_visits_and_leaves_out_what_comes_too_late(spark):
     assert final == {r[0]: want[r[0]] for r in rows if r[2] <= newest - 3600}
 
 
+def test_stream_session_keeps_one_timer_and_one_state(spark):
+    """However many batches and waiting visits, a session is read, written and woken once; nothing is left behind."""
+    hour = 3_600
+    batches = [[(10 * b + s, s, (b + 20) * 24 * hour + s * hour, "a", None if s == 2 else "x") for s in range(1, 4)] for b in range(5)]
+    batches[2] += [(100, 1, 22 * 24 * hour + 2 * hour, "b", "x"), (101, 1, 22 * 24 * hour + 3 * hour, "b", "x")]
+    out = work_folder(spark, "test-runs")
+    jobs.stream_no_change(stream_of(spark, batches), out, delay="12 hours")
+    timers = spark.read.format("statestore").option("readRegisteredTimers", True).load(f"{out}-progress")
+    assert sorted(r.key.session_key for r in timers.collect()) == ["1", "2", "3"]
+    state = spark.read.format("statestore").option("stateVarName", "last").load(f"{out}-progress")
+    assert {r.key.session_key: (r.value.event_id, r.value.event_ids) for r in state.collect()} == {
+        "1": (31, [41]), "2": (32, [42]), "3": (33, [43]),
+    }
+    got = {r.event_id: r.no_change_count for r in jobs.read_runs(spark, out).collect()}
+    want = plain_runs([r for b in batches for r in b])
+    assert got == want
+
+
 def test_stream_upsert_rewrites_only_touched_buckets(spark):
     def states(ids, batch):
         rows = [(f"site{i}", f"sig{i}", batch * 100 + i, batch) for i in ids]

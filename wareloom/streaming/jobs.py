@@ -67,14 +67,14 @@ def stream_no_change(visits: DataFrame, folder: str, delay: str = "1 day", gap:
         "ts", "event_id", F.unix_micros("ts").alias("at"), "url", "content",
     )
     kinds = visits.schema
-    visit = f"event_id {kinds['event_id'].dataType.simpleString()}, at long, url string, content string"
+    kind = kinds["event_id"].dataType.simpleString()
     micros = spark.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {gap}"))).first()[0]
     counted = (
         keyed.withWatermark("ts", delay)
         .groupBy("session_key", "no_session")
-        .transformWithStateInPandas(
-            no_change_processor(visit, micros),
-            outputStructType=f"session_key string, no_session boolean, {visit}, no_change_count long",
+        .transformWithState(
+            no_change_processor(kind, micros),
+            outputStructType=f"session_key string, no_session boolean, event_id {kind}, at long, url string, content string, no_change_count long",
             outputMode="append",
             timeMode="EventTime",
         )
@@ -96,13 +96,15 @@ def read_runs(spark: SparkSession, folder: str, gap: str = "365 days") -> DataFr
     done = spark.read.parquet(folder).drop("batch")
     kind = done.schema["session_id"].dataType
 
-    def state(name: str, row: str) -> DataFrame:
-        reader = spark.read.format("statestore").option("stateVarName", name)
-        session = F.when(~F.col("key.no_session"), F.col("key.session_key").cast(kind))
-        return reader.load(f"{folder}-progress").select(session.alias("session_id"), f"{row}.*")
-
-    waiting = state("waiting", "list_element").withColumn("ts", F.timestamp_micros("at")).drop("at")
-    last = state("last", "value").select("session_id", F.timestamp_micros("at").alias("ts"), "url", "content", "run")
+    reader = spark.read.format("statestore").option("stateVarName", "last")
+    session = F.when(~F.col("key.no_session"), F.col("key.session_key").cast(kind))
+    state = reader.load(f"{folder}-progress").select(session.alias("session_id"), "value.*")
+    held = state.select("session_id", F.explode(F.arrays_zip("event_ids", "ats", "urls", "contents")).alias("v"))
+    waiting = held.select(
+        "session_id", F.col("v.event_ids").alias("event_id"), F.timestamp_micros("v.ats").alias("ts"),
+        F.col("v.urls").alias("url"), F.col("v.contents").alias("content"),
+    )
+    last = state.where("run IS NOT NULL").select("session_id", F.timestamp_micros("at").alias("ts"), "url", "content", "run")
     return union_rows(done.drop("ts"), memory.counted_runs(waiting, last, gap).drop("ts"))
 
 
